@@ -76,3 +76,8 @@ def count_where(condition: Column) -> Column:
 
 def ratio_or_zero(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+
+
+def half_even(c, digits: int = 0) -> Column:
+    """Round half to even. Rounding to nine digits first keeps floating-point noise from deciding an exact half."""
+    return F.bround(F.round(col(c), 9), digits)

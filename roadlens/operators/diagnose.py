@@ -90,7 +90,7 @@ def reason():
 
 def detections(diagnosed: DataFrame) -> DataFrame:
     """Anomalous or non-normal cells with their cause, best score first."""
-    return (diagnosed.filter(F.col("anomalous") | ~F.col("state").isin("NORMAL", "NO_DATA"))
+    return (diagnosed.filter(F.col("anomalous") | (F.col("state") != "NORMAL"))
             .select("segment_id", "ts", "state", "score", "cause", "confidence", "confidence_label")
             .orderBy(F.col("score").desc(), "segment_id", "ts"))
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import detect_queries, grid_queries  # noqa: F401
+from . import corridor_queries, detect_queries, grid_queries, rider_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

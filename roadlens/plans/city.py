@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import slots
-from ..operators import corridor, detect, diagnose, features, graph, panel, spread
+from ..operators import corridor, detect, diagnose, features, graph, panel, rider, routes, spread, whatif
 from ..sources.analog import Analog
 from ..sources.workspace import bucketed, written
 
@@ -108,6 +108,107 @@ class City(Analog):
         return written(corridor.segment_stats(self.up_to(self.panel, self.cfg.train_end), self.segments, self.signals,
                                               self.in_train(self.incidents), self.bottlenecks, self.cfg), "segment_stats")
 
+    @cached_property
+    def norms(self) -> DataFrame:
+        return written(corridor.norms(self.segment_stats, self.n_segments), "norms")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return routes.segment_lines(self.segments, self.nodes)
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        return routes.polyline(self.route_vertices)
+
+    @cached_property
+    def route_facts(self) -> DataFrame:
+        """Length and the provider's traffic-free duration (30 km/h) of every route."""
+        return routes.lengths(self.pieces).select("route_id", (F.col("total_m") / 1000).alias("distance_km"),
+                                                  (F.col("total_m") / 1000 / 30 * 60).alias("duration_min"))
+
+    @cached_property
+    def roads(self) -> DataFrame:
+        """Named parts of the routes; every fourth piece has no name."""
+        name = F.when(F.col("seq") == 2, F.concat(F.lit("Flyover "), "route_id")).otherwise(F.concat_ws("-", F.concat(F.lit("Road "), "route_id"), "seq"))
+        return self.pieces.filter(F.col("seq") % 4 != 3).select("route_id", F.col("seq").alias("road_no"), name.alias("name"), "start_m", "end_m")
+
+    @cached_property
+    def junctions(self) -> DataFrame:
+        return self.route_vertices.filter(F.col("seq").between(1, 3)).select("route_id", "lat", "lon")
+
+    @cached_property
+    def junction_sources(self) -> DataFrame:
+        """Only the default routes come with junctions."""
+        return self.trips.filter("is_default").select("route_id")
+
+    @cached_property
+    def stretch_records(self) -> DataFrame:
+        cut = routes.match(routes.stretches(self.route_vertices), self.lines)
+        cut = routes.junction_counts(routes.road_names(cut, self.roads), self.route_vertices, self.junctions, self.junction_sources)
+        now = self.components.filter(F.col("ts") == slots.at(self.AS_OF)).select("segment_id", "speed_ratio", "state")
+        return written(corridor.stretch_records(cut, self.segment_stats, self.norms, now), "stretch_records")
+
+    AS_OF = "2024-01-26 12:00:00"
+
+    @cached_property
+    def zones(self) -> DataFrame:
+        return corridor.zones(self.stretch_records)
+
+    @cached_property
+    def extents(self) -> DataFrame:
+        return written(corridor.extents(self.stretch_records, self.zones), "extents")
+
+    @cached_property
+    def inside(self) -> DataFrame:
+        return corridor.covered(self.extents, self.stretch_records)
+
+    # ---- riders
+    @cached_property
+    def sample_points(self) -> DataFrame:
+        return routes.samples(self.route_vertices)
+
+    @cached_property
+    def sample_segments(self) -> DataFrame:
+        return rider.sample_segments(self.sample_points, self.lines)
+
+    @cached_property
+    def rider_ratios(self) -> DataFrame:
+        """Speed ratio now and at the next slot (the forecast the assessment is given here is the recorded future)."""
+        return self.components.select("segment_id", "ts", F.col("speed_ratio").alias("ratio_now"),
+                                      F.lead("speed_ratio").over(panel.over_time()).alias("ratio_later"))
+
+    @cached_property
+    def sample_states(self) -> DataFrame:
+        at_samples = rider.sample_ratios(self.sample_segments, self.rider_ratios, ["ratio_now", "ratio_later"])
+        return written(rider.sample_states(self.sample_points, at_samples, self.slots), "sample_states")
+
+    @cached_property
+    def assessed(self) -> DataFrame:
+        return written(rider.assess(self.sample_states, self.route_facts, self.nodes), "assessed")
+
+    @cached_property
+    def route_options(self) -> DataFrame:
+        return rider.options(self.assessed, self.route_facts, self.trips)
+
+    # ---- planning
+    @cached_property
+    def links(self) -> DataFrame:
+        return whatif.link_states(self.panel, self.segments, self.signals, self.cfg)
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        """Cells that call for a recommendation."""
+        return self.diagnosed.filter(F.col("anomalous") | (F.col("state") != "NORMAL")).select(
+            "segment_id", "ts", "state", "anomalous", "cause", "score", "speed_ratio", "confidence_label")
+
+    @cached_property
+    def shortlist(self) -> DataFrame:
+        return whatif.shortlist(self.reach, self.segments, self.candidates)
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        return written(whatif.evaluate_candidates(self.cases, self.links, self.edges, self.shortlist, self.candidates, self.n_segments), "evaluated")
+
 
 _cities: dict = {}
 

@@ -130,7 +130,7 @@ SELECT d.segment_id, d.ts, cause, onset_step, duration_min, CASE WHEN cause = 'P
     lambda c: diagnose.diagnoses(c.components, c.roadworks_active, c.bottlenecks, c.context, c.edges, c.cfg))
 query("detections", "segment_id:s ts:t state:s score:d cause:s confidence:d confidence_label:s", f"""
 SELECT segment_id, ts, state, score, cause, {_CONF} AS confidence, {_LABEL} AS confidence_label FROM diagnosed
-WHERE anomalous OR state NOT IN ('NORMAL', 'NO_DATA')""", **DIAG_VIEWS)(lambda c: diagnose.detections(c.diagnosed))
+WHERE anomalous OR state <> 'NORMAL'""", **DIAG_VIEWS)(lambda c: diagnose.detections(c.diagnosed))
 _EVIDENCE = """
 SELECT segment_id, ts, metric, value, baseline, threshold, unit, CASE WHEN baseline <> 0 THEN (value - baseline) / abs(baseline) * 100 END AS diff_pct
 FROM (SELECT *, queue_length_veh - lag(queue_length_veh, 3) OVER (PARTITION BY segment_id ORDER BY ts) AS qc FROM diagnosed) d,

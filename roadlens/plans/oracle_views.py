@@ -212,8 +212,19 @@ FROM local0 l LEFT JOIN (SELECT e.segment_id, n.ts, max(n.local_drop) AS top FRO
                          GROUP BY ALL) m ON m.segment_id = l.segment_id AND m.ts = l.ts)"""
 
 
-def _needs(sql: str) -> set:
-    return {name for name in VIEWS if re.search(rf"\b{name}\b", sql)}
+def noise_free(sql: str) -> str:
+    """Round the argument of every ``round_even`` to nine digits first, so that noise does not decide an exact half."""
+    out, mark = [], "round_even("
+    while mark in sql:
+        head, rest = sql.split(mark, 1)
+        depth, comma = 0, 0
+        for comma, ch in enumerate(rest):
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 0:
+                break
+        out.append(f"{head}half_even_(round({noise_free(rest[:comma])}, 9)")
+        sql = rest[comma:]
+    return "".join([*out, sql]).replace("half_even_(", mark)
 
 
 def oracle(body: str, **local: str) -> str:
@@ -229,4 +240,5 @@ def oracle(body: str, **local: str) -> str:
                     need.append(name)
 
     visit(body)
+    known, body = {n: noise_free(known[n]) for n in need}, noise_free(body)
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({known[n].strip()})" for n in need) + "\n" + body.strip() if need else body
