@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import corridor_queries, detect_queries, grid_queries, rider_queries, table_queries  # noqa: F401
+from . import corridor_queries, detect_queries, forecast_queries, grid_queries, rider_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

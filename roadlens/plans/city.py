@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import slots
-from ..operators import corridor, detect, diagnose, features, graph, panel, rider, routes, spread, whatif
+from ..operators import corridor, detect, diagnose, features, forecast, graph, panel, rider, routes, spread, whatif
 from ..sources.analog import Analog
 from ..sources.workspace import bucketed, written
 
@@ -190,6 +190,26 @@ class City(Analog):
     def route_options(self) -> DataFrame:
         return rider.options(self.assessed, self.route_facts, self.trips)
 
+    # ---- forecasts
+    @cached_property
+    def recorded(self) -> DataFrame:
+        return written(forecast.recorded(self.panel, self.cfg), "recorded")
+
+    @cached_property
+    def bands(self) -> DataFrame:
+        """Bands of the persistence forecast."""
+        return written(forecast.residual_bands(forecast.persistence(self.panel, self.cfg), self.recorded, self.ratios, self.cfg), "bands")
+
+    @cached_property
+    def persistence(self) -> DataFrame:
+        return forecast.with_bands(forecast.persistence(self.panel, self.cfg), self.bands, self.ratios, self.segments)
+
+    @cached_property
+    def hindsight(self) -> DataFrame:
+        """A forecast table whose p50 is what was recorded later, for the operators that read any forecast table."""
+        known = self.recorded.select("segment_id", "ts", "metric", "horizon_min", "now", F.col("actual").alias("p50"))
+        return forecast.with_bands(known, self.bands, self.ratios, self.segments)
+
     # ---- planning
     @cached_property
     def links(self) -> DataFrame:

@@ -115,21 +115,31 @@ class Analog:
                 .select("node_id", "from_segment", "to_segment", pick((F.col("a") + F.col("b")) % 3, RESTRICTIONS).alias("restriction")))
 
     # ---- facts
-    @cached_property
-    def _events(self) -> DataFrame:
-        """Events with the segment they belong to."""
-        events = self.raw("events").select(
+    def _placed(self, events: DataFrame) -> DataFrame:
+        """Events with the index of the segment they belong to."""
+        return events.select(
             "event_id", F.col("ts").cast("timestamp").alias("event_ts"), "event_type", "value",
             F.get_json_object("props", "$.k").cast("long").alias("k"), (F.col("event_id") % self.n_segments).alias("idx"))
-        return events
+
+    @cached_property
+    def _events(self) -> DataFrame:
+        return self._placed(self.raw("events"))
 
     @cached_property
     def readings(self) -> DataFrame:
+        return self._readings_of(self._events)
+
+    def readings_stream(self) -> DataFrame:
+        """The same readings as a stream over the event files."""
+        files = self.spark.readStream.schema(self.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        return self._readings_of(self._placed(files))
+
+    def _readings_of(self, placed: DataFrame) -> DataFrame:
         static = self.segments.select("idx", "segment_id", "free_flow_speed_kmh", "capacity_vph", "length_km")
         ff, cap, k, kind = F.col("free_flow_speed_kmh"), F.col("capacity_vph"), F.col("k"), F.col("event_type")
         share = F.lit(1.0) - F.least(F.col("value"), F.lit(400.0)) / 500.0
         flow = cap * (F.lit(0.2) + k * 0.006)
-        return (self._events.join(static, "idx")
+        return (placed.join(static, "idx")
                 .select(slots.floor_slot("event_ts", self.cfg).alias("ts"), "segment_id", F.col("event_id").alias("ingest_seq"),
                         F.when((kind == "error") & (k % 3 == 0), -(ff * share)).otherwise(ff * share).alias("speed_kmh"),
                         F.when((kind == "signup") & (k == 99), flow * 10.0).otherwise(flow).alias("flow_vph"),
