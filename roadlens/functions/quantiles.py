@@ -41,7 +41,7 @@ def quantiles(df: DataFrame, keys, value: str, probs: dict, group_rows: int | No
 
 
 def long_quantiles(df: DataFrame, keys, value: str, asked: Column) -> DataFrame:
-    """(keys, name, quantile) for ``asked``, an array of (name, p). A group may hold any number of rows."""
+    """(keys, name, quantile, n) for ``asked``, an array of (name, p); n is the group's row count. A group may hold any number of rows."""
     keys = list(keys)
     counted = (df.select(*keys, F.col(value).alias("q_value")).filter(F.col("q_value").isNotNull())
                .groupBy(*keys, "q_value").agg(F.count("*").alias("q_copies")).withColumn("q_bucket", order_bucket("q_value")))
@@ -50,7 +50,7 @@ def long_quantiles(df: DataFrame, keys, value: str, asked: Column) -> DataFrame:
                .withColumns({"q_total": F.sum("q_in").over(Window.partitionBy(*keys)),
                              "q_before": F.sum("q_in").over(upto) - F.col("q_in")}))
     wanted = (buckets.withColumn("q_asked", F.explode(asked))
-              .select(*keys, "q_bucket", "q_before", "q_in", F.col("q_asked.name").alias("name"),
+              .select(*keys, "q_bucket", "q_before", "q_in", F.col("q_asked.name").alias("name"), "q_total",
                       (F.col("q_asked.p") * (F.col("q_total") - 1)).alias("q_spot"))
               .withColumn("q_rank", F.explode(F.array(F.floor("q_spot"), F.ceil("q_spot"))))
               .filter((F.col("q_rank") >= F.col("q_before")) & (F.col("q_rank") < F.col("q_before") + F.col("q_in"))))
@@ -61,4 +61,4 @@ def long_quantiles(df: DataFrame, keys, value: str, asked: Column) -> DataFrame:
     found = (wanted.drop("q_before", "q_in").join(held, [*keys, "q_bucket"])
              .filter(F.col("q_rank").between(F.col("q_first"), F.col("q_last"))))
     low, high, spot = F.min("q_value"), F.max("q_value"), F.first("q_spot")
-    return found.groupBy(*keys, "name").agg((low + (spot - F.floor(spot)) * (high - low)).alias("quantile"))
+    return found.groupBy(*keys, "name").agg((low + (spot - F.floor(spot)) * (high - low)).alias("quantile"), F.max("q_total").alias("n"))

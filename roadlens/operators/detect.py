@@ -11,7 +11,7 @@ from ..conf import Settings
 from ..functions import slots
 from ..functions.columns import ratio_or_zero, state_of
 from ..functions.quantiles import long_quantiles, quantiles
-from .features import with_ratios
+from ..sources.workspace import written
 from .graph import neighbor_stat
 from .panel import over_time
 
@@ -220,10 +220,12 @@ def bottlenecks(ratios: DataFrame, exclude: DataFrame, cfg: Settings, n_segments
     daily = (clean.groupBy("segment_id", "day")
              .agg(F.percentile(at_peak, F.lit(0.95)).alias("p"), F.percentile(off_peak, F.lit(0.95)).alias("o"))
              .select("segment_id", "day", F.when(F.col("o") != 0, F.col("p") / F.col("o")).alias("ratio")))
+    # Both are one row per segment (and day): written, so that medians and spreads do not go back to the cells.
+    whole, daily = written(whole, "amplification"), written(daily, "daily_amplification")
     overall = robust_z(whole, [], "amplification", "robust_z", n_segments)
     low = (robust_z(daily, ["day"], "ratio", "z", n_segments).groupBy("segment_id")
            .agg(F.count_if(F.col("z") <= conf.RECURRENCE_Z).alias("low_days")))
-    days = ratios.agg(F.countDistinct(F.to_date("ts"))).scalar()
+    days = ratios.select(F.to_date("ts").alias("day")).distinct().agg(F.count("*")).scalar()
     return (overall.join(low, "segment_id", "left")
             .select("segment_id", "amplification", "robust_z", (F.coalesce("low_days", F.lit(0)) / days).alias("recurrence"),
                     "peak_mean_congestion", F.coalesce(F.col("robust_z") <= conf.BOTTLENECK_Z, F.lit(False)).alias("detected")))

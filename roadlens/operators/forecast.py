@@ -5,8 +5,6 @@ A forecast table is long: (segment_id, ts, metric, horizon_min, now, p50, p10, p
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -30,10 +28,10 @@ def every_nth(df: DataFrame, start: str, cfg: Settings) -> DataFrame:
     return df.filter(F.pmod(index.cast("long"), F.lit(cfg.fit_every)) == 0)
 
 
-def window(df: DataFrame, start: str, end: str, horizon_min: int, cfg: Settings) -> DataFrame:
-    """Sampled rows of [start, end] whose label does not reach beyond ``end``."""
-    rows = df.filter((F.col("ts") >= slots.at(start)) & (slots.shift("ts", horizon_min) <= slots.at(end)))
-    return every_nth(rows, start, cfg)
+def window(df: DataFrame, start: str, end: str, horizon_min, cfg: Settings) -> DataFrame:
+    """Sampled rows of [start, end] whose label, ``horizon_min`` (a number or a column) later, does not reach beyond ``end``."""
+    ahead = F.col("ts") + F.make_dt_interval(mins=horizon_min if isinstance(horizon_min, Column) else F.lit(horizon_min))
+    return every_nth(df.filter((F.col("ts") >= slots.at(start)) & (ahead <= slots.at(end))), start, cfg)
 
 
 def bucket(ratio) -> Column:
@@ -88,21 +86,24 @@ def recorded(panel: DataFrame, cfg: Settings) -> DataFrame:
 def residual_bands(predicted: DataFrame, actual: DataFrame, ratios: DataFrame, cfg: Settings) -> DataFrame:
     """(metric, horizon_min, bucket, lo, hi, n): 10th and 90th percentile of the residuals of the calibration window per traffic
     bucket; a bucket with too few rows takes the pooled ones. The residuals span the network, so the quantiles are the bucketed ones."""
-    joined = (predicted.join(actual.drop("now"), ["segment_id", "ts", "metric", "horizon_min"])
-              .join(ratios.select("segment_id", "ts", "speed_ratio"), ["segment_id", "ts"])
-              .withColumns({"res": F.col("actual") - F.col("p50"), "bucket": bucket("speed_ratio")}).filter(F.col("res").isNotNull()))
-    kept = reduce(DataFrame.unionByName, [window(joined.filter(F.col("horizon_min") == m), cfg.calib_start, cfg.train_end, m, cfg) for m in cfg.horizons])
+    kept = (window(predicted, cfg.calib_start, cfg.train_end, F.col("horizon_min"), cfg)
+            .join(window(actual.drop("now"), cfg.calib_start, cfg.train_end, F.col("horizon_min"), cfg), ["segment_id", "ts", "metric", "horizon_min"])
+            .join(ratios.select("segment_id", "ts", "speed_ratio"), ["segment_id", "ts"])
+            .withColumns({"res": F.col("actual") - F.col("p50"), "bucket": bucket("speed_ratio")}).filter(F.col("res").isNotNull()))
     rows = kept.select("metric", "horizon_min", F.explode(F.array(F.col("bucket"), F.lit("pooled"))).alias("bucket"), "res")
     keys = ["metric", "horizon_min", "bucket"]
     found = long_quantiles(rows, keys, "res", F.array(F.struct(F.lit("lo").alias("name"), F.lit(0.1).alias("p")), F.struct(F.lit("hi").alias("name"), F.lit(0.9).alias("p"))))
-    wide = found.groupBy(*keys).agg(F.max(F.when(F.col("name") == "lo", F.col("quantile"))).alias("lo"), F.max(F.when(F.col("name") == "hi", F.col("quantile"))).alias("hi"))
-    wide = wide.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
-    pooled = wide.filter("bucket = 'pooled'").select("metric", "horizon_min", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), F.col("n").alias("p_n"))
-    own = wide.filter("bucket <> 'pooled'").withColumnsRenamed({"lo": "o_lo", "hi": "o_hi", "n": "o_n"})
-    few = F.coalesce(F.col("o_n"), F.lit(0)) < cfg.band_min_rows
-    pick = lambda name: F.when(few, F.col(f"p_{name}")).otherwise(F.col(f"o_{name}")).alias(name)
-    return (pooled.withColumn("bucket", F.explode(F.array(F.lit("normal"), F.lit("congested")))).join(own, keys, "left")
-            .select(*keys, pick("lo"), pick("hi"), pick("n")))
+    # One small row per metric and horizon holds all bounds; the buckets are laid out from it.
+    part = lambda bucket_name, name, column: F.max(F.when((F.col("bucket") == bucket_name) & (F.col("name") == name), F.col(column)))
+    figures = {f"{b}_{f}": part(b, name, column) for b in ("pooled", "normal", "congested")
+               for f, name, column in (("lo", "lo", "quantile"), ("hi", "hi", "quantile"), ("n", "lo", "n"))}
+    one = found.groupBy("metric", "horizon_min").agg(*[v.alias(k) for k, v in figures.items()])
+
+    def laid_out(b):
+        few = F.coalesce(F.col(f"{b}_n"), F.lit(0)) < cfg.band_min_rows
+        return F.struct(F.lit(b).alias("bucket"), *[F.when(few, F.col(f"pooled_{f}")).otherwise(F.col(f"{b}_{f}")).alias(f) for f in ("lo", "hi", "n")])
+
+    return one.select("metric", "horizon_min", F.inline(F.array(laid_out("normal"), laid_out("congested"))))
 
 
 def with_bands(predicted: DataFrame, bands: DataFrame, ratios: DataFrame, segments: DataFrame) -> DataFrame:

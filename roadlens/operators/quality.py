@@ -92,10 +92,11 @@ def facts(df: DataFrame, audit: str, **measures: Column) -> DataFrame:
 def orphans(df: DataFrame, dataset: str, column: str, keys: DataFrame, key: str) -> DataFrame:
     """References that point nowhere. NULL references are not orphans. The fact table is reduced to its distinct references first."""
     refs = df.groupBy(F.col(column).alias("ref")).agg(F.count("*").alias("copies"))
-    total = refs.agg(F.sum("copies").alias("original_count"))
-    lost = refs.filter(F.col("ref").isNotNull()).join(keys.select(F.col(key).alias("ref")).distinct(), "ref", "left_anti")
-    return (lost.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("affected_count"))
-            .select(F.lit(dataset).alias("dataset"), F.lit(f"{column} exists").alias("check"), F.coalesce(total.scalar(), F.lit(0)).alias("original_count"), "affected_count"))
+    known = keys.select(F.col(key).alias("ref"), F.lit(True).alias("found")).distinct()
+    lost = F.col("ref").isNotNull() & F.col("found").isNull()
+    return refs.join(known, "ref", "left").agg(
+        F.lit(dataset).alias("dataset"), F.lit(f"{column} exists").alias("check"), F.coalesce(F.sum("copies"), F.lit(0)).alias("original_count"),
+        F.coalesce(F.sum(F.when(lost, F.col("copies"))), F.lit(0)).alias("affected_count"))
 
 
 def violations(df: DataFrame, dataset: str, **rules: Column) -> DataFrame:

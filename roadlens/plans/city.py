@@ -14,6 +14,39 @@ from ..sources.workspace import bucketed, written
 
 
 class City(Analog):
+    # ---- base tables, written like the imported tables they stand for
+    @cached_property
+    def segments(self) -> DataFrame:
+        return written(super().segments, "segments")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return written(super().nodes, "nodes")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return written(super().signals, "signals")
+
+    @cached_property
+    def turn_restrictions(self) -> DataFrame:
+        return written(super().turn_restrictions, "turn_restrictions")
+
+    @cached_property
+    def context(self) -> DataFrame:
+        return written(super().context, "context")
+
+    @cached_property
+    def incidents(self) -> DataFrame:
+        return written(super().incidents, "incidents")
+
+    @cached_property
+    def roadworks(self) -> DataFrame:
+        return written(super().roadworks, "roadworks")
+
+    @cached_property
+    def route_vertices(self) -> DataFrame:
+        return written(super().route_vertices, "route_vertices")
+
     # ---- grid
     @cached_property
     def raw_cells(self) -> DataFrame:
@@ -90,7 +123,7 @@ class City(Analog):
 
     @cached_property
     def shapes(self) -> DataFrame:
-        return diagnose.incident_shapes(self.in_train(self.incidents), self.components, self.cfg)
+        return written(diagnose.incident_shapes(self.in_train(self.incidents), self.components, self.cfg), "shapes")
 
     @cached_property
     def centroids(self) -> DataFrame:
@@ -118,7 +151,7 @@ class City(Analog):
 
     @cached_property
     def pieces(self) -> DataFrame:
-        return routes.polyline(self.route_vertices)
+        return written(routes.polyline(self.route_vertices), "pieces")
 
     @cached_property
     def route_facts(self) -> DataFrame:
@@ -141,9 +174,13 @@ class City(Analog):
         """Only the default routes come with junctions."""
         return self.trips.filter("is_default").select("route_id")
 
+    @cached_property
+    def stretches(self) -> DataFrame:
+        return written(routes.stretches(self.route_vertices), "stretches")
+
     @cached_property
     def stretch_records(self) -> DataFrame:
-        cut = routes.match(routes.stretches(self.route_vertices), self.lines)
+        cut = written(routes.match(self.stretches, self.lines), "matched")
         cut = routes.junction_counts(routes.road_names(cut, self.roads), self.route_vertices, self.junctions, self.junction_sources)
         now = self.components.filter(F.col("ts") == slots.at(self.AS_OF)).select("segment_id", "speed_ratio", "state")
         return written(corridor.stretch_records(cut, self.segment_stats, self.norms, now), "stretch_records")

@@ -57,11 +57,11 @@ query("route_stretches", "route_id:s idx:i from_m:d to_m:d length_m:d start_lat:
 query("stretch_shapes", "route_id:s idx:i points:i mean_lat:d", """
 SELECT s.route_id, s.idx, 2 + count(p.seq) AS points, (any_value(start_lat) + any_value(end_lat) + coalesce(sum(p.lat2), 0)) / (2 + count(p.seq)) AS mean_lat
 FROM stretch s LEFT JOIN pieces p ON p.route_id = s.route_id AND p.end_m > s.from_m AND p.end_m < s.to_m GROUP BY ALL""", **GEO)(
-    lambda c: routes.stretch_shapes(routes.stretches(c.route_vertices), c.route_vertices).select(
+    lambda c: routes.stretch_shapes(c.stretches, c.route_vertices).select(
         "route_id", "idx", F.size("coords").alias("points"),
         (F.aggregate("coords", F.lit(0.0), lambda a, p: a + p["lat"]) / F.size("coords")).alias("mean_lat")))
 query("stretch_matches", "route_id:s idx:i grid_segment_id:s match_distance_m:d", "SELECT * FROM matched", **GEO)(
-    lambda c: routes.match(routes.stretches(c.route_vertices), c.lines))
+    lambda c: routes.match(c.stretches, c.lines))
 query("point_on_route", "route_id:s lat:d lon:d", """
 SELECT t.route_id, p.lat + f * (lat2 - p.lat) AS lat, p.lon + f * (lon2 - p.lon) AS lon FROM (
   SELECT t.route_id, p, least((total_m / 3 - p.start_m) / p.piece_m, 1) AS f, p.lat2 AS lat2, p.lon2 AS lon2
@@ -85,9 +85,9 @@ FROM named n JOIN (SELECT c.route_id, c.idx, p.x + f * (p.x2 - p.x) AS mx, p.y +
 ON k.route_id = n.route_id AND k.idx = n.idx"""
 ROUTE = {**GEO, "roads": _ROADS, "named": _NAMED, "junctioned": _JUNCTION}
 query("road_names", "route_id:s idx:i road_name:s", "SELECT * FROM named", **ROUTE)(
-    lambda c: routes.road_names(routes.stretches(c.route_vertices), c.roads))
+    lambda c: routes.road_names(c.stretches, c.roads))
 query("junction_counts", "route_id:s idx:i junction_count:i", "SELECT * FROM junctioned", **ROUTE)(
-    lambda c: routes.junction_counts(routes.stretches(c.route_vertices), c.route_vertices, c.junctions, c.junction_sources))
+    lambda c: routes.junction_counts(c.stretches, c.route_vertices, c.junctions, c.junction_sources))
 query("corridor_requests", "trip_id:s route_id:s apart_km:d", """
 SELECT trip_id, route_id, sqrt(pow((lat1 - lat2) * 110.5::DOUBLE, 2) + pow((lon1 - lon2) * 104::DOUBLE, 2)) AS apart_km FROM (
   SELECT trip_id, route_id, arg_min(lat, seq) AS lat1, arg_min(lon, seq) AS lon1, arg_max(lat, seq) AS lat2, arg_max(lon, seq) AS lon2 FROM route_nodes GROUP BY ALL)

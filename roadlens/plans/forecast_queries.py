@@ -154,9 +154,9 @@ FROM inc_slots i JOIN hits h ON h.incident_id = i.incident_id AND i.ts >= h.firs
 GROUP BY 1 HAVING count(drop) > 0 AND count(flow_ratio / fr_med) > 0"""
 query("type_accuracy", "incident_type:s n:i correct:i unknown:i accuracy:d unknown_rate:d", """
 SELECT *, correct::DOUBLE / n AS accuracy, unknown::DOUBLE / n AS unknown_rate FROM (
-SELECT coalesce(h.incident_type, 'all') AS incident_type, count(*) AS n, count(*) FILTER (h.incident_type = t.likely_type) AS correct, count(*) FILTER (t.likely_type = 'UNKNOWN') AS unknown
-FROM judged_types t JOIN hits h USING (incident_id) GROUP BY GROUPING SETS ((h.incident_type), ()))""", hits=_HITS, shapes=_SHAPES, centres=_CENTRES, hit_shapes=_HITSHAPES,
-      judged_types=TYPE_SQL.format(id="incident_id", ids="h.incident_id", shapes="hit_shapes"))(lambda c: evaluate.type_accuracy(_judged(c)))
+SELECT incident_type, count(*) AS n, count(*) FILTER (incident_type = likely_type) AS correct, count(*) FILTER (likely_type = 'UNKNOWN') AS unknown FROM judged_hits GROUP BY 1
+UNION ALL SELECT 'all', count(*), count(*) FILTER (incident_type = likely_type), count(*) FILTER (likely_type = 'UNKNOWN') FROM judged_hits)""", hits=_HITS, shapes=_SHAPES, centres=_CENTRES, hit_shapes=_HITSHAPES,
+      judged_hits="SELECT h.incident_type, t.likely_type FROM judged_types t JOIN hits h USING (incident_id)", judged_types=TYPE_SQL.format(id="incident_id", ids="h.incident_id", shapes="hit_shapes"))(lambda c: evaluate.type_accuracy(_judged(c)))
 query("absent_types", "incident_type:s", "SELECT DISTINCT incident_type FROM inc_train WHERE severity > 1 EXCEPT SELECT incident_type FROM inc_val WHERE severity > 1 AND lanes_blocked > 1")(
     lambda c: evaluate.absent_types(c.in_validation(c.incidents).filter("severity > 1 AND lanes_blocked > 1"), c.in_train(c.incidents).filter("severity > 1")))
 query("bottleneck_quality", "threshold:d tp:i fp:i fn:i flagged:i precision:d recall:d f1:d", """
