@@ -112,6 +112,7 @@ def confidence_label(c) -> Column:
 
 # ---- calibration
 SWEEP_POINTS, SWEEP_FROM, SWEEP_TO = 300, 0.95, 0.99995
+SWEEP_DIGITS = 9  # a threshold that is itself an observed score must count that score, whatever the last bit of the quantile
 
 
 def threshold_sweep(parts: DataFrame, incidents: DataFrame, roadworks: DataFrame, variants=conf.VARIANTS) -> DataFrame:
@@ -123,11 +124,11 @@ def threshold_sweep(parts: DataFrame, incidents: DataFrame, roadworks: DataFrame
     keys = ["segment_id", "ts"]
     marked = (parts.join(roadworks.select(*keys), keys, "left_anti")
               .join(incidents.select(*keys, F.lit(1).alias("label")), keys, "left")
-              .select(F.coalesce("label", F.lit(0)).alias("label"), *[score(v).alias(v) for v in variants]))
+              .select(F.coalesce("label", F.lit(0)).alias("label"), *[F.round(score(v), SWEEP_DIGITS).alias(v) for v in variants]))
     asked = F.transform(F.sequence(F.lit(0), F.lit(SWEEP_POINTS - 1)), lambda i: F.struct(
         i.alias("name"), (i * (SWEEP_TO - SWEEP_FROM) / (SWEEP_POINTS - 1) + SWEEP_FROM).alias("p")))
     by_variant = marked.unpivot(["label"], list(variants), "variant", "value")
-    found = long_quantiles(by_variant, ["variant"], "value", asked).select("variant", "quantile").distinct().collect()
+    found = long_quantiles(by_variant, ["variant"], "value", asked).select("variant", F.round("quantile", SWEEP_DIGITS).alias("quantile")).distinct().collect()
     cuts = {v: sorted(r.quantile for r in found if r.variant == v) for v in variants}
     placed = Bucketizer(splitsArray=[[float("-inf"), *cuts[v], float("inf")] for v in variants], inputCols=list(variants),
                         outputCols=[f"{v}_at" for v in variants]).transform(marked)

@@ -26,10 +26,10 @@ _SCORED = """
 SELECT c.*, i.ts IS NOT NULL AS label FROM components c ANTI JOIN rw_slots w ON w.segment_id = c.segment_id AND w.ts = c.ts
 LEFT JOIN inc_mask i ON i.segment_id = c.segment_id AND i.ts = c.ts WHERE c.ts <= TIMESTAMP '2024-01-24 18:00:00'"""
 _LONG = """
-SELECT 'z_composite' AS variant, z_composite AS v, label FROM scored UNION ALL SELECT 'drop', local_drop, label FROM scored
-UNION ALL SELECT 'drop_epicentre', drop_epicentre, label FROM scored"""
+SELECT 'z_composite' AS variant, round(z_composite, 9) AS v, label FROM scored UNION ALL SELECT 'drop', round(local_drop, 9), label FROM scored
+UNION ALL SELECT 'drop_epicentre', round(drop_epicentre, 9), label FROM scored"""
 _CUTS = """
-SELECT DISTINCT variant, q AS threshold FROM (SELECT variant, unnest(quantile_cont(v, list_transform(range(300),
+SELECT DISTINCT variant, round(q, 9) AS threshold FROM (SELECT variant, unnest(quantile_cont(v, list_transform(range(300),
   lambda i: 0.95::DOUBLE + i * (0.99995::DOUBLE - 0.95::DOUBLE) / 299))) AS q FROM long_scores GROUP BY variant)"""
 _SWEEP = """
 SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (
