@@ -9,6 +9,7 @@ from .. import conf
 from ..conf import Settings
 from ..functions import slots
 from ..functions.columns import ratio_or_zero
+from ..functions.quantiles import quantiles
 from .corridor import ranking_quality
 from .detect import events, label_slots, with_prf
 
@@ -57,7 +58,8 @@ def event_level(incidents: DataFrame, rows: DataFrame, labelled: DataFrame, star
     """Incidents found, median delay, and detected events no label explains."""
     span = rows.filter(F.col("ts").between(slots.at(start), slots.at(end)))
     hits = incident_hits(incidents, span, cfg)
-    found = hits.agg(F.count("first_hit").alias("detected"), F.median("delay_min").alias("median_delay_min"))
+    found = hits.agg(F.count("first_hit").alias("detected")).withColumn(
+        "median_delay_min", quantiles(hits, [], "delay_min", {"middle": 0.5}).scalar())
     total = incidents.agg(F.count("*")).scalar()
     runs = events(span)
     slots_of = runs.withColumn("ts", F.explode(slots.slot_range("start", "end", cfg)))

@@ -153,12 +153,22 @@ def label_check(targets: DataFrame, actual: DataFrame, horizon_minutes: int) ->
 
 
 # ---- domain audits
+def overlapping(events: DataFrame, works: DataFrame) -> DataFrame:
+    """Pairs of one segment whose times overlap. Both sides are listed under the days they touch and met on (segment, day), so a segment
+    with a long history pairs only what is close in time; each pair is kept on the first day the two share."""
+    def daily(df, start, end):
+        return df.withColumn("day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+
+    pairs = daily(events, "start_time", "end_time").join(daily(works, "w_start", "w_end"), ["segment_id", "day"])
+    return pairs.filter((F.col("start_time") < F.col("w_end")) & (F.col("w_start") < F.col("end_time"))
+                        & (F.col("day") == F.greatest(F.to_date("start_time"), F.to_date("w_start"))))
+
+
 def incident_audit(train: DataFrame, later: DataFrame, roadworks: DataFrame) -> DataFrame:
     minutes = (F.unix_seconds("end_time") - F.unix_seconds("start_time")) / 60
     both = train.select("segment_id").intersect(later.select("segment_id"))
     unseen = later.select("incident_type").distinct().join(train.select("incident_type").distinct(), "incident_type", "left_anti")
-    works = roadworks.select("segment_id", F.col("start_time").alias("w_start"), F.col("end_time").alias("w_end"))
-    clash = train.join(works, "segment_id").filter((F.col("start_time") < F.col("w_end")) & (F.col("w_start") < F.col("end_time")))
+    clash = overlapping(train, roadworks.select("segment_id", F.col("start_time").alias("w_start"), F.col("end_time").alias("w_end")))
     return union_all([
         counts_by(train, "incidents", "incident_type", "severity"),
         facts(train, "incidents", rows=F.count("*"), duration_avg=F.avg(minutes), duration_min=F.min(minutes), duration_max=F.max(minutes),

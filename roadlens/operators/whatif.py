@@ -128,8 +128,14 @@ def feasibility(candidates: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def shortlist(reach: DataFrame, segments: DataFrame, candidates: DataFrame, keep: int = conf.CANDIDATES_TRIED) -> DataFrame:
-    """The feasible candidates tried for each segment. It does not depend on time, so it is made once per segment."""
-    checked = feasibility(candidates, segments).filter("feasible").select(candidates.columns)
+    """The feasible candidates tried for each segment. It does not depend on time, so it is made once per segment.
+
+    Within one target the order is by cost alone, so no more than ``keep`` of its candidates can be tried anywhere: a target with very
+    many candidates is cut to those before it meets the segments around it.
+    """
+    cheapest = Window.partitionBy("target_segment").orderBy("cost_index", "candidate_id")
+    checked = (feasibility(candidates, segments).filter("feasible").select(*candidates.columns, F.row_number().over(cheapest).alias("of_target"))
+               .filter(F.col("of_target") <= keep).drop("of_target"))
     order = Window.partitionBy("segment_id").orderBy("hop", "cost_index", "candidate_id")
     return (candidate_pool(reach, segments, checked).withColumn("tried", F.row_number().over(order)).filter(F.col("tried") <= keep))
 
