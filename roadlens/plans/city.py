@@ -58,7 +58,7 @@ class City(Analog):
 
     @cached_property
     def panel(self) -> DataFrame:
-        return bucketed(panel.sanitized(self.readings, self.segments, self.cfg), "panel", ["segment_id"], ["segment_id", "ts"])
+        return bucketed(panel.sanitized(self.readings, self.segments, self.cfg), "panel", ["segment_id"], ["segment_id", "ts"], clustered=True)
 
     # ---- network
     @cached_property

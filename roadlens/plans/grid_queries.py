@@ -144,7 +144,11 @@ UNION ALL SELECT 'legal_turns_' || bucket, count(*) FROM turns GROUP BY bucket
 UNION ALL SELECT 'out_degree_' || CAST(d AS VARCHAR), count(*) FROM (
   SELECT n.node_id, count(s.segment_id) AS d FROM nodes n LEFT JOIN segments s ON s.source_node = n.node_id GROUP BY 1) GROUP BY d""")(
     lambda c: graph.summary(c.nodes, c.segments, c.turn_restrictions, c.legal_turns))
-query("strong_connectivity", "nodes:i strongly_connected:b")(
+_REACHED = """
+SELECT * FROM (WITH RECURSIVE f AS (SELECT min(node_id) AS n FROM nodes UNION SELECT s.{b} FROM f JOIN segments s ON s.{a} = f.n) SELECT * FROM f)"""
+query("strong_connectivity", "nodes:i strongly_connected:b", """
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM onward) = (SELECT count(*) FROM nodes) AND (SELECT count(*) FROM backward) = (SELECT count(*) FROM nodes)
+  AS strongly_connected""", onward=_REACHED.format(a="source_node", b="target_node"), backward=_REACHED.format(a="target_node", b="source_node"))(
     lambda c: c.nodes.agg(F.count("*").alias("nodes")).withColumn(
         "strongly_connected", F.lit(graph.strongly_connected(c.segments, c.nodes))))
 query("detours", "blocked_id:s cost_hours:d turns:i", """

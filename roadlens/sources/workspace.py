@@ -30,13 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys, sort) -> DataFrame:
-    """Write as a table bucketed on ``keys``, so that later windows, aggregates and joins on them need no shuffle."""
+def bucketed(df: DataFrame, name: str, keys, sort, clustered: bool = False) -> DataFrame:
+    """Write as a table bucketed on ``keys``, so that later windows, aggregates and joins on them need no shuffle.
+
+    ``clustered`` says that the last step of ``df`` already is a window or aggregate on ``keys``: the rows are not shuffled again.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"roadlens_{name}_{uuid.uuid4().hex[:12]}"
     keys = list(keys)
-    (df.repartition(buckets, *keys).write.mode("error").format("parquet").option("compression", "zstd")
+    placed = df if clustered else df.repartition(buckets, *keys)
+    (placed.write.mode("error").format("parquet").option("compression", "zstd")
        .option("path", fresh_path(spark, name)).bucketBy(buckets, *keys).sortBy(*sort).saveAsTable(table))
     return spark.table(table)
 
