@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import slots
 from ..functions.columns import state_of
 from ..operators import detect, diagnose, spread
 from .registry import query

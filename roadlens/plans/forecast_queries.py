@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import slots
-from ..operators import corridor, detect, diagnose, evaluate, features, forecast, robustness
+from ..operators import detect, diagnose, evaluate, forecast, robustness
 from ..sources.workspace import fresh_path, written
 from ..streaming import live
 from .corridor_queries import STATS

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnose, graph, rider, routes, whatif
-from ..operators.panel import over_time
 from .corridor_queries import GEO
-from .detect_queries import _BN, _CENTRES, _EVIDENCE, _RUNS, _SHAPES, DIAG_VIEWS, SNAP_VIEWS, TYPE_SQL
+from .detect_queries import _CENTRES, _EVIDENCE, _SHAPES, DIAG_VIEWS, SNAP_VIEWS, TYPE_SQL
 from .registry import query
 
 # ---- route assessment

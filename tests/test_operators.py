@@ -6,9 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadlens import conf
 from roadlens.conf import Settings
-from roadlens.functions import columns, geo, slots
+from roadlens.functions import columns, geo
 from roadlens.functions.quantiles import quantiles
 from roadlens.operators import compare, corridor, detect, features, graph, panel, rider, routes, whatif
 from roadlens.plans.city import city
@@ -164,7 +163,7 @@ def zone(spark, **over):
 
 
 def test_impact_grows_with_capacity_and_never_beats_free_flow(spark):
-    rows = zone(spark).crossJoin(spark.createDataFrame([(0.0,), (.2,), (.5,), (5.0,)], "fixed_gain double")).withColumns(
+    rows = zone(spark).withColumn("fixed_gain", F.explode(F.array(*[F.lit(g) for g in (0.0, .2, .5, 5.0)]))).withColumns(
         {"gain_cap": F.lit(None).cast("double"), "signal_removal": F.lit(0.0), "demand_shift": F.lit(0.0)})
     got = compare.impact(rows).orderBy("fixed_gain").collect()
     assert [r.speed_after for r in got] == sorted(r.speed_after for r in got) and max(r.speed_after for r in got) <= 40
