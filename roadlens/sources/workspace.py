@@ -4,15 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application: their Python workers import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_roadlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="roadlens-")) / "roadlens.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._roadlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a private one only where none is set (single-machine tests)."""
+    """The folder the cluster names. Only a single machine may go without: there a private one is made."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not (spark.sparkContext.master or "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="roadlens-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
