@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .classifier import op4_classifier
+from .html import op6_html
 from .pii import op5_pii
 from .rules import op3_quality_rules
 from .sharding import op2_sharding
+from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality_rules, op5_pii)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op9_warc)}
 ORACLES: dict[str, str] = {}
 
 
