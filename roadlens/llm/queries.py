@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .classifier import op4_classifier
+from .decontaminate import op8_decontamination
 from .html import op6_html
+from .packing import op7_packing
 from .pii import op5_pii
 from .rules import op3_quality_rules
 from .sharding import op2_sharding
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op9_warc)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc)}
 ORACLES: dict[str, str] = {}
 
 
