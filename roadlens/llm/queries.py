@@ -5,6 +5,7 @@ from __future__ import annotations
 from .classifier import op4_classifier
 from .decontaminate import op8_decontamination
 from .html import op6_html
+from .katz import op10_katz
 from .ngram_join import op1_ngram_join
 from .packing import op7_packing
 from .pii import op5_pii
@@ -12,7 +13,7 @@ from .rules import op3_quality_rules
 from .sharding import op2_sharding
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc, op10_katz)}
 ORACLES: dict[str, str] = {}
 
 
