@@ -62,6 +62,7 @@ INTERVENTIONS = (
     ("signal_optimization", 0.05, None, 0.20, 0.0, 0.0, 95.0, 2.0, 0.5),
     ("traffic_diversion", 0.0, None, 0.0, 0.10, 0.0, 90.0, 0.0, 1.0),
 )
+SAVING_TOLERANCE_VEH_H = 0.1  # a saving below this is within the noise of the figures
 EXTENSION_LENGTH_FACTOR, MAX_JUNCTIONS, STRUCTURE_COST_SHARE = 0.7, 6, 0.01
 INTERVENTION_WEIGHTS = {"traffic_impact": 0.35, "land_feasibility": 0.20, "construction_feasibility": 0.15, "cost_efficiency": 0.15,
                         "long_term_impact": 0.15}
@@ -75,15 +76,16 @@ LAND_CONFIDENCE, INFRASTRUCTURE_CONFIDENCE = 65, 60
 class Settings:
     """Everything that depends on the time grid or on the data at hand."""
 
+    # the span of the data and its splits: always given, never guessed
+    start: str
+    end: str
+    fit_end: str
+    calib_start: str
+    train_end: str
+    val_start: str
+    val_end: str
     step_minutes: int = 5
     slots_per_day: int = 288
-    start: str = "2026-01-01 00:00:00"
-    fit_end: str = "2026-01-12 23:55:00"
-    calib_start: str = "2026-01-13 00:00:00"
-    train_end: str = "2026-01-15 23:55:00"
-    val_start: str = "2026-01-16 00:00:00"
-    val_end: str = "2026-01-19 23:55:00"
-    end: str = "2026-01-19 23:55:00"
     horizons: dict = field(default_factory=lambda: {15: 3, 30: 6, 45: 9, 60: 12})
     peak_hours: tuple = (7, 8, 9, 16, 17, 18, 19)
     offpeak_hours: tuple = (10, 11, 12, 13, 14, 15)
@@ -99,7 +101,7 @@ class Settings:
     growth_days: int = 5
     full_confidence_days: int = 14
     variant: str = "drop_epicentre"
-    threshold: float = 0.34132
+    threshold: float = 0.2  # fitted by the threshold sweep of the data at hand
     fit_every: int = 3
     band_min_rows: int = 50
 

@@ -1,8 +1,7 @@
-"""Exact quantiles (linear interpolation) of groups of any size.
+"""Exact quantiles (linear interpolation) of groups of any size, one way for all of them.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. That is right for groups with a known bound (one
-segment's readings of one hour) and wrong for a group that spans the network. For those the values are first counted per distinct
-value, the counts are summed per narrow logarithmic bucket, and only the buckets that hold a wanted rank are ordered.
+Values are counted per distinct value, the counts are summed per narrow logarithmic bucket, and only the buckets that hold a wanted rank
+are ordered. A bucket spans one part in 65,536 of a power of two, so even readings in a narrow range spread over many buckets.
 """
 
 from __future__ import annotations
@@ -12,12 +11,11 @@ from pyspark.sql import functions as F
 
 from .columns import col
 
-GROUP_LIMIT = 200_000
-BUCKETS_PER_OCTAVE = 256
+BUCKETS_PER_OCTAVE = 65_536
 
 
 def order_bucket(value) -> Column:
-    """A long that never decreases as the value grows, with 256 steps per power of two."""
+    """A long that never decreases as the value grows, with ``BUCKETS_PER_OCTAVE`` steps per power of two."""
     v = col(value)
     size = F.abs(v)
     octave = F.floor(F.log2(size))
@@ -25,16 +23,9 @@ def order_bucket(value) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise(F.floor(F.signum(v) * position * BUCKETS_PER_OCTAVE)).cast("long")
 
 
-def quantiles(df: DataFrame, keys, value: str, probs: dict, group_rows: int | None = None) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` (name -> probability). NULL values are left out.
-
-    ``group_rows`` is a checked upper bound of a group's rows; without one, or above ``GROUP_LIMIT``, the bucketed way is used.
-    """
+def quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
+    """One row per group with a column per entry of ``probs`` (name -> probability). NULL values are left out."""
     keys = list(keys)
-    if group_rows is not None and group_rows <= GROUP_LIMIT:
-        data = df.select(*keys, F.col(value).alias("q_value"))
-        return data.groupBy(*keys).agg(*[F.percentile("q_value", F.lit(p)).alias(name) for name, p in probs.items()]) \
-            .dropna(subset=list(probs), how="all")
     asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
     found = long_quantiles(df, keys, value, asked)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("quantile"))).alias(name) for name in probs])
@@ -42,18 +33,25 @@ def quantiles(df: DataFrame, keys, value: str, probs: dict, group_rows: int | No
 
 def long_quantiles(df: DataFrame, keys, value: str, asked: Column) -> DataFrame:
     """(keys, name, quantile, n) for ``asked``, an array of (name, p); n is the group's row count. A group may hold any number of rows."""
+    counted = df.select(*keys, F.col(value).alias("q_value")).filter(F.col("q_value").isNotNull()).groupBy(*keys, "q_value").agg(F.count("*").alias("q_copies"))
+    return counted_quantiles(counted, keys, asked)
+
+
+def counted_quantiles(counted: DataFrame, keys, asked: Column) -> DataFrame:
+    """As :func:`long_quantiles`, from (keys, q_value, q_copies): distinct values and how often each occurs."""
     keys = list(keys)
-    counted = (df.select(*keys, F.col(value).alias("q_value")).filter(F.col("q_value").isNotNull())
-               .groupBy(*keys, "q_value").agg(F.count("*").alias("q_copies")).withColumn("q_bucket", order_bucket("q_value")))
+    counted = counted.withColumn("q_bucket", order_bucket("q_value"))
     upto = Window.partitionBy(*keys).orderBy("q_bucket").rowsBetween(Window.unboundedPreceding, 0)
     buckets = (counted.groupBy(*keys, "q_bucket").agg(F.sum("q_copies").alias("q_in"))
                .withColumns({"q_total": F.sum("q_in").over(Window.partitionBy(*keys)),
                              "q_before": F.sum("q_in").over(upto) - F.col("q_in")}))
-    wanted = (buckets.withColumn("q_asked", F.explode(asked))
-              .select(*keys, "q_bucket", "q_before", "q_in", F.col("q_asked.name").alias("name"), "q_total",
-                      (F.col("q_asked.p") * (F.col("q_total") - 1)).alias("q_spot"))
-              .withColumn("q_rank", F.explode(F.array(F.floor("q_spot"), F.ceil("q_spot"))))
-              .filter((F.col("q_rank") >= F.col("q_before")) & (F.col("q_rank") < F.col("q_before") + F.col("q_in"))))
+    spot = lambda x: x["p"] * (F.col("q_total") - 1)
+    ranks = F.flatten(F.transform(asked, lambda x: F.array(*[
+        F.struct(x["name"].alias("name"), spot(x).alias("q_spot"), r(spot(x)).alias("q_rank")) for r in (F.floor, F.ceil)])))
+    # of the asked ranks only those that lie in a bucket become rows
+    mine = F.filter(ranks, lambda x: (x["q_rank"] >= F.col("q_before")) & (x["q_rank"] < F.col("q_before") + F.col("q_in")))
+    wanted = (buckets.withColumn("q_asked", F.explode(mine))
+              .select(*keys, "q_bucket", "q_before", "q_in", "q_total", "q_asked.name", "q_asked.q_spot", "q_asked.q_rank"))
     within = Window.partitionBy(*keys, "q_bucket").orderBy("q_value").rowsBetween(Window.unboundedPreceding, 0)
     held = (counted.join(wanted.select(*keys, "q_bucket", "q_before").distinct(), [*keys, "q_bucket"])
             .withColumn("q_last", F.col("q_before") + F.sum("q_copies").over(within) - 1)

@@ -64,16 +64,16 @@ def with_drops(ratios: DataFrame, base: DataFrame) -> DataFrame:
             .withColumn("drop", F.col("sr_med") - F.col("speed_ratio")))
 
 
-def network_shift(drops: DataFrame, n_segments: int) -> DataFrame:
+def network_shift(drops: DataFrame) -> DataFrame:
     """The median drop of all segments per slot, never below zero."""
-    middle = quantiles(drops, ["ts"], "drop", {"shift": 0.5}, group_rows=n_segments)
+    middle = quantiles(drops, ["ts"], "drop", {"shift": 0.5})
     return middle.select("ts", F.greatest("shift", F.lit(0.0)).alias("net_shift"))
 
 
-def components(ratios: DataFrame, base: DataFrame, edges: DataFrame, n_segments: int) -> DataFrame:
+def components(ratios: DataFrame, base: DataFrame, edges: DataFrame) -> DataFrame:
     """Everything the anomaly scores are made of, per cell."""
     drops = with_drops(ratios, base)
-    rows = drops.join(network_shift(drops, n_segments), "ts", "left")
+    rows = drops.join(network_shift(drops), "ts", "left")
     excess = F.col("drop") - F.col("net_shift")
     rows = rows.withColumns({
         "z_speed": excess / F.greatest(F.col("sr_mad") * conf.MAD_TO_SIGMA, F.lit(conf.SR_MAD_FLOOR)),
@@ -208,7 +208,7 @@ def event_windows(windows: DataFrame, flagged: DataFrame, cfg: Settings) -> Data
 
 
 # ---- recurring bottlenecks
-def bottlenecks(ratios: DataFrame, exclude: DataFrame, cfg: Settings, n_segments: int) -> DataFrame:
+def bottlenecks(ratios: DataFrame, exclude: DataFrame, cfg: Settings) -> DataFrame:
     """Segments whose throughput cannot rise at peak the way the rest of the network's does, repeatedly across days."""
     peak = F.hour("ts").isin(*cfg.peak_hours)
     clean = (ratios.join(exclude.select("segment_id", "ts"), ["segment_id", "ts"], "left_anti")
@@ -223,8 +223,8 @@ def bottlenecks(ratios: DataFrame, exclude: DataFrame, cfg: Settings, n_segments
              .select("segment_id", "day", F.when(F.col("o") != 0, F.col("p") / F.col("o")).alias("ratio")))
     # Both are one row per segment (and day): written, so that medians and spreads do not go back to the cells.
     whole, daily = written(whole, "amplification"), written(daily, "daily_amplification")
-    overall = robust_z(whole, [], "amplification", "robust_z", n_segments)
-    low = (robust_z(daily, ["day"], "ratio", "z", n_segments).groupBy("segment_id")
+    overall = robust_z(whole, [], "amplification", "robust_z")
+    low = (robust_z(daily, ["day"], "ratio", "z").groupBy("segment_id")
            .agg(F.count_if(F.col("z") <= conf.RECURRENCE_Z).alias("low_days")))
     days = ratios.select(F.to_date("ts").alias("day")).distinct().agg(F.count("*")).scalar()
     return (overall.join(low, "segment_id", "left")
@@ -232,15 +232,15 @@ def bottlenecks(ratios: DataFrame, exclude: DataFrame, cfg: Settings, n_segments
                     "peak_mean_congestion", F.coalesce(F.col("robust_z") <= conf.BOTTLENECK_Z, F.lit(False)).alias("detected")))
 
 
-def robust_z(df: DataFrame, keys: list, value: str, name: str, group_rows: int) -> DataFrame:
+def robust_z(df: DataFrame, keys: list, value: str, name: str) -> DataFrame:
     """Distance from the group's median in scaled median absolute deviations."""
     def beside(left, right):
         if keys:
             return left.join(right, keys, "left")
         return left.withColumns({c: right.select(c).scalar() for c in right.columns})
 
-    centred = beside(df, quantiles(df, keys, value, {"g_med": 0.5}, group_rows)).withColumn("g_dev", F.abs(F.col(value) - F.col("g_med")))
-    spread = quantiles(centred, keys, "g_dev", {"g_mad": 0.5}, group_rows)
+    centred = beside(df, quantiles(df, keys, value, {"g_med": 0.5})).withColumn("g_dev", F.abs(F.col(value) - F.col("g_med")))
+    spread = quantiles(centred, keys, "g_dev", {"g_mad": 0.5})
     scaled = F.col("g_mad") * conf.MAD_TO_SIGMA
     return (beside(centred, spread).withColumn(name, F.when(scaled != 0, (F.col(value) - F.col("g_med")) / scaled))
             .drop("g_med", "g_dev", "g_mad"))

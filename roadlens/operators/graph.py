@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..conf import MAX_HOPS, Settings
 from ..sources.workspace import checkpointed
 
+NEIGHBOR_STATS = ("up_congestion", "down_congestion", "up_sr", "down_sr", "up_flow")
+
 
 def twins(segments: DataFrame) -> DataFrame:
     """Each segment with the segment that runs the other way, if there is one."""
@@ -88,7 +90,7 @@ def neighbor_means(values: DataFrame, edges: DataFrame) -> DataFrame:
         mean("upstream", "speed_ratio", 1.0).alias("up_sr"),
         mean("downstream", "speed_ratio", 1.0).alias("down_sr"),
         mean("upstream", "flow_vph", 0.0).alias("up_flow")])
-    names = ("up_congestion", "down_congestion", "up_sr", "down_sr", "up_flow")
+    names = NEIGHBOR_STATS
     return (values.join(stats, ["segment_id", "ts"], "left")
             .withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names}))
 
@@ -104,12 +106,12 @@ def path_legality(paths: DataFrame, segments: DataFrame, legal: DataFrame) -> Da
             .agg(F.bool_and(F.col("to_segment").isNull() | F.coalesce("allowed", F.lit(False))).alias("legal")))
 
 
-def detours(blocked: DataFrame, segments: DataFrame, legal: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def detours(blocked: DataFrame, segments: DataFrame, legal: DataFrame) -> DataFrame:
     """Cheapest legal way around every blocked segment: (blocked_id, path, cost_hours).
 
     Label-correcting search run for all blocked segments together. Each round extends the labels that improved by one turn; labels
     that already cost as much as the best complete way are dropped, so the search stays around the blocked segment and ends by
-    itself. ``max_rounds`` only guards against a malformed graph.
+    itself. Costs are positive, so labels stop improving after finitely many rounds, and the loop runs until then.
     """
     cost = F.col("length_km") / F.col("free_flow_speed_kmh")
     ends = segments.select("segment_id", "source_node", "target_node", cost.alias("cost"))
@@ -122,7 +124,7 @@ def detours(blocked: DataFrame, segments: DataFrame, legal: DataFrame, max_round
               .select("blocked_id", "to_node", "segment_id", "target_node", "cost", F.array("segment_id").alias("path")))
     best = checkpointed(labels)
     active = best
-    for _ in range(max_rounds):
+    while True:
         arrived = best.filter(F.col("target_node") == F.col("to_node")).groupBy("blocked_id").agg(F.min("cost").alias("bound"))
         grown = (active.join(arrived, "blocked_id", "left").filter(F.col("bound").isNull() | (F.col("cost") < F.col("bound")))
                  .filter(F.col("target_node") != F.col("to_node"))

@@ -102,7 +102,7 @@ def naive(readings: DataFrame, segments: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def report(readings: DataFrame, segments: DataFrame, cfg: Settings) -> DataFrame:
-    """One row of counters describing what the sanitiser saw and did."""
+    """One row of counters describing what the sanitiser saw and did; readings outside the configured span are counted as such."""
     checked = filled(judged(cells(readings, segments, cfg)).withColumn("raw_speed", F.col("speed_kmh")), cfg)
     counts = checked.agg(
         F.sum(F.coalesce(F.col("copies") - 1, F.lit(0))).alias("duplicates_removed"),
@@ -114,8 +114,9 @@ def report(readings: DataFrame, segments: DataFrame, cfg: Settings) -> DataFrame
         F.count_if("rejected").alias("cells_rejected"),
         F.count_if(F.col("speed_kmh").isNull()).alias("cells_unfilled"),
         F.avg(F.col("valid").cast("double")).alias("quality_ratio"))
-    rows_in = readings.filter(F.col("ts").between(slots.at(cfg.start), slots.at(cfg.end))).agg(F.count("*").alias("rows_in"))
-    return counts.withColumn("rows_in", rows_in.scalar())
+    inside = F.coalesce(F.col("ts").between(slots.at(cfg.start), slots.at(cfg.end)), F.lit(False))
+    seen = readings.agg(F.count_if(inside).alias("rows_in"), F.count_if(~inside).alias("rows_outside"))
+    return counts.withColumns({c: seen.select(c).scalar() for c in ("rows_in", "rows_outside")})
 
 
 def as_of(panel: DataFrame, t: str, cfg: Settings) -> DataFrame:

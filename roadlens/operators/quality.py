@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import slots
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import counted_quantiles
+from ..sources.workspace import written
 
 NOT_SIGNED = ("lat", "lon", "x", "y", "grade_pct")
 TIME_COLUMNS = ("timestamp", "ts", "start_time", "end_time")
@@ -54,14 +55,23 @@ def duplicate_rows(df: DataFrame, dataset: str) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns=None) -> DataFrame:
-    """(column, min, max, mean, median, stddev, distinct, nulls) with the exact median, whatever the size of the table."""
+    """(column, min, max, mean, median, stddev, distinct, nulls) with the exact median, whatever the size of the table.
+
+    Everything follows from how often each distinct value occurs, counted and written once.
+    """
     columns = list(columns or numeric_columns(df))
-    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    basic = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-                                       F.stddev_pop("value").alias("stddev"), F.count_if(F.col("value").isNull()).alias("nulls"))
-    distinct = _value_counts(df, columns, "double").groupBy("column").agg(F.count("*").alias("distinct"))
-    return basic.join(quantiles(long, ["column"], "value", {"median": 0.5}), "column", "left").join(distinct, "column", "left") \
-        .withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "q_value")
+    counted = written(long.groupBy("column", "q_value").agg(F.count("*").alias("q_copies")), "value-counts")
+    known = counted.filter(F.col("q_value").isNotNull())
+    basic = counted.groupBy("column").agg(
+        F.min("q_value").alias("min"), F.max("q_value").alias("max"), F.count("q_value").alias("distinct"),
+        (F.sum(F.col("q_value") * F.col("q_copies")) / F.sum(F.when(F.col("q_value").isNotNull(), F.col("q_copies")))).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("q_value").isNull(), F.col("q_copies"))), F.lit(0)).alias("nulls"))
+    off = F.col("q_value") - F.col("mean")
+    spread = known.join(basic.select("column", "mean"), "column").groupBy("column").agg(
+        F.sqrt(F.sum(off * off * F.col("q_copies")) / F.sum("q_copies")).alias("stddev"))
+    middle = counted_quantiles(known, ["column"], F.array(F.struct(F.lit("median").alias("name"), F.lit(0.5).alias("p")))).select("column", F.col("quantile").alias("median"))
+    return basic.join(spread, "column", "left").join(middle, "column", "left")
 
 
 def categories(df: DataFrame, columns, most: int | None = 15) -> DataFrame:
@@ -110,7 +120,7 @@ def violations(df: DataFrame, dataset: str, **rules: Column) -> DataFrame:
 def validation_report(checks) -> DataFrame:
     bad = F.col("affected_count") > 0
     return union_all(checks).withColumns({"reason": F.when(bad, F.col("check")).otherwise("none"),
-                                          "transformation": F.when(bad, "flagged only, not removed").otherwise("n/a")})
+                                          "transformation": F.when(bad, "kept, only marked").otherwise("n/a")})
 
 
 def parity(stages: dict) -> DataFrame:
@@ -143,13 +153,23 @@ def incomplete_slots(df: DataFrame) -> DataFrame:
     return per.withColumn("expected", every).filter(F.col("reporting") != F.col("expected"))
 
 
-def label_check(targets: DataFrame, actual: DataFrame, horizon_minutes: int) -> DataFrame:
-    """Do labels (segment_id, ts, target) equal what was recorded ``horizon_minutes`` later (segment_id, ts, value)?"""
+def label_check(labels: DataFrame, actual: DataFrame, horizon_minutes: int, reference: str) -> DataFrame:
+    """Do the labels of one horizon (segment_id, ts, target) equal what ``actual`` (segment_id, ts, value) holds that much later?"""
     later = actual.select("segment_id", slots.shift("ts", -horizon_minutes).alias("ts"), "value")
     off = F.abs(F.col("target") - F.col("value"))
-    return targets.join(later, ["segment_id", "ts"]).agg(
-        F.lit(horizon_minutes).alias("horizon_min"), F.count("*").alias("joined"), F.count_if(off < 0.001).alias("exact"), F.avg(off).alias("mean_abs_diff"),
-        F.max(off).alias("max_abs_diff"))
+    return labels.join(later, ["segment_id", "ts"]).agg(
+        F.lit(horizon_minutes).alias("horizon_min"), F.lit(reference).alias("reference"), F.count("*").alias("joined"), F.count_if(off < 0.001).alias("exact"),
+        F.avg(off).alias("mean_abs_diff"), F.max(off).alias("max_abs_diff"))
+
+
+def value_listing(df: DataFrame, dataset: str, columns) -> DataFrame:
+    """(dataset, column, value, rows): every value of categorical columns, one row each, so no list has to fit one row."""
+    return _value_counts(df, columns, "string").select(F.lit(dataset).alias("dataset"), "column", "value", F.col("copies").alias("rows"))
+
+
+def time_span(df: DataFrame, dataset: str, column: str = "ts") -> DataFrame:
+    """First, last and number of distinct times."""
+    return df.agg(F.lit(dataset).alias("dataset"), F.min(column).alias("first"), F.max(column).alias("last"), F.countDistinct(column).alias("distinct"))
 
 
 # ---- domain audits

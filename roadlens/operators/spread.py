@@ -36,10 +36,10 @@ def calibration_samples(incidents: DataFrame, rows: DataFrame, reach: DataFrame,
             .drop("course"))
 
 
-def calibrate(samples: DataFrame, cfg: Settings, rows: int | None = None) -> DataFrame:
+def calibrate(samples: DataFrame, cfg: Settings) -> DataFrame:
     """(direction, hop, decay, lag_min_per_hop, samples): medians over the incidents."""
-    decay = quantiles(samples, ["direction", "hop"], "ratio", {"decay": 0.5}, rows)
-    lag = quantiles(samples, ["direction"], "lag_min", {"lag": 0.5}, rows)
+    decay = quantiles(samples, ["direction", "hop"], "ratio", {"decay": 0.5})
+    lag = quantiles(samples, ["direction"], "lag_min", {"lag": 0.5})
     counts = samples.groupBy("direction", "hop").agg(F.count("*").alias("samples"))
     step = float(cfg.step_minutes)
     return (counts.join(decay, ["direction", "hop"], "left").join(lag, "direction", "left")

@@ -187,7 +187,7 @@ def ranked(evaluated: DataFrame) -> DataFrame:
     return evaluated.withColumn("rank", F.row_number().over(order))
 
 
-def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = 0.0) -> DataFrame:
+def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = conf.SAVING_TOLERANCE_VEH_H) -> DataFrame:
     """Per case: no action, the best candidate, or an operational response; with a confidence and the reasons.
     ``cases`` holds (segment_id, ts, state, anomalous, cause, score, speed_ratio, confidence_label)."""
     best = ranked(evaluated).filter("rank = 1").select(
@@ -202,9 +202,9 @@ def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = 0.0)
     return (cases.join(best, ["segment_id", "ts"], "left").withColumn("kind", kind)
             .withColumn("confidence", lookup(F.greatest(base - down, F.lit(0)), {0: "LOW", 1: "MEDIUM", 2: "HIGH"}))
             .withColumns({
-                "headline": F.when(F.col("kind") == "none", "No intervention recommended")
-                .when(chosen, F.format_string("Simulate %s %s on %s", F.replace("intervention_type", F.lit("_"), F.lit(" ")), "candidate_id", "target_segment"))
-                .otherwise("Operational-only response"),
+                "headline": F.when(F.col("kind") == "none", "Leave as is")
+                .when(chosen, F.format_string("Try %s %s at %s", F.replace("intervention_type", F.lit("_"), F.lit(" ")), "candidate_id", "target_segment"))
+                .otherwise("Respond by operations"),
                 "reasons": F.array_compact(F.array(
                     F.when(F.col("anomalous"), F.format_string("anomaly score %.2f (%s)", "score", "cause")),
                     F.when(F.col("speed_ratio").isNotNull(), F.format_string("state %s, speed ratio %.2f", "state", "speed_ratio")).otherwise("no current reading"),
@@ -213,7 +213,8 @@ def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = 0.0)
                           .otherwise("no candidate reduced the delay")))),
                 "limitations": F.array_compact(F.array(
                     F.lit("flows are taken as observed"), F.lit("a candidate adds its capacity to its target only"),
-                    F.when(chosen & (F.col("hop") > 0), "no candidate targets this segment directly")))})
+                    F.when(chosen & (F.col("hop") > 0), "no candidate targets this segment directly"),
+                    F.when(chosen & (F.abs("saved_veh_h") < tolerance_veh_h), "the saving is within the noise of the figures")))})
             .withColumn("candidate_id", F.when(chosen, F.col("candidate_id"))))
 
 

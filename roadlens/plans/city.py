@@ -100,12 +100,12 @@ class City(Analog):
     @cached_property
     def components(self) -> DataFrame:
         """Scored components of every cell."""
-        parts = detect.components(self.ratios, self.baseline, self.edges, self.n_segments)
+        parts = detect.components(self.ratios, self.baseline, self.edges)
         return bucketed(detect.scored(parts, self.cfg), "components", ["segment_id"], ["segment_id", "ts"])
 
     @cached_property
     def bottlenecks(self) -> DataFrame:
-        found = detect.bottlenecks(self.up_to(self.ratios, self.cfg.train_end), self.labelled, self.cfg, self.n_segments)
+        found = detect.bottlenecks(self.up_to(self.ratios, self.cfg.train_end), self.labelled, self.cfg)
         return written(found, "bottlenecks")
 
     @cached_property
@@ -143,7 +143,7 @@ class City(Analog):
 
     @cached_property
     def norms(self) -> DataFrame:
-        return written(corridor.norms(self.segment_stats, self.n_segments), "norms")
+        return written(corridor.norms(self.segment_stats), "norms")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -210,9 +210,10 @@ class City(Analog):
 
     @cached_property
     def rider_ratios(self) -> DataFrame:
-        """Speed ratio now and at the next slot (the forecast the assessment is given here is the recorded future)."""
-        return self.components.select("segment_id", "ts", F.col("speed_ratio").alias("ratio_now"),
-                                      F.lead("speed_ratio").over(panel.over_time()).alias("ratio_later"))
+        """Speed ratio now and as forecast for the next slot."""
+        ahead = forecast.forecast_states(self.daily_forecast.filter(F.col("horizon_min") == self.cfg.step_minutes), self.segments)
+        return self.components.select("segment_id", "ts", F.col("speed_ratio").alias("ratio_now")).join(
+            ahead.select("segment_id", "ts", F.col("ratio").alias("ratio_later")), ["segment_id", "ts"], "left")
 
     @cached_property
     def sample_states(self) -> DataFrame:
@@ -242,10 +243,9 @@ class City(Analog):
         return forecast.with_bands(forecast.persistence(self.panel, self.cfg), self.bands, self.ratios, self.segments)
 
     @cached_property
-    def hindsight(self) -> DataFrame:
-        """A forecast table whose p50 is what was recorded later, for the operators that read any forecast table."""
-        known = self.recorded.select("segment_id", "ts", "metric", "horizon_min", "now", F.col("actual").alias("p50"))
-        return forecast.with_bands(known, self.bands, self.ratios, self.segments)
+    def daily_forecast(self) -> DataFrame:
+        """The forecast table that map, outlook, trend and riders read: known from past data alone, and sayable in SQL."""
+        return written(forecast.with_bands(forecast.daily_change(self.panel, self.cfg), self.bands, self.ratios, self.segments), "daily_forecast")
 
     # ---- planning
     @cached_property

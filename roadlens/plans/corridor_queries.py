@@ -161,7 +161,7 @@ _STAT_COLUMNS = ("segment_id:s length_km:d lanes:i road_class:s free_flow_kmh:d
                  "ceiling_raw:d history_days:i junction_signal_raw:d")
 query("segment_history_stats", _STAT_COLUMNS, "SELECT * FROM seg_stats", **STATS)(
     lambda c: corridor.segment_stats(c.up_to(c.panel, c.cfg.train_end), c.segments, c.signals, c.in_train(c.incidents), c.bottlenecks, c.cfg))
-query("robust_bounds", "metric:s low:d high:d", "SELECT * FROM bounds", **STATS)(lambda c: corridor.norms(c.segment_stats, c.n_segments))
+query("robust_bounds", "metric:s low:d high:d", "SELECT * FROM bounds", **STATS)(lambda c: corridor.norms(c.segment_stats))
 query("segment_scores", "segment_id:s congestion:d bottleneck:d level:s c_delay:d c_throughput_ceiling:d", "SELECT * FROM seg_scores",
       seg_scores=_scores("seg_stats", ""), **STATS)(lambda c: corridor.with_scores(c.segment_stats, c.norms))
 
@@ -234,14 +234,15 @@ SELECT route_id, o.option, o.supported FROM zone_facts, LATERAL (VALUES ('Signal
   ('Intelligent signal control', n_signalised >= 2), ('Junction redesign', junctions >= 3), ('Lane optimization', min_lanes <= 3 AND coalesce(util, 0) >= 80),
   ('Bus priority', NULL), ('Traffic diversion', true), ('Underpass', NULL)) o(option, supported)""", zone_facts=_FACTS, **RECORDS)(
     lambda c: corridor.alternatives(_whole(c), c.trips.select("route_id", F.lit(2).alias("n_routes"))))
-query("corridor_confidence", "route_id:s coverage:d history:d field_completeness:d confidence:d", """
+_CONFIDENCE = """
 SELECT *, round_even((coverage * 0.35::DOUBLE + history * 0.2::DOUBLE + 0.3::DOUBLE * 0.15::DOUBLE + 0.15::DOUBLE + field_completeness * 0.15::DOUBLE) * 100, 0) AS confidence FROM (
 SELECT route_id, sum(CASE WHEN data_status = 'MATCHED' THEN length_m ELSE 0 END) / sum(length_m) AS coverage,
   least(1, coalesce(max(history_days), 0) / 14) AS history,
   (CASE WHEN count(road_name) FILTER (data_status = 'MATCHED') > 0 THEN 1 ELSE 0 END + CASE WHEN count(road_class) > 0 THEN 1 ELSE 0 END + CASE WHEN count(lanes) > 0 THEN 1 ELSE 0 END
    + CASE WHEN count(junction_count) FILTER (data_status = 'MATCHED') > 0 THEN 1 ELSE 0 END + CASE WHEN count(signal_count) > 0 THEN 1 ELSE 0 END
    + CASE WHEN count(traffic_volume) > 0 THEN 1 ELSE 0 END + CASE WHEN count(average_speed) > 0 THEN 1 ELSE 0 END + CASE WHEN count(incidents) > 0 THEN 1 ELSE 0 END) / 13 AS field_completeness
-FROM records GROUP BY 1)""", **RECORDS)(lambda c: corridor.data_confidence(c.stretch_records, c.cfg))
+FROM records GROUP BY 1)"""
+query("corridor_confidence", "route_id:s coverage:d history:d field_completeness:d confidence:d", _CONFIDENCE, **RECORDS)(lambda c: corridor.data_confidence(c.stretch_records, c.cfg))
 query("corridor_summary", "route_id:s distance_km:d free_flow_time_min:d estimated_time_min:d stretches:i n_critical:i n_high:i n_moderate:i n_low:i n_no_data:i "
       "coverage_pct:d congestion_index:d traffic_status:s", f"""
 SELECT route_id, round_even(total_m / 1000, 2) AS distance_km, round_even(total_m / 1000 / 30 * 60, 1) AS free_flow_time_min,
@@ -316,9 +317,9 @@ FROM (SELECT *, greatest((t0 - sig) * {r('u_b')} / {r('utilization')} + sig, fre
 
 COMPARE = {**RECORDS, "zone_m": _ZM, "land": _LAND, "ivs": _IV,
            "iv0": """
-SELECT *, CASE WHEN intervention = 'signal_optimization' AND signals <= 0 THEN 'No signalised control in the zone.'
-    WHEN intervention = 'junction_redesign' AND junctions < 1 AND signals <= 0 THEN 'No junction in the zone.'
-    WHEN intervention = 'traffic_diversion' AND alt_routes < 1 THEN 'No alternative route was found.' END AS not_applicable,
+SELECT *, CASE WHEN intervention = 'signal_optimization' AND signals <= 0 THEN 'nothing here is signal-controlled'
+    WHEN intervention = 'junction_redesign' AND junctions < 1 AND signals <= 0 THEN 'the zone contains no junction'
+    WHEN intervention = 'traffic_diversion' AND alt_routes < 1 THEN 'every trip has a single way' END AS not_applicable,
   CASE WHEN intervention IN ('flyover', 'road_widening') THEN length_km WHEN intervention = 'road_extension' THEN length_km * 0.7::DOUBLE END AS built,
   CASE WHEN intervention IN ('flyover', 'road_widening') THEN length_km WHEN intervention = 'road_extension' THEN length_km * 0.7::DOUBLE
     WHEN intervention = 'junction_redesign' THEN greatest(1, least(6, round_even(CASE WHEN junctions <> 0 THEN CAST(junctions AS DOUBLE) ELSE signals END, 0)))
@@ -373,5 +374,5 @@ FROM (SELECT DISTINCT zone_id FROM iv5) z LEFT JOIN iv5 t ON t.zone_id = z.zone_
 LEFT JOIN iv5 r ON r.zone_id = z.zone_id AND r.applicable AND r.rank = 2""", **COMPARE)(lambda c: compare.recommend(_compared(c)))
 query("intervention_confidence", "route_id:s road_network:d traffic:d overall:d", """
 SELECT route_id, road_network, traffic, round_even(traffic * 0.35::DOUBLE + road_network * 0.2::DOUBLE + 65 * 0.25::DOUBLE + 60 * 0.2::DOUBLE, 0) AS overall FROM (
-SELECT r.route_id, round_even(count(road_name) / count(*) * 100, 0) AS road_network, 70::DOUBLE AS traffic FROM records r GROUP BY 1)""", **RECORDS)(
-    lambda c: compare.confidence(c.stretch_records, c.trips.select("route_id", F.lit(70.0).alias("confidence"))))
+SELECT r.route_id, round_even(count(road_name) / count(*) * 100, 0) AS road_network, any_value(k.confidence) AS traffic FROM records r JOIN sure k USING (route_id) GROUP BY 1)""",
+      sure=_CONFIDENCE, **RECORDS)(lambda c: compare.confidence(c.stretch_records, corridor.data_confidence(c.stretch_records, c.cfg)))

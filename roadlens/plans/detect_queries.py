@@ -15,7 +15,7 @@ query("baseline", "segment_id:s hour:i daytype:i sr_med:d sr_mad:d fr_med:d fr_m
     lambda c: detect.baseline(c.up_to(c.ratios, c.cfg.train_end), c.labelled))
 query("local_drop", "segment_id:s ts:t drop:d net_shift:d z_speed:d z_flow:d local_drop:d neighbor_max_drop:d",
       "SELECT segment_id, ts, drop, net_shift, z_speed, z_flow, local_drop, neighbor_max_drop FROM components")(
-    lambda c: detect.components(c.ratios, c.baseline, c.edges, c.n_segments))
+    lambda c: detect.components(c.ratios, c.baseline, c.edges))
 query("score_variants", "segment_id:s ts:t z_composite:d local:d drop_epicentre:d",
       "SELECT segment_id, ts, z_composite, local_drop AS local, drop_epicentre FROM components")(
     lambda c: c.components.select("segment_id", "ts", detect.score("z_composite").alias("z_composite"), detect.score("drop").alias("local"),
@@ -55,7 +55,7 @@ _CONF = "(1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE))))
 _LABEL = f"CASE WHEN {_CONF} >= 0.8 THEN 'HIGH' WHEN {_CONF} >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END"
 query("snapshot_state", "segment_id:s ts:t speed_ratio:d state:s score:d anomalous:b confidence:d", f"""
 SELECT segment_id, ts, speed_ratio, state, score, anomalous, {_CONF} AS confidence FROM components""")(
-    lambda c: detect.scored(detect.components(c.ratios, c.baseline, c.edges, c.n_segments), c.cfg)
+    lambda c: detect.scored(detect.components(c.ratios, c.baseline, c.edges), c.cfg)
     .withColumn("confidence", detect.confidence(F.col("score"), c.cfg.threshold, F.col("quality"))))
 query("confidence_labels", "confidence_label:s anomalous:b cells:i", f"""
 SELECT {_LABEL} AS confidence_label, anomalous, count(*) AS cells FROM components GROUP BY ALL""")(
@@ -105,7 +105,7 @@ SELECT w.segment_id, amplification, (amplification - m) / nullif(s, 0) AS robust
 FROM bn_whole w LEFT JOIN bn_low USING (segment_id), bn_m, bn_s, bn_days"""}
 query("recurring_bottlenecks", "segment_id:s amplification:d robust_z:d recurrence:d peak_mean_congestion:d detected:b",
       "SELECT * FROM bottlenecks", **_BN)(
-    lambda c: detect.bottlenecks(c.up_to(c.ratios, c.cfg.train_end), c.labelled, c.cfg, c.n_segments))
+    lambda c: detect.bottlenecks(c.up_to(c.ratios, c.cfg.train_end), c.labelled, c.cfg))
 
 # ---- causes
 _DIAG = """

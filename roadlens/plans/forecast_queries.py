@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
+from ..conf import FORECAST_METRICS
 from ..functions import slots
 from ..operators import detect, diagnose, evaluate, forecast, robustness
 from ..sources.workspace import fresh_path, written
@@ -16,7 +20,8 @@ from .registry import query
 _M = (("speed", "speed_kmh"), ("flow", "flow_vph"), ("congestion", "congestion_index"))
 _H = ((360, 1), (720, 2), (1080, 3))
 FC = {
-    "fc0": " UNION ALL ".join(f"SELECT segment_id, ts, '{m}' AS metric, {h} AS horizon_min, {c} AS now, lead({c}, {k}) OVER (PARTITION BY segment_id ORDER BY ts) AS actual FROM panel"
+    "fc0": " UNION ALL ".join(f"SELECT segment_id, ts, '{m}' AS metric, {h} AS horizon_min, {c} AS now, lead({c}, {k}) OVER (PARTITION BY segment_id ORDER BY ts) AS actual, "
+                              f"coalesce({c} + lag({c}, {4 - k}) OVER (PARTITION BY segment_id ORDER BY ts) - lag({c}, 4) OVER (PARTITION BY segment_id ORDER BY ts), {c}) AS daily FROM panel"
                               for m, c in _M for h, k in _H),
     "res0": """
 SELECT metric, horizon_min, CASE WHEN r.speed_ratio < 0.85::DOUBLE THEN 'congested' ELSE 'normal' END AS bucket, actual - now AS res
@@ -39,7 +44,7 @@ FROM fc0 f JOIN ratios r USING (segment_id, ts) JOIN bands b ON b.metric = f.met
   AND b.bucket = CASE WHEN r.speed_ratio < 0.85::DOUBLE THEN 'congested' ELSE 'normal' END"""
 
 
-FC |= {"pers": _banded("f.now"), "hind": _banded("f.actual")}
+FC |= {"pers": _banded("f.now"), "seas": _banded("f.daily")}
 _FCOLS = "segment_id:s ts:t metric:s horizon_min:i now:d p50:d p10:d p90:d"
 query("persistence_forecast", "segment_id:s ts:t metric:s horizon_min:i p50:d", "SELECT segment_id, ts, metric, horizon_min, now AS p50 FROM fc0", **FC)(
     lambda c: forecast.persistence(c.panel, c.cfg))
@@ -50,8 +55,8 @@ query("forecast_bands", _FCOLS, "SELECT * FROM pers", **FC)(lambda c: c.persiste
 query("forecast_overlay", _FCOLS + " recorded_later:d", "SELECT *, actual AS recorded_later FROM pers", **FC)(lambda c: forecast.overlay(c.persistence, c.recorded))
 _ST = "CASE WHEN {0} >= 0.85::DOUBLE THEN 'NORMAL' WHEN {0} >= 0.70::DOUBLE THEN 'MODERATE' WHEN {0} >= 0.50::DOUBLE THEN 'HEAVY' WHEN {0} >= 0 THEN 'CRITICAL' ELSE 'NO_DATA' END"
 query("forecast_map", "segment_id:s ts:t horizon_min:i ratio:d state:s", f"""
-SELECT segment_id, ts, horizon_min, p50 / free_flow_speed_kmh AS ratio, {_ST.format('p50 / free_flow_speed_kmh')} AS state FROM hind WHERE metric = 'speed'""", **FC)(
-    lambda c: forecast.forecast_states(c.hindsight, c.segments))
+SELECT segment_id, ts, horizon_min, p50 / free_flow_speed_kmh AS ratio, {_ST.format('p50 / free_flow_speed_kmh')} AS state FROM seas WHERE metric = 'speed'""", **FC)(
+    lambda c: forecast.forecast_states(c.daily_forecast, c.segments))
 query("forecast_series", "segment_id:s metric:s at:t value:d kind:s", " UNION ALL ".join(
     f"SELECT segment_id, '{m}' AS metric, ts AS at, {c} AS value, 'history' AS kind FROM panel WHERE ts BETWEEN TIMESTAMP '2024-01-26 12:00:00' - INTERVAL 144 HOUR AND TIMESTAMP '2024-01-26 12:00:00'"
     for m, c in _M) + " UNION ALL SELECT segment_id, metric, ts + INTERVAL 1 MINUTE * horizon_min, p50, 'forecast' FROM pers WHERE ts = TIMESTAMP '2024-01-26 12:00:00'", **FC)(
@@ -63,34 +68,45 @@ SELECT *, CASE WHEN worst > {_RK.format('now_level')} THEN 'worsening' WHEN wors
 SELECT *, max({_RK.format('level')}) OVER (PARTITION BY segment_id, ts) AS worst FROM (
 SELECT segment_id, ts, horizon_min, {_LV.format('now / free_flow_speed_kmh')} AS now_level, {_LV.format('p50 / free_flow_speed_kmh')} AS level,
   CASE WHEN coalesce((p90 - p10) / free_flow_speed_kmh, 1) < 0.15 THEN 'High' WHEN coalesce((p90 - p10) / free_flow_speed_kmh, 1) < 0.3 THEN 'Medium' ELSE 'Low' END AS confidence
-FROM hind WHERE metric = 'speed' AND p50 IS NOT NULL))"""
-query("forecast_outlook", "segment_id:s ts:t horizon_min:i now_level:s level:s confidence:s trend:s", _OUTLOOK, **FC)(lambda c: forecast.outlook(c.hindsight, c.segments))
+FROM seas WHERE metric = 'speed' AND p50 IS NOT NULL))"""
+query("forecast_outlook", "segment_id:s ts:t horizon_min:i now_level:s level:s confidence:s trend:s", _OUTLOOK, **FC)(lambda c: forecast.outlook(c.daily_forecast, c.segments))
 query("speed_trend", "segment_id:s ts:t now:d later:d trend:s", """
 SELECT segment_id, ts, now, p50 AS later, CASE WHEN (p50 - now) / free_flow_speed_kmh < -0.05 THEN 'worsening' WHEN (p50 - now) / free_flow_speed_kmh > 0.05 THEN 'recovering' ELSE 'stable' END AS trend
-FROM hind WHERE metric = 'speed' AND horizon_min = 720 AND now IS NOT NULL AND p50 IS NOT NULL""", **FC)(lambda c: forecast.speed_trend(c.hindsight, c.segments, 720))
+FROM seas WHERE metric = 'speed' AND horizon_min = 720 AND now IS NOT NULL AND p50 IS NOT NULL""", **FC)(lambda c: forecast.speed_trend(c.daily_forecast, c.segments, 720))
 query("near_term_outlook", "segment_id:s ts:t state:s levels:s trend:s peak_flow_vph:d peak_speed_kmh:d peak_utilization_pct:d", """
 SELECT c.segment_id, c.ts, c.state, coalesce(o.levels, '') AS levels, o.trend, round_even(s.peak_flow_vph, 0) AS peak_flow_vph, round_even(s.peak_speed_kmh, 1) AS peak_speed_kmh,
   round_even(s.utilization * 100, 0) AS peak_utilization_pct
 FROM components c LEFT JOIN (SELECT segment_id, ts, string_agg(level, ',' ORDER BY horizon_min) AS levels, any_value(trend) AS trend FROM outlook GROUP BY ALL) o
   ON o.segment_id = c.segment_id AND o.ts = c.ts JOIN seg_stats s ON s.segment_id = c.segment_id""", outlook=_OUTLOOK, **FC, **STATS)(
-    lambda c: forecast.near_term(c.segments.select("segment_id"), c.snapshots, forecast.outlook(c.hindsight, c.segments), c.segment_stats)
+    lambda c: forecast.near_term(c.segments.select("segment_id"), c.snapshots, forecast.outlook(c.daily_forecast, c.segments), c.segment_stats)
     .withColumn("levels", F.concat_ws(",", F.transform("levels", lambda x: x["level"]))))
 
 
-def _trees(c):
-    """Boosted trees for speed one slot ahead: fitted on the first days, bands from the calibration days, scored on the validation days."""
-    horizon = 360
-    rows = forecast.training_rows(c.panel, c.segments, c.context, c.edges, c.cfg, horizon)
-    rows = written(rows, "training")
-    model = forecast.train(rows, "speed", horizon, c.cfg, maxIter=5, maxDepth=4, minInstancesPerNode=10)
-    predicted = written(forecast.predict(model, rows, "speed", horizon), "predicted")
-    bands = forecast.residual_bands(predicted, c.recorded, c.ratios, c.cfg)
-    return forecast.with_bands(predicted, bands, c.ratios, c.segments)
+MODELS_AT_ONCE = 4
+
+
+def _fitted(c):
+    """Boosted trees of every metric and horizon: fitted on the first days, bands from the calibration days. The fits are independent, so
+    a few run at the same time; each is written, and the table of all is kept for the life of the city."""
+    if not hasattr(c, "tree_forecast"):
+        rows = {h: written(forecast.training_rows(c.panel, c.segments, c.context, c.edges, c.cfg, h), "training") for h in c.cfg.horizons}
+
+        def one(job):
+            metric, horizon = job
+            return written(forecast.predict(forecast.train(rows[horizon], metric, horizon, c.cfg), rows[horizon], metric, horizon), "predicted")
+        with ThreadPool(MODELS_AT_ONCE) as pool:
+            parts = pool.map(inheritable_thread_target(one), [(m, h) for m in FORECAST_METRICS for h in c.cfg.horizons])
+        predicted = parts[0]
+        for p in parts[1:]:
+            predicted = predicted.unionByName(p)
+        bands = forecast.residual_bands(predicted, c.recorded, c.ratios, c.cfg)
+        c.tree_forecast = written(forecast.with_bands(predicted, bands, c.ratios, c.segments), "tree_forecast")
+    return c.tree_forecast
 
 
-query("boosted_tree_forecast", _FCOLS)(_trees)
+query("boosted_tree_forecast", _FCOLS)(_fitted)
 query("boosted_tree_metrics", "metric:s horizon_min:i model_mae:d persistence_mae:d improvement_pct:d coverage:d model_n:i")(
-    lambda c: evaluate.forecast_metrics(_trees(c), c.recorded, c.ratios, c.cfg.val_start, c.cfg.val_end))
+    lambda c: evaluate.forecast_metrics(_fitted(c), c.recorded, c.ratios, c.cfg.val_start, c.cfg.val_end))
 
 # ---- evaluation
 _ERR = lambda p, y, yh: (f"avg(abs({yh} - {y})) AS {p}mae, sqrt(avg(({yh} - {y}) * ({yh} - {y}))) AS {p}rmse, count({yh} - {y}) AS {p}n, "
@@ -157,8 +173,8 @@ SELECT *, correct::DOUBLE / n AS accuracy, unknown::DOUBLE / n AS unknown_rate F
 SELECT incident_type, count(*) AS n, count(*) FILTER (incident_type = likely_type) AS correct, count(*) FILTER (likely_type = 'UNKNOWN') AS unknown FROM judged_hits GROUP BY 1
 UNION ALL SELECT 'all', count(*), count(*) FILTER (incident_type = likely_type), count(*) FILTER (likely_type = 'UNKNOWN') FROM judged_hits)""", hits=_HITS, shapes=_SHAPES, centres=_CENTRES, hit_shapes=_HITSHAPES,
       judged_hits="SELECT h.incident_type, t.likely_type FROM judged_types t JOIN hits h USING (incident_id)", judged_types=TYPE_SQL.format(id="incident_id", ids="h.incident_id", shapes="hit_shapes"))(lambda c: evaluate.type_accuracy(_judged(c)))
-query("absent_types", "incident_type:s", "SELECT DISTINCT incident_type FROM inc_train WHERE severity > 1 EXCEPT SELECT incident_type FROM inc_val WHERE severity > 1 AND lanes_blocked > 1")(
-    lambda c: evaluate.absent_types(c.in_validation(c.incidents).filter("severity > 1 AND lanes_blocked > 1"), c.in_train(c.incidents).filter("severity > 1")))
+query("absent_types", "incident_type:s", "SELECT DISTINCT incident_type FROM inc_train EXCEPT SELECT incident_type FROM inc_val")(
+    lambda c: evaluate.absent_types(c.in_validation(c.incidents), c.in_train(c.incidents)))
 query("bottleneck_quality", "threshold:d tp:i fp:i fn:i flagged:i precision:d recall:d f1:d", """
 SELECT *, tp + fp AS flagged, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall,
   CASE WHEN tp > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (
@@ -196,7 +212,7 @@ def _robustness(c):
         "speed_ratio": F.col("speed_kmh") / F.col("free_flow_speed_kmh"), "flow_ratio": F.col("flow_vph") / F.col("capacity_vph")}), c.context)
     base = c.baseline.withColumnRenamed("segment_id", "base_id")
     drops = ratios.withColumn("hour", F.hour("ts").cast("long")).join(base, ["base_id", "hour", "daytype"], "left").withColumn("drop", F.col("sr_med") - F.col("speed_ratio"))
-    shift = detect.network_shift(drops.withColumn("cell_ts", F.col("ts")).withColumn("ts", F.struct("pipeline", "scenario", "cell_ts")), c.n_segments)
+    shift = detect.network_shift(drops.withColumn("cell_ts", F.col("ts")).withColumn("ts", F.struct("pipeline", "scenario", "cell_ts")))
     shift = shift.select(F.col("ts.pipeline").alias("pipeline"), F.col("ts.scenario").alias("scenario"), F.col("ts.cell_ts").alias("ts"), "net_shift")
     local = drops.join(shift, ["pipeline", "scenario", "ts"], "left").withColumn("local_drop", F.coalesce(F.col("drop") - F.col("net_shift"), F.lit(0.0)))
     local = written(local.select("pipeline", "scenario", "base_id", "ts", "local_drop", "speed_kmh", "quality"), "scenario_drops")
@@ -242,8 +258,9 @@ def _sanitised_stream(c):
     return _streamed(c, live.sanitised(c.readings_stream(), c.segments, c.cfg), "sanitised")
 
 
-query("stream_sanitised", "segment_id:s ts:t ingest_seq:i speed_kmh:d flow_vph:d congestion_index:d valid:b", """
-SELECT p.segment_id, p.ts, d.ingest_seq, p.speed_kmh, p.flow_vph, p.congestion_index, p.valid FROM panel p JOIN dedup d ON d.segment_id = p.segment_id AND d.ts = p.ts""")(_sanitised_stream)
+query("stream_sanitised", "segment_id:s ts:t ingest_seq:i speed_kmh:d flow_vph:d congestion_index:d valid:b late:i", """
+SELECT p.segment_id, p.ts, d.ingest_seq, p.speed_kmh, p.flow_vph, p.congestion_index, p.valid, 0 AS late FROM panel p JOIN dedup d ON d.segment_id = p.segment_id AND d.ts = p.ts
+WHERE p.ts <= (SELECT max(ts) FROM readings) - INTERVAL 15 MINUTE""")(_sanitised_stream)
 
 
 def _events_stream(c):
@@ -261,7 +278,7 @@ WHERE "end" + INTERVAL 6 HOUR <= (SELECT max(ts) FROM components WHERE anomalous
 def _scored_stream(c):
     path, checkpoint = fresh_path(c.spark, "scored"), fresh_path(c.spark, "scored-checkpoint")
     closed = live.slot_means(c.readings_stream(), c.cfg).withColumnRenamed("slot", "ts")
-    live.score_batches(live.with_baseline(closed, c.segments, c.baseline, c.context), path, checkpoint, c.n_segments).awaitTermination()
+    live.score_batches(live.with_baseline(closed, c.segments, c.baseline, c.context), path, checkpoint).awaitTermination()
     return c.spark.read.parquet(path)
 
 

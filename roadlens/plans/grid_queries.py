@@ -45,9 +45,10 @@ query("sanitized_panel", "segment_id:s ts:t speed_kmh:d flow_vph:d occupancy_pct
       "valid:b quality:d", "SELECT * FROM panel")(
     lambda c: panel.sanitized(c.readings, c.segments, c.cfg))
 
-query("sanitizer_report", "rows_in:i duplicates_removed:i missing_cells:i negative_cells:i impossible_cells:i spike_cells:i "
+query("sanitizer_report", "rows_in:i rows_outside:i duplicates_removed:i missing_cells:i negative_cells:i impossible_cells:i spike_cells:i "
       "stuck_cells:i cells_rejected:i cells_unfilled:i quality_ratio:d", """
-SELECT (SELECT count(*) FROM readings) AS rows_in, (SELECT sum(copies - 1) FROM dedup) AS duplicates_removed,
+SELECT (SELECT count(*) FROM readings WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-30 18:00:00') AS rows_in,
+  (SELECT count(*) FROM readings WHERE ts < TIMESTAMP '2024-01-01 00:00:00' OR ts > TIMESTAMP '2024-01-30 18:00:00') AS rows_outside, (SELECT sum(copies - 1) FROM dedup) AS duplicates_removed,
   count(*) FILTER (speed_kmh IS NULL) AS missing_cells, count(*) FILTER (negative) AS negative_cells,
   count(*) FILTER (impossible AND NOT negative) AS impossible_cells,
   count(*) FILTER (spike AND NOT negative AND NOT impossible) AS spike_cells, count(*) FILTER (stuck) AS stuck_cells,

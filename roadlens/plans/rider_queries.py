@@ -26,7 +26,8 @@ SELECT *, row_number() OVER (PARTITION BY route_id, idx ORDER BY round(dist, 6),
     SELECT *, least(greatest(((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / greatest(pow(bx - ax, 2) + pow(by_ - ay, 2), 1e-9), 0), 1) AS f FROM smp, lines))
 WHERE dist <= 1500""",
     "rr": """
-SELECT segment_id, ts, coalesce(speed_ratio, 1) AS ratio_now, coalesce(lead(speed_ratio) OVER (PARTITION BY segment_id ORDER BY ts), 1) AS ratio_later FROM ratios""",
+SELECT segment_id, ts, coalesce(speed_ratio, 1) AS ratio_now, CASE WHEN speed_ratio IS NULL THEN 1 ELSE least(greatest(speed_ratio
+  + coalesce(lag(speed_ratio, 3) OVER w - lag(speed_ratio, 4) OVER w, 0), 0), 1) END AS ratio_later FROM ratios WINDOW w AS (PARTITION BY segment_id ORDER BY ts)""",
     "smp_ratio": """
 SELECT route_id, idx, ts, coalesce(min(ratio_now) FILTER (dist <= 750), max(ratio_now) FILTER (nearest)) AS ratio_now,
   coalesce(min(ratio_later) FILTER (dist <= 750), max(ratio_later) FILTER (nearest)) AS ratio_later
@@ -227,9 +228,9 @@ query("candidate_ranking", "segment_id:s ts:t candidate_id:s relation:s score:d
 SELECT *, row_number() OVER (PARTITION BY segment_id, ts ORDER BY round(score, 9) DESC, candidate_id) AS rank FROM evals""", **PLAN)(lambda c: whatif.ranked(c.evaluated))
 query("recommendations", "segment_id:s ts:t kind:s candidate_id:s confidence:s n_reasons:i n_limitations:i", """
 SELECT segment_id, ts, kind, CASE WHEN kind = 'candidate' THEN candidate_id END AS candidate_id,
-  ['LOW', 'MEDIUM', 'HIGH'][1 + greatest(base - CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END, 0)] AS confidence,
-  CASE WHEN anomalous THEN 1 ELSE 0 END + 1 + CASE WHEN kind = 'none' THEN 0 ELSE 1 END AS n_reasons, 2 + CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END AS n_limitations
-FROM (SELECT d.segment_id, d.ts, d.anomalous, b.candidate_id, b.hop,
+  ['LOW', 'MEDIUM', 'HIGH'][1 + greatest(base - CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END - CASE WHEN kind = 'candidate' AND abs(saved) < 0.1::DOUBLE THEN 1 ELSE 0 END, 0)] AS confidence,
+  CASE WHEN anomalous THEN 1 ELSE 0 END + 1 + CASE WHEN kind = 'none' THEN 0 ELSE 1 END AS n_reasons, 2 + CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END + CASE WHEN kind = 'candidate' AND abs(saved) < 0.1::DOUBLE THEN 1 ELSE 0 END AS n_limitations
+FROM (SELECT d.segment_id, d.ts, d.anomalous, b.candidate_id, b.hop, b.saved,
   CASE WHEN d.state = 'NORMAL' AND NOT d.anomalous THEN 'none' WHEN b.network_pct > 0 AND b.local_pct > 0 THEN 'candidate' ELSE 'operational' END AS kind,
   CASE WHEN d.anomalous THEN CASE WHEN cf >= 0.8 THEN 2 WHEN cf >= 0.5 THEN 1 ELSE 0 END WHEN d.state <> 'NORMAL' THEN 1 ELSE 2 END AS base
   FROM (SELECT *, (1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality AS cf FROM diagnosed) d LEFT JOIN best b ON b.segment_id = d.segment_id AND b.ts = d.ts)""", **PLAN)(

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..conf import VALUE_COLUMNS, Settings
 from ..operators.detect import network_shift
+from ..sources.workspace import shipped
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,58 +48,105 @@ def ongoing_events(flagged: DataFrame, cfg: Settings, delay: str = "15 minutes")
             .select("segment_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("until"), "slots", "peak_score"))
 
 
+READING = ("ingest_seq", *VALUE_COLUMNS, "sensor_quality", "free_flow_speed_kmh", "capacity_vph")
+
+
+def judged_in_order(rows: pd.DataFrame, last: dict | None, step: int, fill_slots: int) -> tuple[pd.DataFrame, dict]:
+    """Slots of one segment in time order (``at`` in seconds, READING columns), judged and filled after the state ``last``; also the new state.
+
+    The state is put before the rows as one more row, so that shifts, repeat runs and fills are the same column operations for all of them.
+    """
+    last = last or {"at": None, "repeats": 0}
+    seed = pd.DataFrame([{"at": last["at"], **{c: last.get(c) for c in ("speed_kmh", "flow_vph", "occupancy_pct")}}])
+    d = pd.concat([seed.dropna(axis=1, how="all"), rows], ignore_index=True).astype({c: "float64" for c in VALUE_COLUMNS})
+    if "at" not in d or len(d) == len(rows):
+        d = pd.concat([pd.DataFrame([{"at": float("nan")}]), rows], ignore_index=True)
+    adjacent = d["at"].diff() == step
+    measures = ["speed_kmh", "flow_vph", "occupancy_pct"]
+    same = adjacent & (d[measures] == d[measures].shift()).all(axis=1)
+    run = same.astype(int).groupby((~same).cumsum()).cumsum()
+    repeats = run + last["repeats"] * (same.cumprod().astype(int) if same.iloc[0] else ((~same).cumsum() == 1).astype(int) * same.astype(int))
+    prior = d["flow_vph"].shift().where(adjacent)
+    bad = ((d[list(VALUE_COLUMNS)] < 0).any(axis=1) | (d["speed_kmh"] > 1.5 * d["free_flow_speed_kmh"]) | (d["occupancy_pct"] > 100)
+           | (d["congestion_index"] > 1) | (d["flow_vph"] > 2.5 * d["capacity_vph"]) | ((d["flow_vph"] > 3 * prior + 300) & (d["flow_vph"] > d["capacity_vph"]))
+           | ((repeats >= 3) & ~((d["occupancy_pct"] >= 97) | (d["flow_vph"] <= 0))) | (d["sensor_quality"] < 0.5))
+    state, filled, out = {}, pd.Series(False, index=d.index), {}
+    for c in VALUE_COLUMNS:
+        good = d[c].where(~bad)
+        good.iloc[0] = last.get(f"good_{c}")
+        since = d["at"].where(good.notna())
+        since.iloc[0] = last.get(f"good_{c}_at")
+        known, when = good.ffill(), since.ffill()
+        value = known.where(d["at"] - when <= fill_slots * step)
+        filled |= good.isna() & value.notna()
+        out[c] = value
+        state |= {f"good_{c}": known.iloc[-1], f"good_{c}_at": when.iloc[-1]}
+    state |= {"at": d["at"].iloc[-1], "repeats": int(repeats.iloc[-1]), **{c: d[c].iloc[-1] for c in measures}}
+    result = pd.DataFrame({"at": d["at"], "ingest_seq": d["ingest_seq"], **out, "valid": ~bad & d["speed_kmh"].notna(), "filled": filled}).iloc[1:]
+    return result, {k: None if pd.isna(v) else v for k, v in state.items()}
+
+
 class Sanitiser(StatefulProcessor):
-    """Per segment: the previous flow, the length of the repeat run, and the last good values with their age."""
+    """Per segment: slots wait, first arrival first, until the watermark has passed them; then they are judged in the order of time.
+
+    So slots may come in any order within the lateness. A reading that comes after its slot was judged changes nothing and is counted; the
+    count goes out with the next slot. What waits is bounded by the lateness, whatever a sensor sends.
+    """
 
-    OUTPUT = ("segment_id string, ts timestamp, ingest_seq long, " + ", ".join(f"{c} double" for c in VALUE_COLUMNS) + ", valid boolean, filled boolean")
+    OUTPUT = ("segment_id string, ts timestamp, ingest_seq long, " + ", ".join(f"{c} double" for c in VALUE_COLUMNS) + ", valid boolean, filled boolean, late long")
 
     def __init__(self, step_seconds: int, fill_slots: int):
         self.step_seconds, self.fill_slots = step_seconds, fill_slots
+        self.names = ("at", "repeats", "speed_kmh", "flow_vph", "occupancy_pct", *[x for c in VALUE_COLUMNS for x in (f"good_{c}", f"good_{c}_at")])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        values = ", ".join(f"{c} double, {c}_at long" for c in VALUE_COLUMNS)
-        self.last = handle.getValueState("last", f"at long, flow double, speed double, occupancy double, repeats int, {values}")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "ingest_seq long, " + ", ".join(f"{c} double" for c in READING[1:]))
+        self.last = handle.getValueState("last", "at long, repeats int, " + ", ".join(f"{n} double" for n in self.names[2:]))
+        self.late = handle.getValueState("late", "late long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "ingest_seq"])
-        state = self.last.get() if self.last.exists() else None
-        names = ("at", "flow", "speed", "occupancy", "repeats", *[x for c in VALUE_COLUMNS for x in (c, f"{c}_at")])
-        s = dict(zip(names, state)) if state is not None else dict.fromkeys(names)
-        out = []
-        for r in batch.itertuples(index=False):
-            at = int(pd.Timestamp(r.ts).value // 1_000_000_000)
-            if s["at"] is not None and at <= s["at"]:
-                continue  # a slot is judged once, on its first arrival
-            adjacent = s["at"] is not None and at - s["at"] == self.step_seconds
-            same = adjacent and (r.speed_kmh, r.flow_vph, r.occupancy_pct) == (s["speed"], s["flow"], s["occupancy"])
-            repeats = (s["repeats"] or 0) + 1 if same else 0
-            prior = s["flow"] if adjacent else None
-            bad = (any(getattr(r, c) < 0 for c in VALUE_COLUMNS)
-                   or r.speed_kmh > 1.5 * r.free_flow_speed_kmh or r.occupancy_pct > 100 or r.congestion_index > 1
-                   or r.flow_vph > 2.5 * r.capacity_vph or (prior is not None and r.flow_vph > 3 * prior + 300 and r.flow_vph > r.capacity_vph)
-                   or (repeats >= 3 and not (r.occupancy_pct >= 97 or r.flow_vph <= 0)) or r.sensor_quality < 0.5)
-            row, filled = {}, False
-            for c in VALUE_COLUMNS:
-                value = None if bad or pd.isna(getattr(r, c)) else float(getattr(r, c))
-                if value is not None:
-                    s[c], s[f"{c}_at"] = value, at
-                elif s[c] is not None and at - s[f"{c}_at"] <= self.fill_slots * self.step_seconds:
-                    value, filled = s[c], True
-                row[c] = value
-            s |= {"at": at, "flow": float(r.flow_vph), "speed": float(r.speed_kmh), "occupancy": float(r.occupancy_pct), "repeats": repeats}
-            out.append({"segment_id": key[0], "ts": r.ts, "ingest_seq": r.ingest_seq, **row, "valid": not bad and not pd.isna(r.speed_kmh), "filled": filled})
-        self.last.update(tuple(s[n] for n in names))
-        yield pd.DataFrame(out, columns=["segment_id", "ts", "ingest_seq", *VALUE_COLUMNS, "valid", "filled"])
+        judged = self.last.get()[0] if self.last.exists() else None
+        late = self.late.get()[0] if self.late.exists() else 0
+        for batch in rows:
+            batch = batch.assign(at=batch["ts"].astype("datetime64[s]").astype("int64"))
+            if judged is not None:
+                late += int((batch["at"] <= judged).sum())
+                batch = batch[batch["at"] > judged]
+            for r in batch.sort_values("ingest_seq").drop_duplicates("at").to_dict("records"):
+                slot = (int(r["at"]),)
+                if self.waiting.containsKey(slot) and self.waiting.getValue(slot)[0] <= r["ingest_seq"]:
+                    continue
+                self.waiting.updateValue(slot, (int(r["ingest_seq"]), *[None if pd.isna(r[c]) else float(r[c]) for c in READING[1:]]))
+                self.handle.registerTimer(slot[0] * 1000)
+        self.late.update((late,))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        ready = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if k[0] <= passed)
+        if not ready:  # an earlier timer of this batch has taken them
+            yield pd.DataFrame()
+            return
+        rows = pd.DataFrame([(at, *v) for at, v in ready], columns=["at", *READING])
+        last = dict(zip(self.names, self.last.get())) if self.last.exists() else None
+        out, state = judged_in_order(rows, last, self.step_seconds, self.fill_slots)
+        self.last.update(tuple(int(state[n]) if n in ("at", "repeats") else state[n] for n in self.names))
+        for at, _ in ready:
+            self.waiting.removeKey((at,))
+        out = out.assign(segment_id=key[0], ts=pd.to_datetime(out["at"], unit="s"), ingest_seq=out["ingest_seq"].astype("int64"), late=self.late.get()[0] if self.late.exists() else 0)
+        yield out[["segment_id", "ts", "ingest_seq", *VALUE_COLUMNS, "valid", "filled", "late"]]
 
     def close(self) -> None:
         pass
 
 
-def sanitised(stream: DataFrame, segments: DataFrame, cfg: Settings) -> DataFrame:
-    """Readings judged and filled as they arrive. Needs the RocksDB state store (``enable_state``)."""
-    rows = stream.join(segments.select("segment_id", "free_flow_speed_kmh", "capacity_vph"), "segment_id")
+def sanitised(stream: DataFrame, segments: DataFrame, cfg: Settings, delay: str = "15 minutes") -> DataFrame:
+    """Readings judged and filled in the order of time, once the watermark has passed a slot. Needs the RocksDB state store (``enable_state``)."""
+    shipped(stream.sparkSession)
+    rows = watermarked(stream, delay).join(segments.select("segment_id", "free_flow_speed_kmh", "capacity_vph"), "segment_id")
     return rows.groupBy("segment_id").transformWithStateInPandas(
-        statefulProcessor=Sanitiser(cfg.step_seconds, cfg.fill_slots), outputStructType=Sanitiser.OUTPUT, outputMode="Append", timeMode="None")
+        statefulProcessor=Sanitiser(cfg.step_seconds, cfg.fill_slots), outputStructType=Sanitiser.OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def enable_state(spark: SparkSession) -> None:
@@ -116,11 +164,11 @@ def with_baseline(stream: DataFrame, segments: DataFrame, baseline: DataFrame, c
             .select("segment_id", "ts", "speed_ratio", (F.col("sr_med") - F.col("speed_ratio")).alias("drop")))
 
 
-def score_batches(drops: DataFrame, path: str, checkpoint: str, n_segments: int):
+def score_batches(drops: DataFrame, path: str, checkpoint: str):
     """Network-wide shift and local drop per micro-batch. The shift needs all segments of a slot: feed it closed slots
     (:func:`slot_means`), which leave the watermark together and so arrive in one batch. A repeated batch replaces its own output."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = batch.join(network_shift(batch, n_segments), "ts", "left").withColumn("local_drop", F.coalesce(F.col("drop") - F.col("net_shift"), F.lit(0.0)))
+        scored = batch.join(network_shift(batch), "ts", "left").withColumn("local_drop", F.coalesce(F.col("drop") - F.col("net_shift"), F.lit(0.0)))
         scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return drops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,8 @@ from roadlens.plans.city import city
 from roadlens.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
-HOUR = Settings(start="2026-01-01 00:00:00", end="2026-01-01 03:55:00", val_end="2026-01-01 03:55:00")
+HOUR = Settings(start="2026-01-01 00:00:00", end="2026-01-01 03:55:00", fit_end="2026-01-01 03:55:00", calib_start="2026-01-01 00:00:00",
+                train_end="2026-01-01 03:55:00", val_start="2026-01-01 00:00:00", val_end="2026-01-01 03:55:00")
 COLS = "segment_id string, ts timestamp, ingest_seq long, speed_kmh double, flow_vph double, occupancy_pct double, delay_min double, queue_length_veh double, congestion_index double, sensor_quality double"
 
 
