@@ -131,7 +131,7 @@ class Sanitiser(StatefulProcessor):
         rows = pd.DataFrame([(at, *v) for at, v in ready], columns=["at", *READING])
         last = dict(zip(self.names, self.last.get())) if self.last.exists() else None
         out, state = judged_in_order(rows, last, self.step_seconds, self.fill_slots)
-        self.last.update(tuple(int(state[n]) if n in ("at", "repeats") else state[n] for n in self.names))
+        self.last.update(tuple(None if state[n] is None else int(state[n]) if n in ("at", "repeats") else float(state[n]) for n in self.names))
         for at, _ in ready:
             self.waiting.removeKey((at,))
         out = out.assign(segment_id=key[0], ts=pd.to_datetime(out["at"], unit="s"), ingest_seq=out["ingest_seq"].astype("int64"), late=self.late.get()[0] if self.late.exists() else 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadlens.conf import Settings
 from roadlens.functions import columns, geo
-from roadlens.functions.quantiles import quantiles
+from roadlens.functions.quantiles import order_bucket, quantiles
 from roadlens.operators import compare, corridor, detect, features, graph, panel, rider, routes, whatif
 from roadlens.plans.city import city
 from roadlens.sources import tables
@@ -91,12 +91,21 @@ def test_bucketed_quantiles_equal_the_exact_ones(spark, n):
     rng = random.Random(n)
     values = [rng.choice([0.0, -1.5, 1e9, rng.gauss(0, 1), rng.random() * 1e-6]) for _ in range(n)]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)] * 50, "g string, v double")
-    want = {r.g: (r.lo, r.mid, r.hi) for r in quantiles(df, ["g"], "v", {"lo": .05, "mid": .5, "hi": .99}, 10).collect()}
+    exact = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(k) for k, p in (("lo", .05), ("mid", .5), ("hi", .99))])
+    want = {r.g: (r.lo, r.mid, r.hi) for r in exact.collect()}
     got = {r.g: (r.lo, r.mid, r.hi) for r in quantiles(df, ["g"], "v", {"lo": .05, "mid": .5, "hi": .99}).collect()}
     for g in want:
         assert got[g] == pytest.approx(want[g], rel=1e-9, abs=1e-12)
 
 
+def test_quantiles_of_a_narrow_range_spread_over_buckets(spark):
+    df = spark.range(200_000).select(F.lit("g").alias("g"), (60 + F.col("id") * 1e-6).alias("v"))
+    per_bucket = df.groupBy(order_bucket("v").alias("b")).count().agg(F.max("count")).scalar()
+    assert df.agg(F.lit(1)).select(per_bucket).first()[0] < 1000
+    got = quantiles(df, ["g"], "v", {"mid": .5, "hi": .999}).first()
+    assert abs(got.mid - (60 + 99_999.5e-6)) < 1e-9 and abs(got.hi - (60 + 199_799.001e-6)) < 1e-9
+
+
 def test_weighted_mean_shares_missing_weights(spark):
     df = spark.createDataFrame([(80.0, None, 40.0), (None, None, None)], "a double, b double, c double")
     w = {"a": .5, "b": .3, "c": .5}
