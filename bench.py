@@ -16,7 +16,8 @@ TABLES = ("panel", "edges", "reach", "baseline", "components", "bottlenecks", "d
 HEADLINE = ("dedupe_first", "sanitized_panel", "sanitizer_report", "lag_features", "neighbor_means", "hops3", "legal_turns", "baseline", "local_drop",
             "snapshot_state", "events", "cause", "evidence", "snapshot_summary", "threshold_sweep", "prf_slots", "propagation", "propagation_evaluation",
             "residual_bands", "forecast_metrics", "segment_history_stats", "stretch_matches", "corridor_summary", "route_assessment", "route_ranking",
-            "candidate_evaluation", "intervention_scores", "numeric_stats", "orphans", "profile_long")
+            "candidate_evaluation", "intervention_scores", "numeric_stats", "orphans", "profile_long", "detours", "operational_options", "corridor_candidates",
+            "stream_sanitised", "stream_slot_means", "robustness")
 
 
 def main() -> None:

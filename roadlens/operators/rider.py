@@ -34,11 +34,13 @@ def sample_ratios(decided: DataFrame, ratios: DataFrame, columns) -> DataFrame:
         *[F.coalesce(F.min(F.when(F.col("inside"), F.col(c))), F.max(F.when(F.col("nearest"), F.col(c)))).alias(c) for c in columns])
 
 
-def sample_states(points: DataFrame, at_samples: DataFrame, times: DataFrame) -> DataFrame:
-    """Every sample at every slot; samples far from any segment have no ratio. ``times`` is (ts), one row per slot."""
-    span = times.agg(F.array_sort(F.collect_set("ts"))).scalar()
-    every = points.withColumn("ts", F.explode(span))
-    return every.join(at_samples, ["route_id", "idx", "ts"], "left")
+def sample_states(points: DataFrame, decided: DataFrame, at_samples: DataFrame, times: DataFrame) -> DataFrame:
+    """Every sample at every slot. Samples near a segment (``decided``) have a row per slot in ``at_samples`` already; only the others are laid
+    out over the slots, without a ratio. ``times`` is (ts), one row per slot."""
+    near = points.join(at_samples, ["route_id", "idx"])
+    far = points.join(decided.select("route_id", "idx").distinct(), ["route_id", "idx"], "left_anti") \
+        .withColumn("ts", F.explode(times.agg(F.array_sort(F.collect_set("ts"))).scalar()))
+    return near.unionByName(far, allowMissingColumns=True)
 
 
 def delay_minutes(ratio, ds_m, base_kmh) -> Column:

@@ -218,7 +218,7 @@ class City(Analog):
     @cached_property
     def sample_states(self) -> DataFrame:
         at_samples = rider.sample_ratios(self.sample_segments, self.rider_ratios, ["ratio_now", "ratio_later"])
-        return written(rider.sample_states(self.sample_points, at_samples, self.slots), "sample_states")
+        return written(rider.sample_states(self.sample_points, self.sample_segments, at_samples, self.slots), "sample_states")
 
     @cached_property
     def assessed(self) -> DataFrame:
