@@ -24,7 +24,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from roadlens.plans import catalog
-    from roadlens.plans.city import city
+    from roadlens.plans.city import city, release
 
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("roadlens-bench").config("spark.ui.enabled", "false")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
@@ -42,6 +42,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "total time of shared tables and headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1]}))
+    release(spark)
     spark.stop()
 
 

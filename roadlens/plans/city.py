@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import slots
 from ..operators import corridor, detect, diagnose, features, forecast, graph, panel, rider, routes, spread, whatif
 from ..sources.analog import Analog
-from ..sources.workspace import bucketed, written
+from ..sources.workspace import bucketed, clear, written
 
 
 class City(Analog):
@@ -48,6 +48,10 @@ class City(Analog):
         return written(super().route_vertices, "route_vertices")
 
     # ---- grid
+    @cached_property
+    def n_cells(self) -> int:
+        return self.n_segments * self.slots.count()
+
     @cached_property
     def raw_cells(self) -> DataFrame:
         return panel.cells(self.readings, self.segments, self.cfg)
@@ -58,7 +62,7 @@ class City(Analog):
 
     @cached_property
     def panel(self) -> DataFrame:
-        return bucketed(panel.sanitized(self.readings, self.segments, self.cfg), "panel", ["segment_id"], ["segment_id", "ts"], clustered=True)
+        return bucketed(panel.sanitized(self.readings, self.segments, self.cfg), "panel", ["segment_id"], ["segment_id", "ts"], self.n_cells, clustered=True)
 
     # ---- network
     @cached_property
@@ -101,7 +105,7 @@ class City(Analog):
     def components(self) -> DataFrame:
         """Scored components of every cell."""
         parts = detect.components(self.ratios, self.baseline, self.edges)
-        return bucketed(detect.scored(parts, self.cfg), "components", ["segment_id"], ["segment_id", "ts"])
+        return bucketed(detect.scored(parts, self.cfg), "components", ["segment_id"], ["segment_id", "ts"], self.n_cells)
 
     @cached_property
     def bottlenecks(self) -> DataFrame:
@@ -115,7 +119,7 @@ class City(Analog):
     @cached_property
     def diagnosed(self) -> DataFrame:
         full = diagnose.diagnoses(self.components, self.roadworks_active, self.bottlenecks, self.context, self.edges, self.cfg)
-        return bucketed(full, "diagnosed", ["segment_id"], ["segment_id", "ts"])
+        return bucketed(full, "diagnosed", ["segment_id"], ["segment_id", "ts"], self.n_cells)
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -270,6 +274,13 @@ class City(Analog):
 _cities: dict = {}
 
 
+def release(spark: SparkSession) -> None:
+    """Forgets the cities of this application and removes what they have written, for instance when the input has changed."""
+    for key in [k for k in _cities if k[0] == spark.sparkContext.applicationId]:
+        del _cities[key]
+    clear(spark)
+
+
 def city(spark: SparkSession, sf_dir: str) -> City:
     """The city of a driver directory; kept for the life of the Spark application."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -48,13 +48,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys, sort, clustered: bool = False) -> DataFrame:
-    """Write as a table bucketed on ``keys``, so that later windows, aggregates and joins on them need no shuffle.
+LEAST_BUCKETS, BUCKET_ROWS = 8, 2_000_000
 
-    ``clustered`` says that the last step of ``df`` already is a window or aggregate on ``keys``: the rows are not shuffled again.
+
+def bucketed(df: DataFrame, name: str, keys, sort, rows: int, clustered: bool = False) -> DataFrame:
+    """Write as a table bucketed on ``keys``, so that later windows, aggregates and joins on them need no shuffle. The number of buckets
+    follows from the number of ``rows``.
+
+    ``clustered`` says that the last step of ``df`` already is a window or aggregate on ``keys``: if it left as many partitions as there are
+    buckets, the rows are not shuffled again.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+    clustered = clustered and buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"roadlens_{name}_{uuid.uuid4().hex[:12]}"
     keys = list(keys)
     placed = df if clustered else df.repartition(buckets, *keys)
@@ -63,6 +69,15 @@ def bucketed(df: DataFrame, name: str, keys, sort, clustered: bool = False) -> D
     return spark.table(table)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has written: its folder and its bucketed tables."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("roadlens_") and not t.isTemporary:
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/roadlens/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, for loops."""
     context = df.sparkSession.sparkContext

@@ -10,6 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 @pytest.fixture(scope="session")
 def spark():
     import oracle_check
+
+    from roadlens.plans.city import release
     s = oracle_check.session()
     yield s
+    release(s)
     s.stop()
