@@ -6,13 +6,14 @@ share at least l tokens, for every l. Each document lengthens its prefix while t
 expected candidates verified); a pair must then share min(l, l') tokens that lie in both min(l, l')-prefixes before it is verified exactly.
 
 Steps, each a Spark job over written tables:
- 1. sketch: token counts in a fixed number of counters, summed in tasks and then by counter range;
+ 1. sketch: token counts in a bounded number of counters that follows the input, summed in tasks and then by counter range;
  2. prefixes: one row per document; equal sets become one class representative by a fingerprint of 128 bits;
  3. postings: prefix tokens, packed by hash range, meet in numpy. A token of at most ``SHORT_LIST`` representatives gives its pairs;
     a longer list only joins its members to the list's plainest member (the pivot), so no list is expanded into pairs of rows;
- 4. pairs that share enough prefix tokens are verified on whole sets. Members of a pivot's group are first compared with the pivot. What
-    is still apart is compared in chunks against chunks, inside tasks, and only where the distances to the pivot allow a link; tasks emit links that span
-    what they connected;
+ 4. pairs that share enough prefix tokens, and pivots with their members, form groups of candidates. A group of at most ``CHUNK`` sets is verified
+    in one place, so each set moves once. In a larger one the members are compared with their pivots first; what is still apart is compared in chunks
+    against chunks, inside tasks: members of a pivot's group only where their distances to the pivot allow a link, other pairs only between chunks that
+    hold one. Tasks emit links that span what they connected;
  5. classes: smallest doc_id reachable, by label propagation with pointer jumping.
 
 Only narrow rows are shuffled for all documents; texts are read again just for documents that have a candidate.
@@ -38,9 +39,11 @@ from pyspark.sql import types as T
 from ..sources.workspace import shipped, written
 from .text import WordHashes, column, mapped, read, shingle_set, words
 
-COUNTERS, RANGES = 1 << 20, 64
-VERIFY_COST = 500.0  # a verified candidate against one posting entry
-MOST_SHARED = 24
+RANGES = 64
+LEAST_BITS, MOST_BITS, TOKENS_PER_COUNTER, BYTES_PER_TOKEN = 16, 24, 16, 6.5
+VERIFY_COST = 60.0  # a verified candidate against one posting entry
+MOST_SHARED = 96
+CHANCE = 0.08  # how the share of common tokens of chance candidates falls off
 SHORT_LIST = 24
 CHUNK = 384
 POSTINGS_PER_PART = 1_500_000
@@ -53,16 +56,23 @@ def needed(n: np.ndarray | int, percent: int):
 
 # 1. the sketch ---------------------------------------------------------------------------------------------------------------------------
 
-def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Counter per token hash range, over the sets of all documents: four megabytes, whatever the input."""
-    hashes, step = WordHashes(), COUNTERS // RANGES
+def counter_bits(docs: DataFrame) -> int:
+    """So many counters that a few tokens share one, between 2 ** LEAST_BITS and 2 ** MOST_BITS of them (bounded memory; more tokens only blur the order)."""
+    tokens = (docs.agg(F.sum(F.octet_length(column(docs, "text")).cast("long"))).first()[0] or 0) / BYTES_PER_TOKEN
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1.0, tokens / TOKENS_PER_COUNTER)))))
+
+
+def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
+    """Counter per token hash range, over the sets of all documents."""
+    hashes, counters = WordHashes(), 1 << bits
+    step, shift = counters // RANGES, np.uint64(64 - bits)
 
     def run(batches):
-        table = np.zeros(COUNTERS, np.int64)
+        table = np.zeros(counters, np.uint32)
         for batch in batches:
-            slots = [shingle_set(hashes.of(words(t.as_py())), size) >> np.uint64(44) for t in batch.column("text")]
+            slots = [shingle_set(hashes.of(words(t.as_py())), size) >> shift for t in batch.column("text")]
             if slots:
-                table += np.bincount(np.concatenate(slots).astype(np.int64), minlength=COUNTERS)
+                table += np.bincount(np.concatenate(slots).astype(np.int64), minlength=counters).astype(np.uint32)
         parts = [zlib.compress(table[i * step:(i + 1) * step].tobytes(), 1) for i in range(RANGES)] if table.any() else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
@@ -70,10 +80,10 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(step, np.int64)
         for batch in batches:
             for c in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
     rows = mapped(docs.select(column(docs, "text")), run, "part int, counts binary").groupBy("part").applyInArrow(merged, "part int, counts binary").collect()
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(counters, np.int64)
     for r in rows:
         out[r.part * step:(r.part + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     return out
@@ -84,18 +94,19 @@ class Order:
 
     def __init__(self, counters: np.ndarray):
         total = float(counters.sum())
-        load = total / COUNTERS
+        load = total / len(counters)
+        self.shift = np.uint64(64 - (len(counters).bit_length() - 1))
         noise = 3 * math.sqrt(load) + 1
         excess = np.maximum(counters - load - noise, 0)
         # the second moment of the counters tells how many further documents a token has on average
-        self.typical = min(1.0, max(0.0, float((counters.astype(np.float64) ** 2).sum()) - total ** 2 / COUNTERS - total) / max(total, 1.0))
+        self.typical = min(1.0, max(0.0, float((counters.astype(np.float64) ** 2).sum()) - total ** 2 / len(counters) - total) / max(total, 1.0))
         self.rank = np.minimum(np.log2(1 + excess) * 8, 255).astype(np.uint8)  # coarse, so that noise does not reorder
         self.others = (np.exp2(np.arange(256) / 8) - 1).astype(np.float64)
 
     def prefix(self, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int, float]:
         """Tokens in global order as far as the chosen prefix goes, how many must be shared, and how plain the prefix is."""
         n = len(tokens)
-        rank = self.rank[(tokens >> np.uint64(44)).astype(np.int64)]
+        rank = self.rank[(tokens >> self.shift).astype(np.int64)]
         order = np.lexsort((tokens, rank))
         t = int(needed(n, percent))
         most = min(MOST_SHARED, t)
@@ -103,8 +114,8 @@ class Order:
         weight = np.cumsum(np.maximum(self.others[rank[order[:base + most]]], self.typical))
         shared = np.arange(1, most + 1)
         entries = weight[base:base + most]
-        # a chance candidate shares one token; the odds of each further one halve at least
-        cost = base + shared + entries + VERIFY_COST * entries * np.exp2(-(shared - 1.0))
+        # chance candidates (a common passage) share a small part of a prefix; the more of it must be shared, the fewer are left
+        cost = base + shared + entries + VERIFY_COST * entries * np.exp(-shared / (base + shared) / CHANCE)
         best = int(shared[np.argmin(cost)])
         return tokens[order[:base + best]], best, float(weight[base + best - 1] / (base + best))
 
@@ -135,10 +146,10 @@ def prefixes(docs: DataFrame, order: Order, size: int, percent: int) -> DataFram
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """ref, print, doc_id (the smallest), n, shared, plain, tokens: one row per distinct set, numbered once and written."""
-    one = rows.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("shared").alias("shared"),
-                                                    F.first("plain").alias("plain"), F.first("tokens").alias("tokens"))
-    return written(one.select(F.monotonically_increasing_id().alias("ref"), "*"), "join-representatives")
+    """ref, print, doc_id and row (the smallest of both) of each distinct set, numbered once and written."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
+    one = rows.filter("n > 0").groupBy("print").agg(first.alias("first"))
+    return written(one.select(F.monotonically_increasing_id().alias("ref"), "print", "first.doc_id", "first.row"), "join-representatives")
 
 
 # 3. postings -----------------------------------------------------------------------------------------------------------------------------
@@ -151,8 +162,9 @@ def levels(n: int, length: int, percent: int) -> np.ndarray:
     return np.maximum(np.arange(1, length + 1) - (n - int(needed(n, percent))), 1)
 
 
-def postings(reps: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(part, entries): the prefix tokens of a batch of representatives, by hash range."""
+def postings(rows: DataFrame, reps: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(part, entries): the prefix tokens of a batch of representatives, by hash range. Equal rows give equal entries."""
+    own = rows.filter("n > 0").join(reps.select("ref", "print", "row"), ["print", "row"])
     def run(batches):
         for batch in batches:
             found = []
@@ -171,14 +183,15 @@ def postings(reps: DataFrame, parts: int, percent: int) -> DataFrame:
             groups = np.split(every[order], edges)
             yield pa.RecordBatch.from_arrays([pa.array([int(g["token"][0] % np.uint64(parts)) for g in groups], pa.int32()),
                                               pa.array([zlib.compress(g.tobytes(), 1) for g in groups], pa.binary())], ["part", "entries"])
-    return mapped(reps.select("ref", "n", "shared", "plain", "tokens"), run, "part int, entries binary")
+    return mapped(own.select("ref", "n", "shared", "plain", "tokens"), run, "part int, entries binary")
 
 
 def met(packed: DataFrame, short: int = SHORT_LIST) -> DataFrame:
     """Rows (a, b, matches, least, pivot): pairs with how many tokens they share here, or members ``b`` of the group of pivot ``a``."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), POSTING) for batch in batches for x in batch.column("entries")])
-        e = e[np.argsort(e["token"], kind="stable")]
+        e = e[np.lexsort((e["ref"], e["token"]))]
+        e = e[np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["ref"][1:] != e["ref"][:-1]))]
         first = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1]))
         size = np.diff(np.append(first, len(e)))
         a, b, least = [], [], []
@@ -217,19 +230,27 @@ def _met(a, b, matches, least, pivot):
 
 # 4. verification -------------------------------------------------------------------------------------------------------------------------
 
-def sets_of(docs: DataFrame, reps: DataFrame, refs: DataFrame, size: int) -> DataFrame:
-    """(ref, tokens): the whole sets of the asked representatives, from their texts."""
-    wanted = reps.select("ref", "print", "doc_id").join(refs, "ref", "left_semi")
-    ids = written(wanted.select("doc_id").distinct(), "join-ids")
-    texts = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text")).alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
+SLOTS = 1 << 18
+
+
+def sets_of(docs: DataFrame, reps: DataFrame, placed: DataFrame, size: int) -> DataFrame:
+    """(ref, root, large, set): the whole sets of the representatives in ``placed``, from their texts. A ref may come more than once where
+    rows repeat; a row whose doc_id is a representative's but whose text is another is left out by the fingerprint."""
+    wanted = written(reps.select("ref", "print", "doc_id").join(placed, "ref"), "join-wanted")
+    texts = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").alias("text"))
+    # a first look without a shuffle: at most SLOTS numbers are broadcast, however many ids are wanted
+    slot = lambda d: F.pmod(F.xxhash64(d["doc_id"]), F.lit(SLOTS)).cast("int")
+    texts = texts.withColumn("slot", slot(texts)).join(F.broadcast(wanted.select(slot(wanted).alias("slot")).distinct()), "slot", "left_semi").alias("d")
+    rows = texts.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.ref", "w.root", "w.large", "w.print", "d.text")
     hashes = WordHashes()
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(hashes.of(words(t.as_py())), size).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], ["print", "set"])
-    sets = mapped(texts.select("text"), run, "print binary, set binary")
-    return written(wanted.select("ref", "print").join(sets, "print").groupBy("ref").agg(F.first("set").alias("set")), "join-sets")
+            own = pa.array([xxhash.xxh3_128_digest(s) == bytes(p.as_py()) for s, p in zip(found, batch.column("print"))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("root"), batch.column("large"), pa.array(found, pa.binary())],
+                                             ["ref", "root", "large", "set"]).filter(own)
+    return written(mapped(rows, run, "ref long, root long, large boolean, set binary"), "join-sets")
 
 
 def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
@@ -253,19 +274,21 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(both.select("a", "b", "pivot", "x", "y"), run, "a long, b long, pivot boolean, linked boolean, distance double")
 
 
-def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Exact overlaps of all sets of x with all of y, by products of incidence blocks of a bounded width."""
-    rows = np.concatenate([np.repeat(np.arange(len(x)), [len(s) for s in x]), len(x) + np.repeat(np.arange(len(y)), [len(s) for s in y])])
-    _, token, count = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Exact overlaps of all sets of x with all of y (of x with each other, if y is not given), by products of incidence blocks of a bounded width."""
+    every = x + (y or [])
+    rows = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    _, token, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     keep = count[token] > 1
     rows, token = rows[keep], np.unique(token[keep], return_inverse=True)[1]
-    out, order = np.zeros((len(x), len(y)), np.float32), np.argsort(token, kind="stable")
+    order = np.argsort(token, kind="stable")
     rows, token = rows[order], token[order]
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
-        f, t = np.searchsorted(token, [low, low + 4096])
-        block = np.zeros((len(x) + len(y), 4096), np.float32)
+    out, width = np.zeros((len(x), len(y or x)), np.float32), 4096
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        f, t = np.searchsorted(token, [low, low + width])
+        block = np.zeros((len(every), min(width, int(token[-1]) + 1 - low)), np.float32)
         block[rows[f:t], token[f:t] - low] = 1
-        out += block[:len(x)] @ block[len(x):].T
+        out += block[:len(x)] @ (block[len(x):] if y else block).T
     return out
 
 
@@ -287,66 +310,116 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+SETS_PER_TASK = 1000
+
+
+def within_small(sets: DataFrame, members: int, percent: int) -> DataFrame:
+    """Links (a, b) that span what is similar within each group (``root``) of a bounded number of sets; every set is moved once."""
+    buckets = max(1, math.ceil(members / SETS_PER_TASK))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, dict[int, np.ndarray]] = {}
+        for batch in batches:
+            for root, ref, s in zip(batch.column("root").to_pylist(), batch.column("ref").to_pylist(), batch.column("set")):
+                groups.setdefault(root, {})[ref] = np.frombuffer(s.as_py(), "<u8")
+        out = []
+        for found in groups.values():
+            ref, x = np.array(list(found)), list(found.values())
+            n = np.array([len(s) for s in x])
+            i, j = np.triu_indices(len(x), 1)
+            both = _overlaps(x)[i, j] if len(x) > 4 else np.array([len(np.intersect1d(x[a], x[b], assume_unique=True)) for a, b in zip(i, j)])
+            linked = 100 * both >= percent * (n[i] + n[j] - both)
+            out += spanning(np.stack([ref[i[linked]], ref[j[linked]]], axis=1))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+    placed = sets.select("root", "ref", "set", F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket"))
+    return placed.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def verified(units: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what is similar between two chunks. ``units``: unit, x, y (chunks, x may be y); ``placed``: chunk, ref."""
+    left, right = units.select("unit", F.lit(0).alias("side"), F.col("x").alias("chunk")), units.filter("x <> y").select("unit", F.lit(1).alias("side"), F.col("y").alias("chunk"))
+    rows = left.unionByName(right).join(placed.select("chunk", "ref"), "chunk").select("unit", "side", "ref").join(sets, "ref")
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[dict, dict] = ({}, {})
+        for batch in batches:
+            for side, ref, s in zip(batch.column("side").to_pylist(), batch.column("ref").to_pylist(), batch.column("set")):
+                sides[side][ref] = np.frombuffer(s.as_py(), "<u8")
+        x, y = sides[0], sides[1] or sides[0]
+        if not x:
+            return
+        both = _overlaps(list(x.values()), list(y.values()) if sides[1] else None)
+        n, m = np.array([len(s) for s in x.values()])[:, None], np.array([len(s) for s in y.values()])[None, :]
+        u, v = np.array(list(x)), np.array(list(y))
+        i, j = np.nonzero((100 * both >= percent * (n + m - both)) & (u[:, None] != v[None, :]))
+        out = np.array(spanning(np.stack([u[i], v[j]], axis=1)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], ["a", "b"])
+    shipped(units.sparkSession)
+    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+
+
+def chunked(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """``rows`` (keys, ref, ...) with the name of a ``chunk``: at most about ``chunk`` refs of the same keys, by hash."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("full"))
+    piece = F.pmod(F.xxhash64("ref"), F.ceil(F.col("full") / chunk))
+    return rows.join(sizes, keys).withColumn("chunk", F.concat_ws(":", *keys, piece))
+
+
 def within_groups(members: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between members of a pivot's group. ``members``: pivot, ref, distance to the pivot.
 
     Members are dealt by distance into chunks. Two members of the pivot's own class need no comparing, and two whose distances to the pivot
     differ by more than a link allows cannot be linked (the Jaccard distance is a metric), so only some pairs of chunks meet.
     """
-    spark = members.sparkSession
     reach = 1 - percent / 100 + 1e-9
-    near = F.col("distance") <= reach
-    band = F.when(near, 0).otherwise(1)
-    # chunks: fixed bands of distance (a tenth of the reach wide), split by hash where a band is full
+    # fixed bands of distance, a tenth of the reach wide
     step = F.least(F.floor(F.col("distance") / (reach / 10)), F.lit(10_000)).cast("int")
-    placed = members.withColumn("band", band).withColumn("step", step)
-    sizes = placed.groupBy("pivot", "step").agg(F.count(F.lit(1)).alias("full"))
-    placed = placed.join(sizes, ["pivot", "step"]).withColumn("slice", F.pmod(F.xxhash64("ref"), F.ceil(F.col("full") / chunk)).cast("int"))
-    chunks = placed.groupBy("pivot", "step", "slice").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.min("band").alias("least_band"), F.max("band").alias("most_band"))
+    placed = written(chunked(members.withColumn("step", step), ["pivot", "step"], chunk), "join-bands")
+    chunks = placed.groupBy("pivot", "chunk").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
     x, y = chunks.alias("x"), chunks.alias("y")
-    at = lambda p: F.struct(F.col(f"{p}.step"), F.col(f"{p}.slice"))
-    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (at("x") <= at("y")) & (F.col("y.most_band") == 1) & (F.col("y.low") - F.col("x.high") <= reach))
-    units = written(meet.select(F.col("x.pivot").alias("pivot"), F.monotonically_increasing_id().alias("unit"), F.col("x.step").alias("step"), F.col("x.slice").alias("slice"),
-                                F.col("y.step").alias("other_step"), F.col("y.slice").alias("other_slice")), "join-units")
-    left = units.select("pivot", "unit", "step", "slice", F.lit(0).alias("side"))
-    right = units.select("pivot", "unit", F.col("other_step").alias("step"), F.col("other_slice").alias("slice"), F.lit(1).alias("side"))
-    rows = left.unionByName(right).join(placed.select("pivot", "step", "slice", "ref", "distance"), ["pivot", "step", "slice"]).join(sets, "ref")
+    apart = (F.col("y.low") <= F.col("x.low")) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.chunk") >= F.col("y.chunk")))
+    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & apart & (F.greatest("x.high", "y.high") > reach) & (F.col("x.low") - F.col("y.high") <= reach))
+    units = written(meet.select(F.monotonically_increasing_id().alias("unit"), F.col("x.chunk").alias("x"), F.col("y.chunk").alias("y")), "join-units")
+    return verified(units, placed, sets, percent)
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, ref, distance, found = [], [], [], []
-        for batch in batches:
-            side += batch.column("side").to_pylist()
-            ref += batch.column("ref").to_pylist()
-            distance += batch.column("distance").to_pylist()
-            found += [np.frombuffer(s.as_py(), "<u8") for s in batch.column("set")]
-        side, ref, distance = np.array(side), np.array(ref), np.array(distance)
-        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(i) or not len(j):
-            return
-        x, y = [found[k] for k in i], [found[k] for k in j]
-        both = _overlaps(x, y)
-        n, m = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None, :]
-        linked = (100 * both >= percent * (n + m - both)) & (ref[i][:, None] != ref[j][None, :])
-        u, v = np.nonzero(linked)
-        out = np.array(spanning(np.stack([ref[i[u]], ref[j[v]]], axis=1)), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], ["a", "b"])
-    shipped(spark)
-    return rows.select("unit", "side", "ref", "distance", "set").groupBy("unit").applyInArrow(run, "a long, b long")
+
+def between_chunks(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) for candidate ``pairs`` (a, b) of large groups: their refs are dealt into chunks of a group, and two chunks meet once if any
+    pair lies between them, so a set moves once per partner chunk and not once per pair."""
+    refs = pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct().join(roots, "ref").select("ref", "root")
+    placed = written(chunked(refs, ["root"], chunk), "join-chunks")
+    at = lambda c: placed.select(F.col("ref").alias(c), F.col("chunk").alias(f"{c}_chunk"))
+    both = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select(F.least("a_chunk", "b_chunk").alias("x"), F.greatest("a_chunk", "b_chunk").alias("y")).distinct()
+    return verified(written(both.withColumn("unit", F.monotonically_increasing_id()), "join-units"), placed, sets, percent)
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, short: int = SHORT_LIST, chunk: int = CHUNK) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percent: int, short: int = SHORT_LIST, chunk: int = CHUNK) -> DataFrame:
     """Verified links (a, b) between representatives; they connect every pair of similar sets, directly or through others."""
-    entries = reps.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
-    found = written(met(postings(reps, max(8, math.ceil(entries / POSTINGS_PER_PART)), percent), short), "join-met")
+    entries = rows.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
+    found = written(met(postings(rows, reps, max(8, math.ceil(entries / POSTINGS_PER_PART)), percent), short), "join-met")
     pairs = found.filter("NOT pivot").groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("least").alias("least")).filter("matches >= least")
     groups = found.filter("pivot").select("a", "b").distinct()
     asked = written(pairs.select("a", "b", F.lit(False).alias("pivot")).unionByName(groups.select("a", "b", F.lit(True).alias("pivot"))), "join-asked")
-    refs = written(asked.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "join-refs")
-    sets = sets_of(docs, reps, refs, size)
-    checked = written(compared(asked, sets, percent), "join-checked")
-    members = checked.filter("pivot").select(F.col("a").alias("pivot"), F.col("b").alias("ref"), "distance")
-    inside = within_groups(members, sets, percent, chunk)
-    return written(checked.filter("linked").select("a", "b").unionByName(inside).distinct(), "join-links")
+    # candidates form groups; each is verified in one place while it is small, else pair by pair and by its pivots
+    root = written(classes(asked), "join-groups")
+    placed = written(root.join(root.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("ref", "root", (F.col("n") > chunk).alias("large")), "join-placed")
+    sets = sets_of(docs, reps, placed, size)
+    inside = within_small(sets.filter("NOT large"), placed.filter("NOT large").count(), percent)
+    large = placed.filter("large").select(F.col("ref").alias("a"))
+    if not large.isEmpty():
+        whole = written(sets.filter("large").groupBy("ref").agg(F.first("set").alias("set")), "join-large")
+        hard = written(asked.join(large, "a", "left_semi"), "join-hard")
+        checked = written(compared(hard.filter("pivot"), whole, percent), "join-checked")
+        near = checked.filter("linked").select("a", "b")
+        members = checked.select(F.col("a").alias("pivot"), F.col("b").alias("ref"), "distance")
+        # pairs that the pivots have connected already need no comparing
+        known = written(classes(near), "join-known")
+        at = lambda c: known.select(F.col("ref").alias(c), F.col("root").alias(f"{c}_root"))
+        open_pairs = hard.filter("NOT pivot").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
+        inside = inside.unionByName(near).unionByName(within_groups(members, whole, percent, chunk)) \
+            .unionByName(between_chunks(open_pairs.select("a", "b"), placed, whole, percent, chunk))
+    return written(inside.distinct(), "join-links")
 
 
 # 5. classes ------------------------------------------------------------------------------------------------------------------------------
@@ -374,10 +447,10 @@ def row_print(docs: DataFrame):
 
 def joined(docs: DataFrame, size: int, percent: int, short: int = SHORT_LIST, chunk: int = CHUNK) -> DataFrame:
     """doc_id, row, n_shingles, component_id and class (null without words) of every row of ``docs``."""
-    order = Order(sketch(docs, size))
+    order = Order(sketch(docs, size, counter_bits(docs)))
     rows = written(prefixes(docs, order, size, percent), "join-prefixes")
     reps = representatives(rows)
-    root = classes(links(docs, reps, size, percent, short, chunk))
+    root = classes(links(docs, rows, reps, size, percent, short, chunk))
     at = reps.select("ref", "print", "doc_id").join(root, "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     least = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classed = written(at.join(least, "root").select("print", "component_id", F.col("root").alias("class")), "join-classes")
