@@ -13,6 +13,7 @@ gives an empty result; only ``doc_id`` and ``text`` are read, so further columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,28 +27,47 @@ from .sharding import ranked
 from .text import column, mapped, read
 
 CAPACITY, END = 4096, 2
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+
+
+# Fixed value: how the tokenizer cuts lower-case ASCII words before it merges.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordIds(dict):
-    """Ids of a word as little-endian 32-bit numbers, remembered up to a limit. The tokenizer never merges across white space."""
+    """Ids of a word as little-endian 32-bit numbers, remembered up to a limit. The tokenizer never merges across white space.
+
+    A printable ASCII word is cut as the tokenizer cuts it, and each part is merged by the tokenizer's model and remembered too, since new
+    words mostly are known parts with other marks around them; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.parts = self.tokenizer.model.tokenize, {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        if text.isascii() and text.isprintable() and "<|" not in text:
+            value = b"".join([self.parts.get(p) or self.part(p) for p in _CUT.findall(text.lower())])
+        else:
+            value = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = value
+        return value
+
+    def part(self, text: str) -> bytes:
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+        value = self.parts[text] = np.array([t.id for t in self.merge(text)], "<u4").tobytes()
         return value
 
     def of(self, text: str | None) -> bytes:
         data = (text or "").encode()
-        # the tokenizer lower-cases; doing so for plain ASCII words first makes more of them alike (special tokens keep their case)
+        # the tokenizer lower-cases; doing so for plain ASCII texts first makes more words alike (special tokens keep their case)
         if data.isascii() and b"<|" not in data:
             data = data.lower()
         return b"".join(map(self.__getitem__, data.split()))
