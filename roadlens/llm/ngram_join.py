@@ -56,6 +56,15 @@ def needed(n: np.ndarray | int, percent: int):
 
 # 1. the sketch ---------------------------------------------------------------------------------------------------------------------------
 
+def counts_packed(counts: np.ndarray) -> bytes:
+    """32-bit counts by byte planes: nearly all of them fit the lowest one."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+
+def counts_unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
 def counter_bits(docs: DataFrame) -> int:
     """So many counters that a few tokens share one, between 2 ** LEAST_BITS and 2 ** MOST_BITS of them (bounded memory; more tokens only blur the order)."""
     tokens = (docs.agg(F.sum(F.octet_length(column(docs, "text")).cast("long"))).first()[0] or 0) / BYTES_PER_TOKEN
@@ -73,14 +82,14 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
             slots = [shingle_set(hashes.of(words(t.as_py())), size) >> shift for t in batch.column("text")]
             if slots:
                 table += np.bincount(np.concatenate(slots).astype(np.int64), minlength=counters).astype(np.uint32)
-        parts = [zlib.compress(table[i * step:(i + 1) * step].tobytes(), 1) for i in range(RANGES)] if table.any() else []
+        parts = [counts_packed(table[i * step:(i + 1) * step]) for i in range(RANGES)] if table.any() else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(step, np.int64)
         for batch in batches:
             for c in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+                total += counts_unpacked(c.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
     rows = mapped(docs.select(column(docs, "text")), run, "part int, counts binary").groupBy("part").applyInArrow(merged, "part int, counts binary").collect()
     out = np.zeros(counters, np.int64)
@@ -230,7 +239,7 @@ def _met(a, b, matches, least, pivot):
 
 # 4. verification -------------------------------------------------------------------------------------------------------------------------
 
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, placed: DataFrame, size: int) -> DataFrame:
