@@ -30,7 +30,15 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_TAIL = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+# characters of an account number by country; other countries' numbers may have 15 to 34
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 "
+    "MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 "
+    "XK20 YE30").split()}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _BIRTH = re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Fa-f0-9]{20,}+(?![A-Za-z0-9])")
@@ -72,6 +80,26 @@ def emails(text: str):
         at = text.find("@", done)
 
 
+def accounts(text: str):
+    """Account numbers by the mod-97 digits: cut at their country's length, or else at the last word end where the digits agree."""
+    done = 0
+    for m in _IBAN_HEAD.finditer(text):
+        tail = _IBAN_TAIL.match(text, m.end()) if m.start() >= done else None
+        if not tail:
+            continue
+        stop = tail.end()
+        account = text[m.start():stop].replace(" ", "")
+        wanted = IBAN_LENGTHS.get(m[0][:2])
+        while len(account) >= (wanted or 15):
+            at_end = stop == len(text) or text[stop] not in _ALNUM
+            if at_end and wanted in (None, len(account)) and mod97(account):
+                yield m.start(), stop
+                done = stop
+                break
+            account = account[:-1]
+            stop -= 1 + (text[stop - 2] == " ")
+
+
 def _digits(text: str, start: int, stop: int) -> str:
     return "".join(c for c in text[start:stop] if c in "0123456789")
 
@@ -92,9 +120,8 @@ def _proposed(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(text, m.start(), m.end())) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for s, e in accounts(text):
+        yield "iban", s, e
     for kind, pattern in (("national_id", _NATIONAL), ("birth_date", _BIRTH), ("secret", _SECRET)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end()

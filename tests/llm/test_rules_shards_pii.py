@@ -140,6 +140,18 @@ def test_added_kinds_need_proof():
     assert [s[0] for s in pii.spans("born 1980-02-03")] == ["birth_date"] and pii.spans("on 1980-02-03") == []
 
 
+@pytest.mark.parametrize("account,after", [
+    ("GB82 WEST 1234 5698 7654 32", " OK then"), ("GB82WEST12345698765432", " 2024 x"), ("GB82WEST12345698765432", " A new"), ("GB82WEST12345698765432", ""),
+    ("DE89 3704 0044 0532 0130 00", " GB82 WEST 1234 5698 7654 32"), ("NO93 8601 1117 947", " 12"), ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", " B"),
+    ("ZZ33 1234 5678 9012 345", " OK"), ("GB82WEST12345698765432", " " + "A 1" * 40)])
+def test_accounts_end_before_capitals_and_numbers(account, after):
+    for before in ("", "IBAN ", "AB12 CDEF 1234 5678 "):
+        text = before + account + after
+        found = [text[s:e] for k, s, e, _ in pii.spans(text) if k == "iban"]
+        assert found[0] == account and len(found) == 1 + ("GB82" in after)
+    assert not [s for s in pii.spans(account[:-1] + "x" + after) if s[0] == "iban" and s[1] == 0]
+
+
 def test_redaction(spark, odd):
     out = {r.doc_id: r for r in pii.stage(spark, odd, "").collect()}
     assert "[EMAIL]" in out[4].text and "[PHONE]" in out[4].text and "[IP]" in out[4].text and "@" not in out[4].text
