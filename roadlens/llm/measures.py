@@ -12,7 +12,7 @@ MARKS = b"!?;:\"'()[]{}=+_~^@/\\`"
 STOPS = b".,"
 REPEAT_WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_marks",
-          "n_stops", "n_distinct", "n_bytes", "n_pairs")
+          "n_stops", "n_distinct", "n_bytes", "n_pairs", "n_adjacent")
 
 
 def _count(data: bytes, kinds: bytes) -> int:
@@ -45,4 +45,4 @@ def counts(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
     return (len(found), len(text) - _count(data, SPACES), _count(data, SYMBOLS), len(lines) - len(set(lines)), repeated_words(h), len(lines),
             _count(data, UPPER), _count(data, LOWER), _count(data, DIGITS), _count(data, MARKS), _count(data, STOPS), len(set(found)),
-            len(data), max(0, len(found) - 1))
+            len(data), max(0, len(found) - 1), int((h[1:] == h[:-1]).sum()))

@@ -1,6 +1,7 @@
 """Sharding, quality rules and personal data against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -99,6 +100,25 @@ def test_rules_odd_rows(spark, odd):
     assert rules.judged(odd.limit(0)).count() == 0
 
 
+def test_fences_follow_their_group(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    clean = lambda: " ".join(word(rng.randint(3, 7)) for _ in range(100))
+    marked = lambda every: " ".join(w + ";;" * (i % every == 0) for i, w in enumerate(clean().split()))
+    rows = [(i, clean(), "en", f"s{i % 2}") for i in range(200)] + [(i, marked(rng.randint(2, 3)), "xx", "code") for i in range(200, 300)]
+    bad = {1000: " ".join(w + "|" * (i % 20 == 0) for i, w in enumerate(clean().split())), 1001: marked(10), 1002: " ".join(w for w in clean().split()[:20] for _ in range(2)),
+           1003: " ".join(word(1) for _ in range(100)), 1004: " ".join(w.capitalize() if i % 2 else w for i, w in enumerate(clean().split())), 1005: " ".join(word(12) for _ in range(100))}
+    want = {1000: "symbol_share", 1001: "mark_share", 1002: "adjacent_share", 1003: "word_length", 1004: "upper_share", 1005: "word_length"}
+    got = {r.doc.doc_id: r for r in rules.judged(spark.createDataFrame(rows + [(i, t, "en", "s0") for i, t in bad.items()], "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: want[i] in got[i].failed and not got[i].base_failed for i in want} == dict.fromkeys(want, True)
+    assert all(got[i].kept for i in range(300))
+
+
+def test_no_labelled_junk_passes(spark):
+    sf = "/root/testdata/sf0.1"
+    assert entry.queries()["op3_quality_rules"](spark, sf).filter("kept").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0"), "doc_id").count() == 0
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
