@@ -5,8 +5,12 @@ text and the number of tags met in it. Lines that stand in menus, headers, foote
 reader comments (by element, role, or a word of class or id) are never content, but take part in the smoothing. The ratios of characters
 to tags are smoothed by a Gaussian over the line order; two clusters (text-like and link-like lines) are split by the threshold that
 minimises the variance within them. Lines with the same container form a region, and all of an article or main element is one region; the
-regions that hold a line of the text cluster are the content. All lines of a chosen region stay, short ones included. Where a page has an
-article element, only its lines are clustered.
+regions that hold a line of the text cluster are chosen, save regions of links whose own ratios are in the lower cluster. Where a page has an article element, only its lines are clustered.
+
+Chosen regions are then looked at once more. Consecutive lines of one container that are mostly links or inline markup form a run; within an
+article (outside, a region stands or falls as one) a run is left out if its ratios, smoothed within the container, are in the lower cluster:
+the article speaks for plain lines, however short, and not for link lists. Outside of articles a region that was not chosen is taken in if it is
+no run of links and stands between chosen lines, or inside a chosen container.
 
 Defined cases: null or empty html gives the empty text; broken markup never fails (unclosed elements end with the page or with an
 enclosing end tag); repeated rows are treated one by one; empty input gives an empty result.
@@ -34,7 +38,8 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner br
                   "replies search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget widgets".split())
 ENDS_P = BLOCKS - {"body", "html"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-SIGMA = 1.5
+FORMAT = frozenset("b strong i em u s sub sup small br wbr code kbd samp var cite q mark del ins abbr dfn time data".split())
+SIGMA, LINK_SHARE, TAG_CHARS = 1.5, 0.5, 5
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -60,20 +65,24 @@ def _unwanted(tag: str, attrs, in_article: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, container, unwanted, in article) for each block."""
+    """Collects (text, tags, region, unwanted, in article, container, mostly links or markup) for each block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.parts, self.tags, self.regions = [], [], 0, 0
-        self.open = [("", False, False, 0, False)]  # tag, unwanted, article, region, header of an article
+        self.open = [("", False, 0, 0, False)]  # tag, unwanted, article (its region), container, header of an article
+        self.parent = {0: 0}
+        self.inline, self.linked, self.link = 0, 0, 0  # inline tags and characters in links of this line, depth of the open link
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
             tag, unwanted, article, region, heading_only = self.open[-1]
-            self.lines.append((text, self.tags, region, unwanted or heading_only and tag not in HEADINGS, article))
+            full = len(text) - text.count(" ")
+            heavy = self.linked >= LINK_SHARE * full or full < TAG_CHARS * self.inline
+            self.lines.append((text, self.tags, article or region, unwanted or heading_only and tag not in HEADINGS, article > 0, region, heavy))
             self.tags = 0
-        self.parts = []
+        self.parts, self.inline, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -84,18 +93,24 @@ class Lines(HTMLParser):
             self.flush()
             if tag in ENDS_P and self.open[-1][0] == "p":
                 self.open.pop()
+        elif tag not in FORMAT:
+            self.inline += 1
+        if tag == "a" and any(k == "href" for k, _ in attrs):
+            self.link = len(self.open)
         if tag in VOID:
             return
         _, unwanted, article, region, heading_only = self.open[-1]
-        unwanted = unwanted or _unwanted(tag, attrs, article)
+        unwanted = unwanted or _unwanted(tag, attrs, article > 0)
         if tag in BLOCKS or unwanted and not self.open[-1][1]:
             if tag not in BLOCKS:
+                self.inline -= 1
                 self.flush()
-            if not article and tag not in ("p", "li", "tr", "td", "th", "dd", "dt") and tag not in HEADINGS:
+            if tag not in ("p", "li", "tr", "td", "th", "dd", "dt") and tag not in HEADINGS:
                 self.regions += 1
+                self.parent[self.regions] = region
                 region = self.regions
-            heading_only = heading_only or tag == "header" and article
-            self.open.append((tag, unwanted, article or tag in ("article", "main") and not unwanted, region, heading_only))
+            heading_only = heading_only or tag == "header" and article > 0
+            self.open.append((tag, unwanted, article or (region if tag in ("article", "main") and not unwanted else 0), region, heading_only))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -106,6 +121,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+        elif tag not in FORMAT:
+            self.inline += 1
+        if tag == "a":
+            self.link = 0
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 self.flush()
@@ -116,6 +135,10 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.parts.append(data)
+        if self.link > len(self.open):
+            self.link = 0  # what enclosed the link has ended
+        if self.link:
+            self.linked += sum(map(len, data.split()))
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -150,9 +173,76 @@ def main_text(html: str | None) -> str:
         return ""
     if any(lines[i][4] for i in wanted):
         wanted = [i for i in wanted if lines[i][4]]
-    ratios = smoothed(np.array([len(x[0]) / (1 + x[1]) for x in lines]))
-    chosen = {lines[i][2] for i in wanted if ratios[i] >= threshold(ratios[wanted])}
-    return "\n".join(lines[i][0] for i in wanted if lines[i][2] in chosen)
+    raw = np.array([len(x[0]) / (1 + x[1]) for x in lines])
+    ratios = smoothed(raw)
+    least = threshold(ratios[wanted])
+    chosen = {lines[i][2] for i in wanted if ratios[i] >= least}
+    if lines[wanted[0]][4]:
+        own = [i for i in wanted if lines[i][2] in chosen]
+        kept = _without_links(lines, raw, own) or own
+    else:
+        regions: dict[int, list[int]] = {}
+        for i in wanted:
+            regions.setdefault(lines[i][2], []).append(i)
+        for region in sorted(chosen):
+            own = regions[region]
+            # links beside a paragraph are not lifted by it
+            if sum(lines[i][6] for i in own) * 2 >= len(own) and raw[own].mean() < least and len(chosen) > 1:
+                chosen.discard(region)
+        kept = _joined(lines, parser.parent, wanted, chosen)
+    return "\n".join(lines[i][0] for i in kept)
+
+
+def _runs(lines, at: list[int], parts: tuple[int, ...]) -> list[list[int]]:
+    """``at`` in stretches of lines that agree in ``parts``."""
+    out: list[list[int]] = []
+    for i in at:
+        if out and all(lines[i][p] == lines[out[-1][-1]][p] for p in parts):
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def _without_links(lines, raw: np.ndarray, own: list[int]) -> list[int]:
+    """An article's lines without its runs of links in the lower cluster."""
+    local = np.zeros(len(lines))
+    for run in _runs(lines, own, (5,)):
+        local[run] = smoothed(raw[run])
+    least = threshold(local[own])
+    return [i for run in _runs(lines, own, (5, 6)) if not lines[run[0]][6] or local[run].mean() >= least for i in run]
+
+
+def _joined(lines, parent: dict[int, int], wanted: list[int], chosen: set[int]) -> list[int]:
+    """Lines of chosen regions, and of others without links that stand between them in a common container, or within one of them."""
+    def common(a, b):
+        while a != b:
+            a, b = (parent[a], b) if a > b else (a, parent[b])
+        return a
+    runs = _runs(lines, wanted, (2,))
+    picked = [lines[r[0]][2] in chosen for r in runs]
+    if all(picked):
+        return wanted
+    within: dict[int, bool] = {0: False}  # parents are numbered before what they hold
+    held = {lines[i][2] for i in wanted if lines[i][5] and parent[lines[i][5]]} & chosen
+    for region in sorted(parent)[1:]:
+        within[region] = within[parent[region]] or region in held
+    before = np.maximum.accumulate([k if p else -1 for k, p in enumerate(picked)])
+    after = np.minimum.accumulate([k if p else len(runs) for k, p in enumerate(picked)][::-1])[::-1]
+    kept, gaps = [], {}
+    for k, run in enumerate(runs):
+        take = picked[k]
+        if not take and sum(lines[i][6] for i in run) * 2 < len(run):
+            region = lines[run[0]][2]
+            take = within[region]
+            if not take and before[k] >= 0 and after[k] < len(runs):
+                gap = (int(before[k]), int(after[k]))
+                if gap not in gaps:
+                    gaps[gap] = common(lines[runs[gap[0]][0]][2], lines[runs[gap[1]][0]][2])
+                take = common(gaps[gap], region) == gaps[gap]
+        if take:
+            kept += run
+    return kept
 
 
 def extracted(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -52,6 +52,41 @@ def test_messy_page():
     assert html.main_text("<div>" * 3000 + "deep") == "deep" and html.main_text("just text") == "just text"
 
 
+LONG = [f"<p>{w} {'words of a long paragraph ' * 9}</p>" for w in ("one", "two", "three", "four")]
+LINKS = "".join(f"<li><a href=/{i}>Other story number {i}</a></li>" for i in range(6))
+
+
+@pytest.mark.parametrize("inside", [f"<ul>{LINKS}</ul>", LINKS.replace("li>", "p>"), f"<div>{''.join(f'<div><span>S{i}</span><span>x</span></div>' for i in range(6))}</div>"])
+@pytest.mark.parametrize("at", [0, 2, 4])
+def test_links_inside_an_article(inside, at):
+    texts = [re.sub("<.*?>", "", p).strip() for p in LONG]
+    for tag in ("article", "main"):
+        page = f"<body><{tag}><h1>Head</h1>{''.join([*LONG[:at], inside, *LONG[at:]])}<p>End.</p></{tag}></body>"
+        assert html.main_text(page).split("\n") == ["Head", *texts, "End."]
+    assert html.main_text(f"<article><ul>{LINKS}</ul></article>").count("\n") == 5
+    see = '<p>See <a href="/x">here</a>, it is a long story that has one link.</p><p><b>In.</b></p>'
+    assert html.main_text(f"<article>{''.join(LONG)}{see}</article>").split("\n")[4:] == ["See here, it is a long story that has one link.", "In."]
+
+
+def test_short_blocks_between_paragraphs_without_an_article():
+    items = "<ul><li>an item</li><li>another</li></ul>"
+    page = f"<body><div>{LINKS}</div><div>{LONG[0]}{items}{LONG[1]}<blockquote><p>Said.</p></blockquote></div><div>{LINKS}</div></body>"
+    assert [x[:7] for x in html.main_text(page).split("\n")] == ["one wor", "an item", "another", "two wor", "Said."]
+    page = f"<body><div>{LINKS}</div><div><section>{LONG[0]}</section><section><p>Short.</p></section><div>{LINKS}</div><section>{LONG[1]}</section></div></body>"
+    assert [x[:7] for x in html.main_text(page).split("\n")] == ["one wor", "Short.", "two wor"]
+
+
+def test_pages_without_article_tags(pages):
+    """The clustering alone, with menus and notices that no name gives away, on pages with enough text to tell them from."""
+    right = n = 0
+    for _, _, page in pages:
+        if article(page).count("\n") >= 5:
+            plain = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page)
+            n, right = n + 1, right + all(x in html.main_text(plain) for x in article(page).split("\n"))
+            assert not set(re.findall(r'<a href="[^"]*">(.*?)</a>', page)) & set(html.main_text(plain).split("\n"))
+    assert n > 20 and right == n
+
+
 def test_smoothing_and_threshold():
     v = np.array([1.0, 2.0, 9.0, 10.0, 1.5])
     assert html.threshold(v) == 9.0 and html.threshold(np.array([3.0])) == 3.0
