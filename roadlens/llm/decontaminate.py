@@ -5,8 +5,9 @@ are the seeds: documents are joined with the items that share one. For each such
 the window hashes, marked as a tile in both, and so on until no run of ``SHORTEST`` words is left; tiles never overlap, and their order does
 not matter, so passages whose sentences were moved are caught. A document is contaminated by an item if tiles cover ``COVERAGE`` of it.
 
-Items are gone through in blocks of a bounded number of words, so what a task holds does not grow with the benchmark; texts are read once
-per block. Documents are never grouped, so a passage that a third of them share is no hot key.
+Items are gone through in blocks of a bounded number of words. Where there is more than one, each block's matches are written before the next
+block is read and its broadcast is released, so neither the driver nor a task holds more than one block; texts are read once per block.
+Documents are never grouped by what they share, so a passage that a third of them have is no hot key.
 
 Defined cases: null or empty texts and documents or items of fewer than ``SHORTEST`` words match nothing; items with equal words are both
 reported; repeated rows are treated one by one; empty documents or an empty benchmark give an empty result; input columns travel in
@@ -16,12 +17,14 @@ the struct ``doc``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import written
 from .text import WordHashes, column, mapped, read, windows, words
 
 SHORTEST, COVERAGE = 5, 0.8
@@ -97,24 +100,25 @@ class Items:
         return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> list[Items]:
-    """The benchmark in blocks of about ``limit`` words, one at a time on the driver."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> tuple[int, Iterator[Items]]:
+    """How many blocks of about ``limit`` words the benchmark has, and the blocks, one at a time on the driver."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text IS NOT NULL")
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = max(1, math.ceil(total / limit))
-    for part in range(parts):
-        yield Items([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()])
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    return parts, (Items([tuple(r) for r in rows.filter(part_of == part).orderBy("item_id", "text").collect()]) for part in range(parts))
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, coverage: float = COVERAGE, limit: int = BLOCK_WORDS) -> DataFrame:
-    """``doc`` (columns ``keep``) and ``matches`` (with one block of items: of every document; with more, once per block)."""
+    """``doc`` (columns ``keep``) and ``matches`` (with one block of items: of every document; with more, a row for each block that matches)."""
     keep = docs.columns if keep is None else keep
     packed = docs.select(F.struct(*[column(docs, c) for c in docs.columns if c in keep]).alias("doc"), F.col("text"))
     kind = packed.schema["doc"].dataType.simpleString()
     entry = pa.struct([("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()),
                        ("tiles", pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())])))])
+    parts, every = blocks(benchmark, limit)
     out = None
-    for items in blocks(benchmark, limit):
+    for items in every:
         shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by ``limit`` words
         hashes = WordHashes()
 
@@ -123,6 +127,9 @@ def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
                 found = [shared.value.matches(hashes.of(words(t.as_py())), coverage) for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(entry))], ["doc", "matches"])
         part = mapped(packed, run, f"doc {kind}, matches {MATCH}")
+        if parts > 1:
+            part = written(part.filter(F.size("matches") > 0), "tiling-matches")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -134,16 +141,26 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "m.item_id", "m.covered", "m.item_words", F.size("m.tiles").alias("n_tiles"), (F.col("m.covered") / F.col("m.item_words")).alias("coverage"))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates, columns unchanged. Blocks are applied one after the other."""
-    out = docs
-    for items in blocks(read(spark, sf_dir, "benchmark")):
+def stage(spark, docs: DataFrame, sf_dir: str, limit: int = BLOCK_WORDS) -> DataFrame:
+    """Documents that no benchmark item contaminates, columns unchanged. One block filters the documents as they are read; more of them write
+    the digests of the texts they match, which are joined at the end."""
+    parts, every = blocks(read(spark, sf_dir, "benchmark"), limit)
+    digest = lambda d: F.struct(F.md5(column(d, "text").cast("string")), F.xxhash64(column(d, "text")))
+    hit = None
+    for items in every:
         shared = spark.sparkContext.broadcast(items)
         hashes = WordHashes()
 
-        def run(batches, shared=shared, hashes=hashes):
+        def run(batches, shared=shared, hashes=hashes, wanted=parts > 1):
             for batch in batches:
-                clean = [not shared.value.matches(hashes.of(words(t.as_py())), COVERAGE) for t in batch.column("text")]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-        out = mapped(out, run, out.schema)
-    return out
+                found = [bool(shared.value.matches(hashes.of(words(t.as_py())), COVERAGE)) == wanted for t in batch.column("text")]
+                yield batch.filter(pa.array(found, pa.bool_()))
+        if parts == 1:
+            return mapped(docs, run, docs.schema)
+        texts = docs.select(column(docs, "text"))
+        found = mapped(texts, run, texts.schema)
+        part = written(found.select(digest(found).alias("digest")).distinct(), "tiling-digests")
+        shared.destroy()
+        hit = part if hit is None else hit.unionByName(part)
+    # a null text has no matches, and its digest none to meet
+    return docs.join(hit, digest(docs) == hit["digest"], "left_anti")

@@ -125,6 +125,31 @@ def test_reordered_passages_are_caught(spark):
     assert decontaminate.matched(docs, bench.limit(0)).count() == len(docs.collect()) and decontaminate.matched(docs.limit(0), bench).count() == 0
 
 
+def test_blocks_are_released_one_by_one(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"before {t} after", "x") for i, t in items[:6]] * 2 + [(100 + i, f"other words {i} and nothing else", "y") for i in range(6)]
+                                 + [(200, None, "z"), (200, None, "z"), (None, "", "z")], "doc_id long, text string, digest string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    alive, most, made = set(), [0], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        out = made(value)
+        alive.add(id(out))
+        most[0] = max(most[0], len(alive))
+        end = out.destroy
+        monkeypatch.setattr(out, "destroy", lambda *a: (alive.discard(id(out)), end(*a)))
+        return out
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    found = {(r.doc.doc_id, m.item_id) for r in decontaminate.matched(docs, bench, limit=60).collect() for m in r.matches}
+    assert found == {(i, i) for i in range(6)} and most == [1] and not alive
+    kept = decontaminate.stage(spark, docs, f"file://{tmp_path}", limit=60)
+    assert kept.columns == docs.columns and most == [1] and not alive
+    one = decontaminate.stage(spark, docs, f"file://{tmp_path}")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, one.collect())) and kept.count() == 9
+
+
 def test_decontamination_rows(spark):
     got = {(r.doc_id, r.item_id): r.covered for r in entry.queries()["op8_decontamination"](spark, SF).collect()}
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
