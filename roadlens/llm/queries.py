@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .classifier import op4_classifier
 from .decontaminate import op8_decontamination
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import op13_source_divergence
 from .html import op6_html
 from .katz import op10_katz
 from .ngram_join import op1_ngram_join
@@ -13,8 +15,9 @@ from .rules import op3_quality_rules
 from .sharding import op2_sharding
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc, op10_katz)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc, op10_katz,
+                                  op13_source_divergence)}
+ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
 
 
 def queries() -> dict:
