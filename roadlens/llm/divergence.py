@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import shipped, written
-from .text import column, mapped, read
+from .text import column, mapped, read, slices
 
 LEAST_DOCS = 10
 SCALE = 1_000_000_000
@@ -29,23 +29,10 @@ TOP_TERMS = 10
 COLUMNS, TILE = 4096, 128
 HELD_TERMS = 400_000
 FRONTIER = 1 << 18
-SLICE = 1 << 20
 
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def slices(data: bytes, size: int = SLICE):
-    """``data`` in pieces that end at a blank, so that a long text is never held as one list of words."""
-    start = 0
-    while len(data) - start > size:
-        end = data.find(b" ", start + size)
-        if end < 0:
-            break
-        yield data[start:end]
-        start = end
-    yield data[start:]
-
-
 def counted(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, summed in each task; a row without term says that the group occurs."""
     def run(batches):

@@ -405,11 +405,21 @@ def between_chunks(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent:
 
 def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percent: int, short: int = SHORT_LIST, chunk: int = CHUNK) -> DataFrame:
     """Verified links (a, b) between representatives; they connect every pair of similar sets, directly or through others."""
+    return confirmed(docs, reps, asked(rows, reps, percent, short), size, percent, chunk)
+
+
+def asked(rows: DataFrame, reps: DataFrame, percent: int, short: int = SHORT_LIST) -> DataFrame:
+    """Candidates (a, b, pivot): pairs that share enough prefix tokens, and pivots with the members of their long lists."""
     entries = rows.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
     found = written(met(postings(rows, reps, max(8, math.ceil(entries / POSTINGS_PER_PART)), percent), short), "join-met")
     pairs = found.filter("NOT pivot").groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("least").alias("least")).filter("matches >= least")
     groups = found.filter("pivot").select("a", "b").distinct()
-    asked = written(pairs.select("a", "b", F.lit(False).alias("pivot")).unionByName(groups.select("a", "b", F.lit(True).alias("pivot"))), "join-asked")
+    return written(pairs.select("a", "b", F.lit(False).alias("pivot")).unionByName(groups.select("a", "b", F.lit(True).alias("pivot"))), "join-asked")
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that span what is similar, by whole sets, among candidates ``asked`` (a, b, pivot): single pairs, and with ``pivot`` the members b of
+    a's group, of which any two may be similar."""
     # candidates form groups; each is verified in one place while it is small, else pair by pair and by its pivots
     root = written(classes(asked), "join-groups")
     placed = written(root.join(root.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("ref", "root", (F.col("n") > chunk).alias("large")), "join-placed")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .classifier import op4_classifier
+from .collocations import ORACLE as COLLOCATIONS_SQL
+from .collocations import op12_collocations
 from .decontaminate import op8_decontamination
 from .divergence import ORACLE as DIVERGENCE_SQL
 from .divergence import op13_source_divergence
 from .html import op6_html
 from .katz import op10_katz
+from .minhash import op11_minhash_dedup
 from .ngram_join import op1_ngram_join
 from .packing import op7_packing
 from .pii import op5_pii
@@ -16,8 +19,8 @@ from .sharding import op2_sharding
 from .warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc, op10_katz,
-                                  op13_source_divergence)}
-ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
+                                  op11_minhash_dedup, op12_collocations, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op12_collocations": COLLOCATIONS_SQL, "op13_source_divergence": DIVERGENCE_SQL}
 
 
 def queries() -> dict:

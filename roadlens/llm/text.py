@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -62,6 +62,18 @@ def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(h, size))
 
 
+def slices(data: bytes, cut: bytes = b" ", size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in pieces that end at a ``cut``, so that a long text is never held as one list of words."""
+    start = 0
+    while len(data) - start > size:
+        end = data.find(cut, start + size)
+        if end < 0:
+            break
+        yield data[start:end]
+        start = end
+    yield data[start:]
+
+
 def column(df: DataFrame, name: str):
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
