@@ -125,6 +125,7 @@ def threshold_sweep(parts: DataFrame, incidents: DataFrame, roadworks: DataFrame
     marked = (parts.join(roadworks.select(*keys), keys, "left_anti")
               .join(incidents.select(*keys, F.lit(1).alias("label")), keys, "left")
               .select(F.coalesce("label", F.lit(0)).alias("label"), *[F.round(score(v), SWEEP_DIGITS).alias(v) for v in variants]))
+    marked = written(marked, "marked_scores")  # read for the thresholds and again for the counts
     asked = F.transform(F.sequence(F.lit(0), F.lit(SWEEP_POINTS - 1)), lambda i: F.struct(
         i.alias("name"), (i * (SWEEP_TO - SWEEP_FROM) / (SWEEP_POINTS - 1) + SWEEP_FROM).alias("p")))
     by_variant = marked.unpivot(["label"], list(variants), "variant", "value")

@@ -107,6 +107,11 @@ class City(Analog):
         parts = detect.components(self.ratios, self.baseline, self.edges)
         return bucketed(detect.scored(parts, self.cfg), "components", ["segment_id"], ["segment_id", "ts"], self.n_cells)
 
+    @cached_property
+    def sweep(self) -> DataFrame:
+        """Counts of every threshold tried; the calibration reads them too."""
+        return written(detect.threshold_sweep(self.up_to(self.components, self.cfg.train_end), self.incident_mask, self.roadwork_mask), "sweep")
+
     @cached_property
     def bottlenecks(self) -> DataFrame:
         found = detect.bottlenecks(self.up_to(self.ratios, self.cfg.train_end), self.labelled, self.cfg)

@@ -256,11 +256,13 @@ SELECT route_id, max(total_m) AS total_m, count(*) AS stretches, sum(delay_min)
 query("grade_separation", "route_id:s existing:s", """
 SELECT route_id, string_agg(DISTINCT road_name, ',') AS existing FROM records WHERE regexp_matches(lower(road_name), 'flyover|underpass|bridge|overpass') GROUP BY 1""",
       **RECORDS)(lambda c: corridor.grade_separation(_whole(c)).withColumn("existing", F.concat_ws(",", "existing")))
-_AUC = """
-SELECT {kind} AS scoring, (sum(rk) FILTER (y) - sum(CASE WHEN y THEN 1 ELSE 0 END) * (sum(CASE WHEN y THEN 1 ELSE 0 END) + 1) / 2)
-  / (sum(CASE WHEN y THEN 1 ELSE 0 END) * sum(CASE WHEN y THEN 0 ELSE 1 END)) AS auc, sum(CASE WHEN y THEN 1 ELSE 0 END) AS k, count(*) AS segments
-FROM (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rk FROM (
-  SELECT round(coalesce({expr}, 0), 9) AS v, structural_bottleneck = 1 AS y FROM seg_scores JOIN segments USING (segment_id)))"""
+RANKING_SQL = """
+SELECT {kind} AS scoring, sum(p * (lower + q * 0.5::DOUBLE)) / (sum(p)::DOUBLE * sum(q)) AS auc, sum(least(greatest(k - higher, 0), p + q) * p::DOUBLE / (p + q)) / max(k) AS precision_at_k,
+  max(k) AS k, sum(p + q) AS segments
+FROM (SELECT *, sum(p) OVER () AS k, coalesce(sum(q) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower,
+  coalesce(sum(p + q) OVER (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS higher FROM (
+  SELECT round(coalesce({expr}, 0), 9) AS v, count(*) FILTER (structural_bottleneck = 1) AS p, count(*) FILTER (structural_bottleneck <> 1) AS q
+  FROM {rows} GROUP BY 1))"""
 _B = {f"c_{k}": v for k, v in conf.BOTTLENECK_WEIGHTS.items()}
 _WITHOUT = {k: v for k, v in _B.items() if k != "c_throughput_ceiling"}
 
@@ -276,8 +278,9 @@ def _benchmark(c):
     return out
 
 
-query("corridor_benchmark", "scoring:s auc:d k:i segments:i", _AUC.format(kind="'all components'", expr=_wmean(_B)) + " UNION ALL "
-      + _AUC.format(kind="'without ceiling'", expr=_wmean(_WITHOUT)), seg_scores=_scores("seg_stats", ""), **STATS)(_benchmark)
+_RANKED = "seg_scores JOIN segments USING (segment_id)"
+query("corridor_benchmark", "scoring:s auc:d precision_at_k:d k:i segments:i", RANKING_SQL.format(kind="'all components'", expr=_wmean(_B), rows=_RANKED) + " UNION ALL "
+      + RANKING_SQL.format(kind="'without ceiling'", expr=_wmean(_WITHOUT), rows=_RANKED), seg_scores=_scores("seg_stats", ""), **STATS)(_benchmark)
 
 # ---- interventions, each route as a zone
 _ZM = f"""

@@ -38,16 +38,11 @@ SELECT variant, threshold, count(*) FILTER (v >= threshold AND label) AS tp, cou
   count(*) FILTER (v < threshold AND label) AS fn FROM cuts JOIN long_scores USING (variant) GROUP BY ALL))"""
 _sweep_views = {"scored": _SCORED, "long_scores": _LONG, "cuts": _CUTS, "sweep": _SWEEP}
 
-
-def _sweep(c):
-    return detect.threshold_sweep(c.up_to(c.components, c.cfg.train_end), c.incident_mask, c.roadwork_mask)
-
-
-query("threshold_sweep", "variant:s threshold:d tp:i fp:i fn:i precision:d recall:d f1:d", "SELECT * FROM sweep", **_sweep_views)(_sweep)
+query("threshold_sweep", "variant:s threshold:d tp:i fp:i fn:i precision:d recall:d f1:d", "SELECT * FROM sweep", **_sweep_views)(lambda c: c.sweep)
 query("detector_calibration", "variant:s threshold:d f1:d chosen:b", """
 SELECT variant, threshold, f1, row_number() OVER (ORDER BY f1 DESC, CASE variant WHEN 'z_composite' THEN 1 WHEN 'drop' THEN 2 ELSE 3 END) = 1 AS chosen
 FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY f1 DESC, threshold) AS rn FROM sweep) WHERE rn = 1""", **_sweep_views)(
-    lambda c: detect.best_thresholds(_sweep(c)))
+    lambda c: detect.best_thresholds(c.sweep))
 query("traffic_state", "segment_id:s ts:t state:s", "SELECT segment_id, ts, state FROM components")(
     lambda c: c.ratios.select("segment_id", "ts", state_of("speed_ratio").alias("state")))
 

@@ -12,7 +12,7 @@ from ..functions import slots
 from ..operators import detect, diagnose, evaluate, forecast, robustness
 from ..sources.workspace import fresh_path, written
 from ..streaming import live
-from .corridor_queries import STATS
+from .corridor_queries import RANKING_SQL, STATS
 from .detect_queries import _BN, _CENTRES, _EVENTS, _RUNS, _SHAPES, TYPE_SQL
 from .registry import query
 
@@ -183,12 +183,9 @@ SELECT z.threshold, count(*) FILTER (coalesce(robust_z <= z.threshold, false) AN
   count(*) FILTER (NOT coalesce(robust_z <= z.threshold, false) AND structural_bottleneck = 1) AS fn
 FROM bottlenecks JOIN segments USING (segment_id), (VALUES (-1.5), (-2.0), (-2.5), (-3.0)) z(threshold) GROUP BY 1)""", **_BN)(
     lambda c: evaluate.bottleneck_quality(c.bottlenecks, c.segments))
-query("bottleneck_ranking", "auc:d k:i segments:i", """
-SELECT (sum(rk) FILTER (y) - sum(CASE WHEN y THEN 1 ELSE 0 END) * (sum(CASE WHEN y THEN 1 ELSE 0 END) + 1) / 2) / (sum(CASE WHEN y THEN 1 ELSE 0 END) * sum(CASE WHEN y THEN 0 ELSE 1 END)) AS auc,
-  sum(CASE WHEN y THEN 1 ELSE 0 END) AS k, count(*) AS segments
-FROM (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rk FROM (
-  SELECT round(-robust_z, 9) AS v, structural_bottleneck = 1 AS y FROM bottlenecks JOIN segments USING (segment_id) WHERE robust_z IS NOT NULL))""", **_BN)(
-    lambda c: evaluate.bottleneck_ranking(c.bottlenecks, c.segments))
+query("bottleneck_ranking", "auc:d precision_at_k:d hits_at_k:d k:i segments:i", f"""
+SELECT *, precision_at_k * k AS hits_at_k FROM ({RANKING_SQL.format(kind="'throughput'", expr="-robust_z", rows="bottlenecks JOIN segments USING (segment_id) WHERE robust_z IS NOT NULL")})""", **_BN)(
+    lambda c: evaluate.bottleneck_ranking(c.bottlenecks, c.segments).withColumn("hits_at_k", F.col("precision_at_k") * F.col("k")))
 
 
 # ---- robustness

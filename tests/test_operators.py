@@ -227,7 +227,7 @@ def test_only_listed_tables_are_served(spark):
 
 def test_hot_plans_have_no_cartesian_product(spark):
     c = city(spark, SMALL)
-    for df in (panel.sanitized(c.readings, c.segments, c.cfg), detect.components(c.ratios, c.baseline, c.edges, c.n_segments), routes.match(c.stretches, c.lines),
+    for df in (panel.sanitized(c.readings, c.segments, c.cfg), detect.components(c.ratios, c.baseline, c.edges), routes.match(c.stretches, c.lines),
                graph.neighbor_means(features.with_ratios(c.panel, c.segments), c.edges), whatif.shortlist(c.reach, c.segments, c.candidates)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
