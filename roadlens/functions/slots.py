@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import Settings
@@ -34,5 +34,23 @@ def slot_range(start, end, cfg: Settings) -> Column:
             .otherwise(F.array().cast("array<timestamp>"))
 
 
+PERIOD = "period"
+
+
+def period(ts, cfg: Settings) -> Column:
+    """First day of the part of the time axis that a table is partitioned by: days on a fine grid, weeks on a coarse one."""
+    return F.to_date(F.date_trunc("day" if cfg.slots_per_day >= 24 else "week", col(ts)))
+
+
+def within(df: DataFrame, start, end, cfg: Settings) -> DataFrame:
+    """Rows from ``start`` to ``end`` (both included, either may be None). Of a table that is partitioned by period only those parts are read."""
+    for bound, keeps in ((start, lambda c, b: c >= b), (end, lambda c, b: c <= b)):
+        if bound is not None:
+            df = df.filter(keeps(F.col("ts"), bound))
+            if PERIOD in df.columns:
+                df = df.filter(keeps(F.col(PERIOD), period(bound, cfg)))
+    return df.drop(PERIOD)
+
+
 def minutes_between(later, earlier) -> Column:
     return (F.unix_micros(col(later)) - F.unix_micros(col(earlier))) / 60e6

@@ -186,7 +186,7 @@ def events(rows: DataFrame) -> DataFrame:
 def recent_events(rows: DataFrame, t: str, cfg: Settings) -> DataFrame:
     """Runs inside the last ``recent_slots`` slots up to ``t``; ongoing ones first, then by peak."""
     end = slots.at(t)
-    window = rows.filter(F.col("ts").between(slots.shift(end, -cfg.step_minutes * (cfg.recent_slots - 1)), end))
+    window = slots.within(rows, slots.shift(end, -cfg.step_minutes * (cfg.recent_slots - 1)), end, cfg)
     return (events(window).withColumns({"ongoing": F.col("end") == end,
                                         "duration_min": F.col("slots") * cfg.step_minutes})
             .orderBy(F.col("ongoing").desc(), F.col("peak_score").desc(), "segment_id"))

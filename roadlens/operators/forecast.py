@@ -142,9 +142,9 @@ def series(panel: DataFrame, forecast: DataFrame, t: str, cfg: Settings) -> Data
     """Per segment and metric at ``t``: the recorded history, the value now and the forecast, as one long table."""
     end = slots.at(t)
     start = slots.shift(end, -cfg.step_minutes * (cfg.forecast_history_slots - 1))
-    past = panel.filter(F.col("ts").between(start, end)).select(
+    past = slots.within(panel, start, end, cfg).select(
         "segment_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("ts").alias("at"), F.col(c).alias("value")) for m, c in FORECAST_METRICS.items()])))
-    ahead = forecast.filter(F.col("ts") == end).select("segment_id", "metric", (F.col("ts") + F.make_dt_interval(mins=F.col("horizon_min"))).alias("at"), F.col("p50").alias("value"))
+    ahead = slots.within(forecast, end, end, cfg).select("segment_id", "metric", (F.col("ts") + F.make_dt_interval(mins=F.col("horizon_min"))).alias("at"), F.col("p50").alias("value"))
     return past.withColumn("kind", F.lit("history")).unionByName(ahead.withColumn("kind", F.lit("forecast")))
 
 

@@ -72,10 +72,33 @@ def hops(segments: DataFrame, max_hops: int = MAX_HOPS, edges: DataFrame | None
     return seen
 
 
-def neighbor_stat(values: DataFrame, edges: DataFrame, aggregates: list, keys=("segment_id",)) -> DataFrame:
-    """Aggregate the neighbours' rows of the same slot: ``values`` has (segment_id, ts, ...)."""
+TILE_SEGMENTS = 512
+# rows that lie together by tile are joined by (tile, segment) where they are
+JOIN_IN_TILES = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def tiled(edges: DataFrame, segments: DataFrame, nodes: DataFrame, n_segments: int, per_tile: int = TILE_SEGMENTS) -> DataFrame:
+    """``edges`` with the ``tile`` of segment_id: a square of the map, of such a size that it holds about ``per_tile`` segments on average."""
+    tiles = max(1, n_segments // per_tile)
+    spread = lambda c: F.max(c) - F.min(c)
+    box = nodes.agg(F.min("lat").alias("lat0"), F.min("lon").alias("lon0"), spread("lat").alias("high"), spread("lon").alias("wide"))
+    lat0, lon0, high, wide = (box.select(c).scalar() for c in box.columns)
+    side = F.greatest(F.sqrt(high * wide / tiles), F.greatest(high, wide) / tiles, F.lit(1e-9))
+    at = nodes.select(F.col("node_id").alias("source_node"), F.struct(F.floor((F.col("lat") - lat0) / side).alias("y"), F.floor((F.col("lon") - lon0) / side).alias("x")).alias("tile"))
+    own = segments.select("segment_id", "source_node").join(at, "source_node", "left").drop("source_node")
+    nowhere = F.struct(F.lit(-1).cast("long").alias("y"), F.lit(-1).cast("long").alias("x"))
+    return edges.join(own.withColumn("tile", F.coalesce("tile", nowhere)), "segment_id")
+
+
+def neighbor_stat(values: DataFrame, edges: DataFrame, aggregates: list) -> DataFrame:
+    """Aggregate the neighbours' rows of the same slot: ``values`` has (segment_id, ts, ...), ``edges`` their tiles.
+
+    A row is sent once to its own tile and once to each tile in which a neighbour of its segment lies (at the border). There it meets the edges
+    and is aggregated without moving again: what is shuffled follows the cells, not the edges.
+    """
     beside = values.withColumnRenamed("segment_id", "neighbor_id")
-    return edges.join(beside, "neighbor_id").groupBy(*keys, "ts").agg(*aggregates)
+    sent = beside.join(edges.select("neighbor_id", "tile").distinct(), "neighbor_id").repartition("tile")
+    return sent.join(edges.repartition("tile"), ["tile", "neighbor_id"]).groupBy("tile", "segment_id", "ts").agg(*aggregates).drop("tile")
 
 
 def neighbor_means(values: DataFrame, edges: DataFrame) -> DataFrame:

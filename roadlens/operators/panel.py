@@ -122,7 +122,7 @@ def report(readings: DataFrame, segments: DataFrame, cfg: Settings) -> DataFrame
 def as_of(panel: DataFrame, t: str, cfg: Settings) -> DataFrame:
     """The slots of the observation window that ends exactly at ``t``; nothing after it."""
     end = slots.floor_slot(slots.at(t), cfg)
-    return panel.filter(F.col("ts").between(slots.shift(end, -cfg.step_minutes * (cfg.history_slots - 1)), end))
+    return slots.within(panel, slots.shift(end, -cfg.step_minutes * (cfg.history_slots - 1)), end, cfg)
 
 
 def checked_time(df: DataFrame, column: str, cfg: Settings) -> DataFrame:
@@ -133,7 +133,7 @@ def checked_time(df: DataFrame, column: str, cfg: Settings) -> DataFrame:
 
 def fit_panel(panel: DataFrame, cfg: Settings) -> DataFrame:
     """The part of the panel anything may be fitted on."""
-    return panel.filter(F.col("ts") <= slots.at(cfg.val_end))
+    return slots.within(panel, None, slots.at(cfg.val_end), cfg)
 
 
 def write_panel(panel: DataFrame, path: str, cfg: Settings, n_segments: int, rows_per_file: int = 5_000_000) -> None:

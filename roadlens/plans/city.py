@@ -60,14 +60,24 @@ class City(Analog):
     def checked_cells(self) -> DataFrame:
         return panel.judged(self.raw_cells)
 
+    def by_period(self, df: DataFrame, name: str, clustered: bool = False) -> DataFrame:
+        """A table of cells: directories by period, in each of them the same buckets of segments."""
+        dated = df.withColumn(slots.PERIOD, slots.period("ts", self.cfg))
+        return bucketed(dated, name, ["segment_id"], ["segment_id", "ts"], self.n_cells, clustered, (slots.PERIOD,))
+
     @cached_property
+    def dated_panel(self) -> DataFrame:
+        return self.by_period(panel.sanitized(self.readings, self.segments, self.cfg), "panel", clustered=True)
+
+    @property
     def panel(self) -> DataFrame:
-        return bucketed(panel.sanitized(self.readings, self.segments, self.cfg), "panel", ["segment_id"], ["segment_id", "ts"], self.n_cells, clustered=True)
+        return self.dated_panel.drop(slots.PERIOD)
 
     # ---- network
     @cached_property
     def edges(self) -> DataFrame:
-        return written(graph.neighbors(self.segments), "edges")
+        """Neighbours, and the tile of the map that each pair belongs to."""
+        return written(graph.tiled(graph.neighbors(self.segments), self.segments, self.nodes, self.n_segments), "edges")
 
     @cached_property
     def legal_turns(self) -> DataFrame:
@@ -83,7 +93,7 @@ class City(Analog):
         return detect.with_daytype(features.with_ratios(self.panel, self.segments), self.context)
 
     def up_to(self, df: DataFrame, end: str) -> DataFrame:
-        return df.filter(F.col("ts") <= slots.at(end))
+        return slots.within(df, None, slots.at(end), self.cfg)
 
     @cached_property
     def incident_mask(self) -> DataFrame:
@@ -102,10 +112,13 @@ class City(Analog):
         return written(detect.baseline(self.up_to(self.ratios, self.cfg.train_end), self.labelled), "baseline")
 
     @cached_property
-    def components(self) -> DataFrame:
+    def dated_components(self) -> DataFrame:
         """Scored components of every cell."""
-        parts = detect.components(self.ratios, self.baseline, self.edges)
-        return bucketed(detect.scored(parts, self.cfg), "components", ["segment_id"], ["segment_id", "ts"], self.n_cells)
+        return self.by_period(detect.scored(detect.components(self.ratios, self.baseline, self.edges), self.cfg), "components")
+
+    @property
+    def components(self) -> DataFrame:
+        return self.dated_components.drop(slots.PERIOD)
 
     @cached_property
     def sweep(self) -> DataFrame:
@@ -122,9 +135,13 @@ class City(Analog):
         return detect.active_roadworks(self.roadworks, self.cfg)
 
     @cached_property
-    def diagnosed(self) -> DataFrame:
+    def dated_diagnosed(self) -> DataFrame:
         full = diagnose.diagnoses(self.components, self.roadworks_active, self.bottlenecks, self.context, self.edges, self.cfg)
-        return bucketed(full, "diagnosed", ["segment_id"], ["segment_id", "ts"], self.n_cells)
+        return self.by_period(full, "diagnosed")
+
+    @property
+    def diagnosed(self) -> DataFrame:
+        return self.dated_diagnosed.drop(slots.PERIOD)
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -191,7 +208,7 @@ class City(Analog):
     def stretch_records(self) -> DataFrame:
         cut = written(routes.match(self.stretches, self.lines), "matched")
         cut = routes.junction_counts(routes.road_names(cut, self.roads), self.route_vertices, self.junctions, self.junction_sources)
-        now = self.components.filter(F.col("ts") == slots.at(self.AS_OF)).select("segment_id", "speed_ratio", "state")
+        now = slots.within(self.dated_components, slots.at(self.AS_OF), slots.at(self.AS_OF), self.cfg).select("segment_id", "speed_ratio", "state")
         return written(corridor.stretch_records(cut, self.segment_stats, self.norms, now), "stretch_records")
 
     AS_OF = "2024-01-26 12:00:00"
@@ -251,10 +268,21 @@ class City(Analog):
     def persistence(self) -> DataFrame:
         return forecast.with_bands(forecast.persistence(self.panel, self.cfg), self.bands, self.ratios, self.segments)
 
+    def persistence_at(self, t: str) -> DataFrame:
+        """The persistence forecast of one slot, from that slot's part of the panel."""
+        now = slots.within(self.dated_panel, slots.at(t), slots.at(t), self.cfg)
+        ratios = detect.with_daytype(features.with_ratios(now, self.segments), self.context)
+        return forecast.with_bands(forecast.persistence(now, self.cfg), self.bands, ratios, self.segments)
+
     @cached_property
-    def daily_forecast(self) -> DataFrame:
+    def dated_forecast(self) -> DataFrame:
         """The forecast table that map, outlook, trend and riders read: known from past data alone, and sayable in SQL."""
-        return written(forecast.with_bands(forecast.daily_change(self.panel, self.cfg), self.bands, self.ratios, self.segments), "daily_forecast")
+        rows = forecast.with_bands(forecast.daily_change(self.panel, self.cfg), self.bands, self.ratios, self.segments)
+        return written(rows.withColumn(slots.PERIOD, slots.period("ts", self.cfg)), "daily_forecast", (slots.PERIOD,))
+
+    @property
+    def daily_forecast(self) -> DataFrame:
+        return self.dated_forecast.drop(slots.PERIOD)
 
     # ---- planning
     @cached_property
@@ -289,6 +317,7 @@ def release(spark: SparkSession) -> None:
 def city(spark: SparkSession, sf_dir: str) -> City:
     """The city of a driver directory; kept for the life of the Spark application."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(*graph.JOIN_IN_TILES)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cities:
         _cities[key] = City(spark, sf_dir)

@@ -71,7 +71,7 @@ SELECT segment_id, min(ts) AS start, max(ts) AS "end", count(*) AS slots, count(
 FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY ts) - row_number() OVER (PARTITION BY segment_id, anomalous ORDER BY ts) AS g
   FROM components WHERE ts BETWEEN TIMESTAMP '2024-01-26 12:00:00' - INTERVAL 30 HOUR AND TIMESTAMP '2024-01-26 12:00:00')
 WHERE anomalous GROUP BY segment_id, g""")(
-    lambda c: detect.recent_events(c.components, "2024-01-26 12:00:00", c.cfg))
+    lambda c: detect.recent_events(c.dated_components, "2024-01-26 12:00:00", c.cfg))
 query("run_onset", "segment_id:s ts:t run_start:t onset_step:d duration_min:i", """
 SELECT r.segment_id, r.ts, r.run_start, coalesce(o.step, 0) AS onset_step, date_diff('minute', r.run_start, r.ts) + 360 AS duration_min
 FROM runs r JOIN runs o ON o.segment_id = r.segment_id AND o.ts = r.run_start WHERE r.anomalous""", runs=_RUNS)(

@@ -60,7 +60,7 @@ SELECT segment_id, ts, horizon_min, p50 / free_flow_speed_kmh AS ratio, {_ST.for
 query("forecast_series", "segment_id:s metric:s at:t value:d kind:s", " UNION ALL ".join(
     f"SELECT segment_id, '{m}' AS metric, ts AS at, {c} AS value, 'history' AS kind FROM panel WHERE ts BETWEEN TIMESTAMP '2024-01-26 12:00:00' - INTERVAL 144 HOUR AND TIMESTAMP '2024-01-26 12:00:00'"
     for m, c in _M) + " UNION ALL SELECT segment_id, metric, ts + INTERVAL 1 MINUTE * horizon_min, p50, 'forecast' FROM pers WHERE ts = TIMESTAMP '2024-01-26 12:00:00'", **FC)(
-    lambda c: forecast.series(c.panel, c.persistence, c.AS_OF, c.cfg))
+    lambda c: forecast.series(c.dated_panel, c.persistence_at(c.AS_OF), c.AS_OF, c.cfg))
 _LV = "CASE WHEN {0} >= 0.85::DOUBLE THEN 'free_flow' WHEN {0} >= 0.70::DOUBLE THEN 'moderate' WHEN {0} >= 0.50::DOUBLE THEN 'heavy' WHEN {0} >= 0 THEN 'severe' ELSE 'no_data' END"
 _RK = "CASE {0} WHEN 'moderate' THEN 1 WHEN 'heavy' THEN 2 WHEN 'severe' THEN 3 ELSE 0 END"
 _OUTLOOK = f"""

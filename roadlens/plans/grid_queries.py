@@ -85,7 +85,7 @@ def _stuck(c):
 query("as_of_window", "segment_id:s ts:t speed_kmh:d quality:d", """
 SELECT segment_id, ts, speed_kmh, quality FROM panel
 WHERE ts BETWEEN TIMESTAMP '2024-01-26 12:00:00' - INTERVAL 42 HOUR AND TIMESTAMP '2024-01-26 12:00:00'""")(
-    lambda c: panel.as_of(c.panel, "2024-01-26 13:30:00", c.cfg))
+    lambda c: panel.as_of(c.dated_panel, "2024-01-26 13:30:00", c.cfg))
 
 query("floor_to_grid", "event_id:i slot:t", """
 SELECT event_id, TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * CAST(floor(epoch_us(ts) / 21600000000) * 21600 AS BIGINT) AS slot FROM events
@@ -95,7 +95,7 @@ WHERE ts < TIMESTAMP '2024-01-31 00:00:00'""")(
 query("fit_boundary", "part:s cells:i first:t last:t", """
 SELECT 'fit' AS part, count(*) AS cells, min(ts) AS first, max(ts) AS last FROM panel WHERE ts <= TIMESTAMP '2024-01-24 18:00:00'
 UNION ALL SELECT 'runtime', count(*), min(ts), max(ts) FROM panel""")(
-    lambda c: panel.fit_panel(c.panel, c.cfg.with_(val_end=c.cfg.train_end)).agg(
+    lambda c: panel.fit_panel(c.dated_panel, c.cfg.with_(val_end=c.cfg.train_end)).agg(
         F.lit("fit").alias("part"), F.count("*").alias("cells"), F.min("ts").alias("first"), F.max("ts").alias("last")).unionByName(
         c.panel.agg(F.lit("runtime").alias("part"), F.count("*").alias("cells"), F.min("ts").alias("first"), F.max("ts").alias("last"))))
 

@@ -40,31 +40,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/roadlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet and read back."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write once as Parquet, partitioned ``by`` columns, and read back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path, partitionBy=list(by))
     return spark.read.schema(df.schema).parquet(path)
 
 
 LEAST_BUCKETS, BUCKET_ROWS = 8, 2_000_000
 
 
-def bucketed(df: DataFrame, name: str, keys, sort, rows: int, clustered: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, name: str, keys, sort, rows: int, clustered: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Write as a table bucketed on ``keys``, so that later windows, aggregates and joins on them need no shuffle. The number of buckets
     follows from the number of ``rows``.
 
+    ``by`` names columns whose values become directories, each with the same buckets: a reader skips the directories it does not ask for.
+
     ``clustered`` says that the last step of ``df`` already is a window or aggregate on ``keys``: if it left as many partitions as there are
     buckets, the rows are not shuffled again.
     """
     spark = df.sparkSession
-    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-rows // (BUCKET_ROWS * (4 if by else 1))))
     clustered = clustered and buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"roadlens_{name}_{uuid.uuid4().hex[:12]}"
     keys = list(keys)
     placed = df if clustered else df.repartition(buckets, *keys)
-    (placed.write.mode("error").format("parquet").option("compression", "zstd")
+    writer = placed.write.mode("error").format("parquet").option("compression", "zstd")
+    ((writer.partitionBy(*by) if by else writer)
        .option("path", fresh_path(spark, name)).bucketBy(buckets, *keys).sortBy(*sort).saveAsTable(table))
     return spark.table(table)
 
