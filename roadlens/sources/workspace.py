@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +42,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/roadlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What this thread writes inside is removed at the end, but for what it writes with the function that the block gets."""
+    above, own = getattr(_scopes, "paths", None), []
+    _scopes.paths = own
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _scopes.paths = above
+        try:
+            return written(df, name)
+        finally:
+            _scopes.paths = own
+    try:
+        yield keep
+    finally:
+        _scopes.paths = above
+        for path in own:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write once as Parquet, partitioned ``by`` columns, and read back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.mode("error").option("compression", "zstd").parquet(path, partitionBy=list(by))
     return spark.read.schema(df.schema).parquet(path)
 
