@@ -30,13 +30,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.workspace import shipped, written
+from ..sources.workspace import scratch, shipped, written
 from .text import WordHashes, column, mapped, read, shingle_set, words
 
 RANGES = 64
@@ -481,20 +482,50 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+DROPPED_BITS = 27  # of the first look: 16 MB
+
+
+def hit(rows: DataFrame, bits: int):
+    """A condition that holds for every row whose ``slot`` (a hash) is one of those of ``rows``, and for few others while these are fewer than the
+    2 ** bits places: a bitmap of bounded size, put together from 64-bit words."""
+    place = F.col("slot").bitwiseAND(F.lit((1 << bits) - 1))
+    words = rows.select(place.alias("place")).groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place % 64 AS INT))")).alias("set"))
+    found, table = words.toArrow(), np.zeros(1 << bits - 6, np.uint64)
+    table[np.asarray(found.column("word"), np.int64)] = np.asarray(found.column("set"), np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    held: list[np.ndarray] = []
+
+    @F.pandas_udf("boolean")
+    def is_hit(slot: pd.Series) -> pd.Series:
+        if not held:
+            held.append(np.frombuffer(zlib.decompress(shared.value), np.uint64))
+        at = slot.to_numpy(np.int64) & np.int64((1 << bits) - 1)
+        return pd.Series((held[0][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+    return is_hit(F.col("slot"))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, short: int = SHORT_LIST, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id (null last), then the smallest row print; of equal rows one.
 
     Rows without words are in no class and all stay.
     """
-    found = written(joined(docs, size, percent, short, chunk).filter("class IS NOT NULL").groupBy("class", "row", "doc_id").agg(F.count(F.lit(1)).alias("times")), "join-rows")
-    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"))
-    marked = found.join(first, "class").select("row", "times", (F.col("row") == F.col("first.row")).alias("keep"))
-    dropped = written(marked.filter("NOT keep").select("row"), "join-dropped")
-    again = written(marked.filter("keep AND times > 1").select("row"), "join-repeated")
-    kept = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("doc"), row_print(docs).alias("row")).join(dropped, "row", "left_anti")
-    if not again.isEmpty():
-        kept = kept.join(again, "row", "left_anti").unionByName(kept.join(again, "row", "left_semi").dropDuplicates(["row"]))
-    return kept.select("doc.*")
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        found = written(joined(docs, size, percent, short, chunk).filter("class IS NOT NULL").groupBy("class", "row", "doc_id").agg(F.count(F.lit(1)).alias("times")), "join-rows")
+        first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"))
+        marked = found.join(first, "class").select("row", "times", (F.col("row") == F.col("first.row")).alias("keep"))
+        # rows that go (keep is false) or stay once of several equal ones
+        marked = keep(marked.filter("NOT keep OR times > 1").select("row", "keep", F.xxhash64("row").alias("slot")), "join-marked")
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("doc"), row_print(docs).alias("row"))
+    if marked.isEmpty():
+        return docs
+    # only documents that a bitmap of the marked rows lets through are moved; all others stay where they are
+    looked = rows.withColumn("slot", F.xxhash64("row"))
+    seen = hit(marked, DROPPED_BITS)
+    known = looked.filter(seen).drop("slot").join(marked.drop("slot"), "row", "left").filter("keep IS NULL OR keep")
+    # rows that are not marked after all stay as often as they are
+    known = known.withColumn("own", F.when(F.col("keep").isNull(), F.monotonically_increasing_id())).dropDuplicates(["row", "own"])
+    return looked.filter(~seen).select("doc.*").unionByName(known.select("doc.*"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
