@@ -7,7 +7,8 @@ expected candidates verified); a pair must then share min(l, l') tokens that lie
 
 Steps, each a Spark job over written tables:
  1. sketch: token counts in a bounded number of counters that follows the input, summed in tasks and then by counter range;
- 2. prefixes: one row per document; equal sets become one class representative by a fingerprint of 128 bits;
+ 2. prefixes: one row per document; equal sets become one class representative by a fingerprint of 128 bits. Tasks number the sets that they meet, so
+    that prefixes need no other number and move once; the few sets numbered by several tasks are put together when pairs are known;
  3. postings: prefix tokens, packed by hash range, meet in numpy. A token of at most ``SHORT_LIST`` representatives gives its pairs;
     a longer list only joins its members to the list's plainest member (the pivot), so no list is expanded into pairs of rows;
  4. pairs that share enough prefix tokens, and pivots with their members, form groups of candidates. A group of at most ``CHUNK`` sets is verified
@@ -33,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,7 @@ RANGES = 64
 LEAST_BITS, MOST_BITS, TOKENS_PER_COUNTER, BYTES_PER_TOKEN = 16, 24, 16, 6.5
 VERIFY_COST = 60.0  # a verified candidate against one posting entry
 MOST_SHARED = 96
+SEEN = 500_000  # sets that a task remembers, so that copies are not listed again
 CHANCE = 0.08  # how the share of common tokens of chance candidates falls off
 SHORT_LIST = 24
 CHUNK = 384
@@ -133,33 +136,39 @@ class Order:
 # 2. prefixes and representatives ---------------------------------------------------------------------------------------------------------
 
 def prefixes(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """doc_id, row, n, print (of the set), shared, plain and the prefix's tokens of each document."""
+    """doc_id, row, n, print (of the set), and where a task meets a set for the first time also number, shared, plain and the prefix's tokens."""
     spark = docs.sparkSession
     shared, hashes = spark.sparkContext.broadcast(order), WordHashes()
 
     def run(batches):
+        number, seen = TaskContext.get().partitionId() << 36, set()
         for batch in batches:
             out = []
             for t in batch.column("text"):
                 s = shingle_set(hashes.of(words(t.as_py())), size)
-                if len(s):
-                    tokens, most, plain = shared.value.prefix(s, percent)
-                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), most, plain, tokens.tobytes()))
-                else:
-                    out.append((0, None, 0, 0.0, None))
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.float32(), pa.binary())
+                own = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                if own is None or own in seen:
+                    out.append((len(s), own, None, None, None, None))
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(own)
+                number += 1
+                tokens, most, plain = shared.value.prefix(s, percent)
+                out.append((len(s), own, number, most, plain, tokens.tobytes()))
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.float32(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                                             ["doc_id", "row", "n", "print", "shared", "plain", "tokens"])
+                                             ["doc_id", "row", "n", "print", "number", "shared", "plain", "tokens"])
     rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text"), row_print(docs).alias("row"))
-    return mapped(rows, run, "doc_id long, row string, n long, print binary, shared int, plain float, tokens binary")
+    return mapped(rows, run, "doc_id long, row string, n long, print binary, number long, shared int, plain float, tokens binary")
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """ref, print, doc_id and row (the smallest of both) of each distinct set, numbered once and written."""
+    """ref (the smallest number), print, doc_id and row (the smallest of both) of each distinct set, written."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
-    one = rows.filter("n > 0").groupBy("print").agg(first.alias("first"))
-    return written(one.select(F.monotonically_increasing_id().alias("ref"), "print", "first.doc_id", "first.row"), "join-representatives")
+    one = rows.filter("n > 0").groupBy("print").agg(first.alias("first"), F.min("number").alias("ref"))
+    return written(one.select("ref", "print", "first.doc_id", "first.row"), "join-representatives")
 
 
 # 3. postings -----------------------------------------------------------------------------------------------------------------------------
@@ -172,9 +181,10 @@ def levels(n: int, length: int, percent: int) -> np.ndarray:
     return np.maximum(np.arange(1, length + 1) - (n - int(needed(n, percent))), 1)
 
 
-def postings(rows: DataFrame, reps: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(part, entries): the prefix tokens of a batch of representatives, by hash range. Equal rows give equal entries."""
-    own = rows.filter("n > 0").join(reps.select("ref", "print", "row"), ["print", "row"])
+def postings(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(part, entries): the prefix tokens of a batch of numbered sets, by hash range."""
+    own = rows.filter("number IS NOT NULL").withColumnRenamed("number", "ref")
+
     def run(batches):
         for batch in batches:
             found = []
@@ -412,10 +422,17 @@ def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percent:
 def asked(rows: DataFrame, reps: DataFrame, percent: int, short: int = SHORT_LIST) -> DataFrame:
     """Candidates (a, b, pivot): pairs that share enough prefix tokens, and pivots with the members of their long lists."""
     entries = rows.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
-    found = written(met(postings(rows, reps, max(8, math.ceil(entries / POSTINGS_PER_PART)), percent), short), "join-met")
+    found = written(met(postings(rows, max(8, math.ceil(entries / POSTINGS_PER_PART)), percent), short), "join-met")
+    # sets that several tasks have numbered take their representative's number from here on
+    again = rows.filter("number IS NOT NULL").select("print", "number").join(reps.select("print", "ref"), "print").filter("number <> ref")
+    again = written(again.select("number", "ref"), "join-again")
     pairs = found.filter("NOT pivot").groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("least").alias("least")).filter("matches >= least")
     groups = found.filter("pivot").select("a", "b").distinct()
-    return written(pairs.select("a", "b", F.lit(False).alias("pivot")).unionByName(groups.select("a", "b", F.lit(True).alias("pivot"))), "join-asked")
+    every = pairs.select("a", "b", F.lit(False).alias("pivot")).unionByName(groups.select("a", "b", F.lit(True).alias("pivot")))
+    for side in ("a", "b"):
+        other = again.select(F.col("number").alias(side), F.col("ref").alias(f"{side}_ref"))
+        every = every.join(other, side, "left").withColumn(side, F.coalesce(f"{side}_ref", side)).drop(f"{side}_ref")
+    return written(every.filter("a <> b").distinct(), "join-asked")
 
 
 def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, percent: int, chunk: int = CHUNK) -> DataFrame:
