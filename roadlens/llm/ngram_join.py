@@ -387,19 +387,21 @@ def chunked(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
 
 
 def within_groups(members: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between members of a pivot's group. ``members``: pivot, ref, distance to the pivot.
+    """Links (a, b) between members of a pivot's group. ``members``: pivot, ref, distance to the pivot, main (in the pivot's class already).
 
-    Members are dealt by distance into chunks. Two members of the pivot's own class need no comparing, and two whose distances to the pivot
-    differ by more than a link allows cannot be linked (the Jaccard distance is a metric), so only some pairs of chunks meet.
+    Members are dealt by class and distance into chunks. Two members of the pivot's own class need no comparing, and two whose distances to the
+    pivot differ by more than a link allows cannot be linked (the Jaccard distance is a metric), so only some pairs of chunks meet; of a group that is
+    one class already, none.
     """
     reach = 1 - percent / 100 + 1e-9
     # fixed bands of distance, a tenth of the reach wide
     step = F.least(F.floor(F.col("distance") / (reach / 10)), F.lit(10_000)).cast("int")
-    placed = written(chunked(members.withColumn("step", step), ["pivot", "step"], chunk), "join-bands")
-    chunks = placed.groupBy("pivot", "chunk").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+    members = members.join(members.filter("NOT main").select("pivot").distinct(), "pivot", "left_semi")
+    placed = written(chunked(members.withColumn("step", step), ["pivot", "main", "step"], chunk), "join-bands")
+    chunks = placed.groupBy("pivot", "chunk", "main").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
     x, y = chunks.alias("x"), chunks.alias("y")
     apart = (F.col("y.low") <= F.col("x.low")) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.chunk") >= F.col("y.chunk")))
-    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & apart & (F.greatest("x.high", "y.high") > reach) & (F.col("x.low") - F.col("y.high") <= reach))
+    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & apart & ~(F.col("x.main") & F.col("y.main")) & (F.col("x.low") - F.col("y.high") <= reach))
     units = written(meet.select(F.monotonically_increasing_id().alias("unit"), F.col("x.chunk").alias("x"), F.col("y.chunk").alias("y")), "join-units")
     return verified(units, placed, sets, percent)
 
@@ -449,10 +451,11 @@ def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, per
         hard = written(asked.join(large, "a", "left_semi"), "join-hard")
         checked = written(compared(hard.filter("pivot"), whole, percent), "join-checked")
         near = checked.filter("linked").select("a", "b")
-        members = checked.select(F.col("a").alias("pivot"), F.col("b").alias("ref"), "distance")
-        # pairs that the pivots have connected already need no comparing
+        # what the pivots have connected already needs no comparing
         known = written(classes(near), "join-known")
         at = lambda c: known.select(F.col("ref").alias(c), F.col("root").alias(f"{c}_root"))
+        members = checked.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+            F.col("a").alias("pivot"), F.col("b").alias("ref"), "distance", F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False)).alias("main"))
         open_pairs = hard.filter("NOT pivot").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
         inside = inside.unionByName(near).unionByName(within_groups(members, whole, percent, chunk)) \
             .unionByName(between_chunks(open_pairs.select("a", "b"), placed, whole, percent, chunk))
