@@ -119,56 +119,115 @@ def neighbor_means(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def path_legality(paths: DataFrame, segments: DataFrame, legal: DataFrame) -> DataFrame:
-    """(path_id, legal) for paths given as (path_id, path array): consecutive segments meet and the turn is allowed."""
+    """(path_id, legal) for paths given as (path_id, path array): consecutive segments meet and the turn is allowed. With a bucket in ``legal``
+    every path is judged in each of its buckets."""
+    buckets = ["bucket"] if "bucket" in legal.columns else []
     order = Window.partitionBy("path_id").orderBy("pos")
     steps = (paths.select("path_id", F.posexplode("path").alias("pos", "from_segment"))
              .withColumn("to_segment", F.lead("from_segment").over(order)))
-    allowed = legal.select("from_segment", "to_segment", F.lit(True).alias("allowed")).distinct()
-    return (steps.join(allowed, ["from_segment", "to_segment"], "left")
-            .groupBy("path_id")
+    if buckets:
+        known = [r.bucket for r in legal.select("bucket").distinct().collect()]  # peak and offpeak
+        steps = steps.withColumn("bucket", F.explode(F.array(*[F.lit(k) for k in known])))
+    allowed = legal.select(*buckets, "from_segment", "to_segment", F.lit(True).alias("allowed")).distinct()
+    return (steps.join(allowed, [*buckets, "from_segment", "to_segment"], "left")
+            .groupBy(*buckets, "path_id")
             .agg(F.bool_and(F.col("to_segment").isNull() | F.coalesce("allowed", F.lit(False))).alias("legal")))
 
 
-def detours(blocked: DataFrame, segments: DataFrame, legal: DataFrame) -> DataFrame:
-    """Cheapest legal way around every blocked segment: (blocked_id, path, cost_hours).
+def way_bounds(goals: DataFrame, ends: DataFrame, legal: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bound) of those goals that can be reached at all: what some legal way costs.
 
-    Label-correcting search run for all blocked segments together. Each round extends the labels that improved by one turn; labels
-    that already cost as much as the best complete way are dropped, so the search stays around the blocked segment and ends by
-    itself. Costs are positive, so labels stop improving after finitely many rounds, and the loop runs until then.
+    Both ends search at once, one turn a round, until they meet. Where there is no way, the search is over as soon as one of its sides
+    has nowhere left to go: a dead end is found out from inside, without labelling the network around it.
     """
+    cost = ends.select("segment_id", "cost")
+    onward = legal.select(*[k for k in keys if k != "blocked_id"], "from_segment", "to_segment")
+    extra = [k for k in keys if k != "blocked_id"]
+
+    def grown(frontier: DataFrame, seen: DataFrame, at: str, to: str, paid: str) -> DataFrame:
+        step = onward.join(cost.select(F.col("segment_id").alias(paid), F.col("cost").alias("step_cost")), paid)
+        far = (frontier.join(step.withColumn("segment_id", F.col(at)), [*extra, "segment_id"])
+               .filter(F.col(to) != F.col("blocked_id")).groupBy(*keys, F.col(to).alias("next")).agg(F.min(F.col("cost") + F.col("step_cost")).alias("cost")))
+        return far.withColumnRenamed("next", "segment_id").join(seen.select(*keys, "segment_id"), [*keys, "segment_id"], "left_anti")
+
+    first = goals.join(ends, F.col("from_node") == F.col("source_node")).filter(F.col("segment_id") != F.col("blocked_id")).select(*keys, "segment_id", "cost")
+    last = goals.join(ends, F.col("to_node") == F.col("target_node")).filter(F.col("segment_id") != F.col("blocked_id")).select(*keys, "segment_id", F.lit(0.0).alias("cost"))
+    near = near_seen = checkpointed(first)
+    far = far_seen = checkpointed(last)
+    found = None
+    while True:
+        met = near_seen.join(far_seen.withColumnRenamed("cost", "rest"), [*keys, "segment_id"]).groupBy(*keys).agg(F.min(F.col("cost") + F.col("rest")).alias("bound"))
+        found = checkpointed(met if found is None else found.unionByName(met))
+        undecided = near.select(*keys).distinct().join(far.select(*keys).distinct(), keys).join(found, keys, "left_anti")
+        undecided = checkpointed(undecided)
+        if undecided.isEmpty():
+            return found
+        of = lambda df: df.join(undecided, keys, "left_semi")
+        near_seen, far_seen = of(near_seen), of(far_seen)
+        near = checkpointed(grown(of(near), near_seen, "from_segment", "to_segment", "to_segment"))
+        # backwards a step costs the segment that is left behind
+        far = checkpointed(grown(of(far), far_seen, "to_segment", "from_segment", "to_segment"))
+        near_seen, far_seen = checkpointed(near_seen.unionByName(near)), checkpointed(far_seen.unionByName(far))
+
+
+def detours(blocked: DataFrame, segments: DataFrame, legal: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Cheapest legal way around every blocked segment: (blocked_id, path, cost_hours), with a bucket in ``legal`` for each of its buckets.
+
+    Label-correcting search run for all blocked segments together, only for those that have a way and from its cost as a first bound. Each round
+    extends the labels that improved by one turn. A label goes no further when its cost and the least that is left to pay reach the bound: with ``nodes``
+    that is the straight line to the goal at the cheapest cost per distance of the network, so the search stays between the two ends.
+    """
+    extra = [c for c in ("bucket",) if c in legal.columns]
+    keys = [*extra, "blocked_id"]
     cost = F.col("length_km") / F.col("free_flow_speed_kmh")
     ends = segments.select("segment_id", "source_node", "target_node", cost.alias("cost"))
     goal = blocked.select(F.col("segment_id").alias("blocked_id")).distinct() \
         .join(ends.withColumnRenamed("segment_id", "blocked_id").drop("cost"), "blocked_id") \
         .withColumnsRenamed({"source_node": "from_node", "target_node": "to_node"})
-    step = (legal.join(ends.select(F.col("segment_id").alias("to_segment"), F.col("cost").alias("step_cost"),
-                                   F.col("target_node").alias("step_target")), "to_segment"))
-    labels = (goal.join(ends, goal.from_node == ends.source_node).filter(F.col("segment_id") != F.col("blocked_id"))
-              .select("blocked_id", "to_node", "segment_id", "target_node", "cost", F.array("segment_id").alias("path")))
-    best = checkpointed(labels)
-    active = best
+    if extra:
+        goal = goal.withColumn("bucket", F.explode(F.array(*[F.lit(r.bucket) for r in legal.select("bucket").distinct().collect()])))  # peak and offpeak
+    goal = checkpointed(goal.join(way_bounds(goal, ends, legal, keys), keys))
+    if nodes is None:
+        place, slope = ends.select(F.col("target_node").alias("node_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).distinct(), F.lit(0.0)
+    else:
+        place = nodes.select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+        at = lambda n: place.select(F.col("node_id").alias(f"{n}_node"), F.col("x").alias(f"{n}_x"), F.col("y").alias(f"{n}_y"))
+        span = F.hypot(F.col("source_x") - F.col("target_x"), F.col("source_y") - F.col("target_y"))
+        slope = ends.join(at("source"), "source_node").join(at("target"), "target_node").filter(span > 0).agg(F.coalesce(F.min(F.col("cost") / span), F.lit(0.0))).scalar()
+    # the least cost from a node to the goal: no way is cheaper per distance than the cheapest segment
+    where = place.select(F.col("node_id").alias("target_node"), F.col("x").alias("at_x"), F.col("y").alias("at_y"))
+    to = place.select(F.col("node_id").alias("to_node"), F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    goal = checkpointed(goal.join(to, "to_node"))
+    left = F.hypot(F.col("at_x") - F.col("to_x"), F.col("at_y") - F.col("to_y")) * slope * (1 - 1e-9)
+    step = checkpointed(legal.join(ends.join(where, "target_node").select(F.col("segment_id").alias("to_segment"), F.col("cost").alias("step_cost"),
+                                                                          F.col("target_node").alias("step_target"), "at_x", "at_y"), "to_segment"))
+    within = F.col("bound") * (1 + 1e-9)
+    labels = (goal.join(ends, F.col("from_node") == F.col("source_node")).filter(F.col("segment_id") != F.col("blocked_id"))
+              .select(*keys, "to_node", "to_x", "to_y", "bound", "segment_id", "target_node", "cost", F.array("segment_id").alias("path")))
+    best = active = checkpointed(labels)
     while True:
-        arrived = best.filter(F.col("target_node") == F.col("to_node")).groupBy("blocked_id").agg(F.min("cost").alias("bound"))
-        grown = (active.join(arrived, "blocked_id", "left").filter(F.col("bound").isNull() | (F.col("cost") < F.col("bound")))
-                 .filter(F.col("target_node") != F.col("to_node"))
-                 .join(step, F.col("segment_id") == F.col("from_segment"))
+        grown = (active.filter(F.col("target_node") != F.col("to_node"))
+                 .join(step.withColumnRenamed("from_segment", "segment_id"), [*extra, "segment_id"])
                  .filter(F.col("to_segment") != F.col("blocked_id"))
                  .withColumn("new_cost", F.col("cost") + F.col("step_cost"))
-                 .filter(F.col("bound").isNull() | (F.col("new_cost") < F.col("bound")))
-                 .select("blocked_id", "to_node", F.col("to_segment").alias("segment_id"), F.col("step_target").alias("target_node"),
+                 .filter(F.col("new_cost") + left <= within)
+                 .select(*keys, "to_node", "to_x", "to_y", "bound", F.col("to_segment").alias("segment_id"), F.col("step_target").alias("target_node"),
                          F.col("new_cost").alias("cost"), F.concat("path", F.array("to_segment")).alias("path"))
-                 .groupBy("blocked_id", "to_node", "segment_id", "target_node")
+                 .groupBy(*keys, "to_node", "to_x", "to_y", "bound", "segment_id", "target_node")
                  .agg(F.min_by("path", F.struct("cost", F.concat_ws(",", "path"))).alias("path"), F.min("cost").alias("cost")))
-        known = best.select("blocked_id", "segment_id", F.col("cost").alias("known_cost"))
-        active = checkpointed(grown.join(known, ["blocked_id", "segment_id"], "left")
+        known = best.select(*keys, "segment_id", F.col("cost").alias("known_cost"))
+        active = checkpointed(grown.join(known, [*keys, "segment_id"], "left")
                               .filter(F.col("known_cost").isNull() | (F.col("cost") < F.col("known_cost"))).drop("known_cost"))
         if active.isEmpty():
             break
-        best = checkpointed(best.join(active.select("blocked_id", "segment_id"), ["blocked_id", "segment_id"], "left_anti")
-                            .unionByName(active.select(best.columns)))
+        best = best.join(active.select(*keys, "segment_id"), [*keys, "segment_id"], "left_anti").unionByName(active.select(best.columns))
+        # a complete way is a new bound for what is still looked for
+        arrived = best.filter(F.col("target_node") == F.col("to_node")).groupBy(*keys).agg(F.min("cost").alias("paid"))
+        best = checkpointed(best.join(arrived, keys, "left").withColumn("bound", F.least("bound", F.coalesce("paid", "bound"))).drop("paid"))
+        active = active.drop("bound").join(best.groupBy(*keys).agg(F.min("bound").alias("bound")), keys)
     return (best.filter(F.col("target_node") == F.col("to_node"))
-            .groupBy("blocked_id").agg(F.min_by("path", F.struct("cost", F.concat_ws(",", "path"))).alias("path"),
-                                       F.min("cost").alias("cost_hours")))
+            .groupBy(*keys).agg(F.min_by("path", F.struct("cost", F.concat_ws(",", "path"))).alias("path"),
+                                F.min("cost").alias("cost_hours")))
 
 
 def out_degrees(segments: DataFrame, nodes: DataFrame) -> DataFrame:

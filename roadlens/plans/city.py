@@ -87,6 +87,11 @@ class City(Analog):
     def reach(self) -> DataFrame:
         return written(graph.hops(self.segments, edges=self.edges), "reach")
 
+    @cached_property
+    def detours(self) -> DataFrame:
+        """The way around every segment, in each part of the day."""
+        return written(graph.detours(self.segments, self.segments, self.legal_turns, self.nodes), "detours")
+
     # ---- detection
     @cached_property
     def ratios(self) -> DataFrame:

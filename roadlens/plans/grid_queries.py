@@ -123,19 +123,19 @@ SELECT e.segment_id, n.ts,
   avg(coalesce(n.flow_vph, 0)) FILTER (direction = 'upstream') AS up_flow
 FROM edges e JOIN ratios n ON n.segment_id = e.neighbor_id GROUP BY ALL""")(
     lambda c: graph.neighbor_means(features.with_ratios(c.panel, c.segments), c.edges))
-query("path_legality", "path_id:s legal:b", """
-SELECT a.from_segment || '>' || b.to_segment || '>' || c.to_segment AS path_id,
-  bool_and(EXISTS (SELECT 1 FROM turns t WHERE t.from_segment = b.to_segment AND t.to_segment = c.to_segment AND t.bucket = 'peak')) AS legal
-FROM turns a JOIN turns b ON a.from_segment = b.from_segment AND a.to_segment = b.to_segment AND a.bucket = 'peak' AND b.bucket = 'peak'
-JOIN turns c ON c.from_segment = b.to_segment AND c.bucket = 'offpeak' GROUP BY ALL""")(lambda c: _paths(c))
+query("path_legality", "bucket:s path_id:s legal:b", """
+SELECT k.bucket, a.segment_id || '>' || b.segment_id || '>' || c.segment_id AS path_id,
+  EXISTS (SELECT 1 FROM turns t WHERE t.from_segment = a.segment_id AND t.to_segment = b.segment_id AND t.bucket = k.bucket)
+  AND EXISTS (SELECT 1 FROM turns t WHERE t.from_segment = b.segment_id AND t.to_segment = c.segment_id AND t.bucket = k.bucket) AS legal
+FROM segments a JOIN segments b ON b.source_node = a.target_node JOIN segments c ON c.source_node = b.target_node, (VALUES ('peak'), ('offpeak')) k(bucket)""")(
+    lambda c: _paths(c))
 
 
 def _paths(c):
-    peak = c.legal_turns.filter("bucket = 'peak'").drop("bucket")
-    later = c.legal_turns.filter("bucket = 'offpeak'").select(F.col("from_segment").alias("to_segment"), F.col("to_segment").alias("last"))
-    paths = peak.join(later, "to_segment").select(
-        F.concat_ws(">", "from_segment", "to_segment", "last").alias("path_id"), F.array("from_segment", "to_segment", "last").alias("path"))
-    return graph.path_legality(paths, c.segments, peak)
+    """Every way over three segments, restricted turns included, judged in both parts of the day."""
+    part = lambda k: c.segments.select(F.col("segment_id").alias(f"s{k}"), F.col("source_node").alias(f"n{k}"), F.col("target_node").alias(f"n{k + 1}"))
+    ways = part(0).join(part(1), "n1").join(part(2), "n2").select(F.array("s0", "s1", "s2").alias("path"))
+    return graph.path_legality(ways.withColumn("path_id", F.concat_ws(">", "path")), c.segments, c.legal_turns)
 
 
 query("network_summary", "metric:s value:i", """
@@ -152,17 +152,20 @@ SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM onward) = (S
   AS strongly_connected""", onward=_REACHED.format(a="source_node", b="target_node"), backward=_REACHED.format(a="target_node", b="source_node"))(
     lambda c: c.nodes.agg(F.count("*").alias("nodes")).withColumn(
         "strongly_connected", F.lit(graph.strongly_connected(c.segments, c.nodes))))
-query("detours", "blocked_id:s cost_hours:d turns:i", """
-SELECT blocked_id, min(cost) AS cost_hours, arg_min(len, (cost, path)) AS turns FROM ways WHERE at_node = goal GROUP BY 1""", ways="""
+WAYS = """
 SELECT * FROM (WITH RECURSIVE w AS (
-  SELECT b.segment_id AS blocked_id, b.target_node AS goal, s.segment_id, s.target_node AS at_node,
+  SELECT k.bucket, b.segment_id AS blocked_id, b.target_node AS goal, s.segment_id, s.target_node AS at_node,
          s.length_km / s.free_flow_speed_kmh AS cost, s.segment_id AS path, 1 AS len
-  FROM segments b JOIN segments s ON s.source_node = b.source_node AND s.segment_id <> b.segment_id
+  FROM segments b JOIN segments s ON s.source_node = b.source_node AND s.segment_id <> b.segment_id, (VALUES ('peak'), ('offpeak')) k(bucket)
   UNION ALL
-  SELECT w.blocked_id, w.goal, s.segment_id, s.target_node, w.cost + s.length_km / s.free_flow_speed_kmh, w.path || ',' || s.segment_id, w.len + 1
-  FROM w JOIN turns t ON t.from_segment = w.segment_id AND t.bucket = 'peak' JOIN segments s ON s.segment_id = t.to_segment
-  WHERE w.at_node <> w.goal AND s.segment_id <> w.blocked_id AND w.len < 7 AND position(s.segment_id IN w.path) = 0) SELECT * FROM w)""")(
-    lambda c: graph.detours(c.segments, c.segments, c.legal_turns.filter("bucket = 'peak'")).withColumn("turns", F.size("path")))
+  SELECT w.bucket, w.blocked_id, w.goal, s.segment_id, s.target_node, w.cost + s.length_km / s.free_flow_speed_kmh, w.path || ',' || s.segment_id, w.len + 1
+  FROM w JOIN turns t ON t.from_segment = w.segment_id AND t.bucket = w.bucket JOIN segments s ON s.segment_id = t.to_segment
+  WHERE w.at_node <> w.goal AND s.segment_id <> w.blocked_id AND w.len < 7 AND position(s.segment_id IN w.path) = 0) SELECT * FROM w)"""
+WAY = """
+SELECT bucket, blocked_id, min(cost) AS cost_hours, arg_min(len, (cost, path)) AS turns, replace(arg_min(path, (cost, path)), ',', '>') AS path
+FROM ways WHERE at_node = goal GROUP BY ALL"""
+query("detours", "bucket:s blocked_id:s cost_hours:d turns:i path:s", "SELECT * FROM way", ways=WAYS, way=WAY)(
+    lambda c: c.detours.withColumns({"turns": F.size("path"), "path": F.concat_ws(">", "path")}))
 query("segment_geometry", "segment_id:s lon1:d lat1:d lon2:d lat2:d", """
 SELECT segment_id, a.lon + ox AS lon1, a.lat + oy AS lat1, b.lon + ox AS lon2, b.lat + oy AS lat2 FROM (
   SELECT s.segment_id, a, b, -(b.lat - a.lat) / n * 0.0012::DOUBLE AS ox, (b.lon - a.lon) / n * 0.0012::DOUBLE AS oy

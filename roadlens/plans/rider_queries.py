@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diagnose, graph, rider, routes, whatif
+from ..operators import diagnose, rider, routes, whatif
 from .corridor_queries import GEO
 from .detect_queries import _CENTRES, _EVIDENCE, _SHAPES, DIAG_VIEWS, SNAP_VIEWS, TYPE_SQL
+from .grid_queries import WAY, WAYS
 from .registry import query
 
 # ---- route assessment
@@ -237,13 +238,13 @@ FROM (SELECT d.segment_id, d.ts, d.anomalous, b.candidate_id, b.hop, b.saved,
     lambda c: whatif.advice(c.diagnosed, c.evaluated).withColumns({"n_reasons": F.size("reasons"), "n_limitations": F.size("limitations")}))
 
 
-def _options(c):
-    ways = None
-    for bucket in ("peak", "offpeak"):
-        found = graph.detours(c.segments, c.segments, c.legal_turns.filter(F.col("bucket") == bucket)).withColumn("bucket", F.lit(bucket))
-        ways = found if ways is None else ways.unionByName(found)
-    cases = c.cases.withColumn("bucket", F.when(F.hour("ts").isin(*c.cfg.peak_hours), "peak").otherwise("offpeak"))
-    return whatif.operational_options(cases, ways, c.segments)
-
-
-query("operational_options", "segment_id:s ts:t action:s detail:s detour_min:d direct_min:d")(_options)
+_LABELLED = """
+SELECT d.*, CASE WHEN cf >= 0.8 THEN 'HIGH' WHEN cf >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_label, CASE WHEN hour(ts) IN (6, 18) THEN 'peak' ELSE 'offpeak' END AS bucket
+FROM (SELECT *, (1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality AS cf FROM diagnosed WHERE anomalous OR state <> 'NORMAL') d"""
+query("operational_options", "segment_id:s ts:t action:s detail:s detour_min:d direct_min:d", """
+SELECT c.segment_id, c.ts, 'Prepare diversion' AS action, w.path AS detail, w.cost_hours * 60 AS detour_min, s.length_km / s.free_flow_speed_kmh * 60 AS direct_min
+FROM called c JOIN way w ON w.blocked_id = c.segment_id AND w.bucket = c.bucket JOIN segments s ON s.segment_id = c.segment_id
+WHERE c.state IN ('HEAVY', 'CRITICAL') OR c.anomalous
+UNION ALL SELECT segment_id, ts, 'Investigate', 'cause ' || cause || ', confidence ' || confidence_label, NULL, NULL FROM called WHERE anomalous
+UNION ALL SELECT segment_id, ts, 'Monitor', 're-evaluate on the next reading', NULL, NULL FROM called""", ways=WAYS, way=WAY, called=_LABELLED, **DIAG_VIEWS)(
+    lambda c: whatif.operational_options(c.cases.withColumn("bucket", F.when(F.hour("ts").isin(*c.cfg.peak_hours), "peak").otherwise("offpeak")), c.detours, c.segments))
