@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,39 +52,50 @@ def ongoing_events(flagged: DataFrame, cfg: Settings, delay: str = "15 minutes")
 READING = ("ingest_seq", *VALUE_COLUMNS, "sensor_quality", "free_flow_speed_kmh", "capacity_vph")
 
 
+def _carried(known: np.ndarray) -> np.ndarray:
+    """Place of the last value that is there, at or before each place; -1 before the first."""
+    return np.maximum.accumulate(np.where(np.isnan(known), -1, np.arange(len(known))))
+
+
 def judged_in_order(rows: pd.DataFrame, last: dict | None, step: int, fill_slots: int) -> tuple[pd.DataFrame, dict]:
     """Slots of one segment in time order (``at`` in seconds, READING columns), judged and filled after the state ``last``; also the new state.
 
     The state is put before the rows as one more row, so that shifts, repeat runs and fills are the same column operations for all of them.
     """
     last = last or {"at": None, "repeats": 0}
-    seed = pd.DataFrame([{"at": last["at"], **{c: last.get(c) for c in ("speed_kmh", "flow_vph", "occupancy_pct")}}])
-    d = pd.concat([seed.dropna(axis=1, how="all"), rows], ignore_index=True).astype({c: "float64" for c in VALUE_COLUMNS})
-    if "at" not in d or len(d) == len(rows):
-        d = pd.concat([pd.DataFrame([{"at": float("nan")}]), rows], ignore_index=True)
-    adjacent = d["at"].diff() == step
-    measures = ["speed_kmh", "flow_vph", "occupancy_pct"]
-    same = adjacent & (d[measures] == d[measures].shift()).all(axis=1)
-    run = same.astype(int).groupby((~same).cumsum()).cumsum()
-    repeats = run + last["repeats"] * (same.cumprod().astype(int) if same.iloc[0] else ((~same).cumsum() == 1).astype(int) * same.astype(int))
-    prior = d["flow_vph"].shift().where(adjacent)
-    bad = ((d[list(VALUE_COLUMNS)] < 0).any(axis=1) | (d["speed_kmh"] > 1.5 * d["free_flow_speed_kmh"]) | (d["occupancy_pct"] > 100)
-           | (d["congestion_index"] > 1) | (d["flow_vph"] > 2.5 * d["capacity_vph"]) | ((d["flow_vph"] > 3 * prior + 300) & (d["flow_vph"] > d["capacity_vph"]))
-           | ((repeats >= 3) & ~((d["occupancy_pct"] >= 97) | (d["flow_vph"] <= 0))) | (d["sensor_quality"] < 0.5))
-    state, filled, out = {}, pd.Series(False, index=d.index), {}
-    for c in VALUE_COLUMNS:
-        good = d[c].where(~bad)
-        good.iloc[0] = last.get(f"good_{c}")
-        since = d["at"].where(good.notna())
-        since.iloc[0] = last.get(f"good_{c}_at")
-        known, when = good.ffill(), since.ffill()
-        value = known.where(d["at"] - when <= fill_slots * step)
-        filled |= good.isna() & value.notna()
-        out[c] = value
-        state |= {f"good_{c}": known.iloc[-1], f"good_{c}_at": when.iloc[-1]}
-    state |= {"at": d["at"].iloc[-1], "repeats": int(repeats.iloc[-1]), **{c: d[c].iloc[-1] for c in measures}}
-    result = pd.DataFrame({"at": d["at"], "ingest_seq": d["ingest_seq"], **out, "valid": ~bad & d["speed_kmh"].notna(), "filled": filled}).iloc[1:]
-    return result, {k: None if pd.isna(v) else v for k, v in state.items()}
+    seed = lambda name: np.nan if last.get(name) is None else float(last[name])
+    measures = ("speed_kmh", "flow_vph", "occupancy_pct")
+    at = np.append(seed("at"), rows["at"].to_numpy(np.float64))
+    v = {c: np.append(seed(c) if c in measures else np.nan, rows[c].to_numpy(np.float64)) for c in READING[1:]}
+    before = lambda x: np.append(np.nan, x[:-1])
+    with np.errstate(invalid="ignore"):
+        adjacent = at - before(at) == step
+        same = adjacent & np.all([v[c] == before(v[c]) for c in measures], axis=0)
+        place = np.arange(len(at))
+        opened = np.maximum.accumulate(np.where(same, 0, place))
+        repeats = place - opened + np.where(same & (opened == 0), last["repeats"], 0)
+        prior = np.where(adjacent, before(v["flow_vph"]), np.nan)
+        bad = (np.any([v[c] < 0 for c in VALUE_COLUMNS], axis=0) | (v["speed_kmh"] > 1.5 * v["free_flow_speed_kmh"]) | (v["occupancy_pct"] > 100)
+               | (v["congestion_index"] > 1) | (v["flow_vph"] > 2.5 * v["capacity_vph"]) | ((v["flow_vph"] > 3 * prior + 300) & (v["flow_vph"] > v["capacity_vph"]))
+               | ((repeats >= 3) & ~((v["occupancy_pct"] >= 97) | (v["flow_vph"] <= 0))) | (v["sensor_quality"] < 0.5))
+        state, filled, out = {}, np.zeros(len(at), bool), {}
+        for c in VALUE_COLUMNS:
+            good = np.where(bad, np.nan, v[c])
+            good[0] = seed(f"good_{c}")
+            since = np.where(np.isnan(good), np.nan, at)
+            since[0] = seed(f"good_{c}_at")
+            held = _carried(good)
+            known, when = (np.where(held < 0, np.nan, x[held]) for x in (good, since))
+            out[c] = np.where(at - when <= fill_slots * step, known, np.nan)
+            filled |= np.isnan(good) & ~np.isnan(out[c])
+            state |= {f"good_{c}": known[-1], f"good_{c}_at": when[-1]}
+    state |= {"at": at[-1], "repeats": int(repeats[-1]), **{c: v[c][-1] for c in measures}}
+    result = pd.DataFrame({"at": rows["at"].to_numpy(), "ingest_seq": rows["ingest_seq"].to_numpy(), **{c: x[1:] for c, x in out.items()},
+                           "valid": (~bad & ~np.isnan(v["speed_kmh"]))[1:], "filled": filled[1:]})
+    return result, {k: None if np.isnan(x) else x for k, x in state.items()}
+
+
+WAITING = np.dtype([("at", "<i8"), ("ingest_seq", "<i8"), *[(c, "<f8") for c in READING[1:]]])
 
 
 class Sanitiser(StatefulProcessor):
@@ -91,6 +103,9 @@ class Sanitiser(StatefulProcessor):
 
     So slots may come in any order within the lateness. A reading that comes after its slot was judged changes nothing and is counted; the
     count goes out with the next slot. What waits is bounded by the lateness, whatever a sensor sends.
+
+    All state of a segment is one value, the waiting slots packed in it: it is read and written once per batch and once per expiry. One timer stands
+    for all that waits, at the earliest slot.
     """
 
     OUTPUT = ("segment_id string, ts timestamp, ingest_seq long, " + ", ".join(f"{c} double" for c in VALUE_COLUMNS) + ", valid boolean, filled boolean, late long")
@@ -101,40 +116,51 @@ class Sanitiser(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "ingest_seq long, " + ", ".join(f"{c} double" for c in READING[1:]))
-        self.last = handle.getValueState("last", "at long, repeats int, " + ", ".join(f"{n} double" for n in self.names[2:]))
-        self.late = handle.getValueState("late", "late long")
+        self.state = handle.getValueState("state", "waiting binary, timer long, late long, at long, repeats int, " + ", ".join(f"{n} double" for n in self.names[2:]))
+
+    def _read(self) -> tuple[np.ndarray, int | None, int, dict | None]:
+        held = self.state.get()
+        if held is None:
+            return np.empty(0, WAITING), None, 0, None
+        last = dict(zip(self.names, held[3:]))
+        return np.frombuffer(bytes(held[0]), WAITING), held[1], held[2], last if last["at"] is not None else None
+
+    def _write(self, waiting: np.ndarray, timer: int | None, late: int, last: dict | None) -> None:
+        """Stores the state, and sets a timer for the earliest slot if none is set for it or before it."""
+        first = int(waiting["at"].min()) if len(waiting) else None
+        if first is not None and (timer is None or first < timer):
+            self.handle.registerTimer(first * 1000)
+            timer = first
+        last = last or {n: None for n in self.names}
+        self.state.update((waiting.tobytes(), timer, late, *[None if last[n] is None else int(last[n]) if n in ("at", "repeats") else float(last[n]) for n in self.names]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        judged = self.last.get()[0] if self.last.exists() else None
-        late = self.late.get()[0] if self.late.exists() else 0
+        waiting, timer, late, last = self._read()
+        found = [waiting]
         for batch in rows:
-            batch = batch.assign(at=batch["ts"].astype("datetime64[s]").astype("int64"))
-            if judged is not None:
-                late += int((batch["at"] <= judged).sum())
-                batch = batch[batch["at"] > judged]
-            for r in batch.sort_values("ingest_seq").drop_duplicates("at").to_dict("records"):
-                slot = (int(r["at"]),)
-                if self.waiting.containsKey(slot) and self.waiting.getValue(slot)[0] <= r["ingest_seq"]:
-                    continue
-                self.waiting.updateValue(slot, (int(r["ingest_seq"]), *[None if pd.isna(r[c]) else float(r[c]) for c in READING[1:]]))
-                self.handle.registerTimer(slot[0] * 1000)
-        self.late.update((late,))
+            more = np.empty(len(batch), WAITING)
+            more["at"] = batch["ts"].to_numpy("datetime64[s]").astype(np.int64)
+            for c in READING:
+                more[c] = batch[c].to_numpy(more[c].dtype)
+            if last is not None:
+                late += int((more["at"] <= last["at"]).sum())
+                more = more[more["at"] > last["at"]]
+            found.append(more)
+        every = np.concatenate(found)
+        every = every[np.lexsort((every["ingest_seq"], every["at"]))]
+        self._write(every[np.append(True, every["at"][1:] != every["at"][:-1])[:len(every)]], timer, late, last)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        ready = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if k[0] <= passed)
-        if not ready:  # an earlier timer of this batch has taken them
+        waiting, timer, late, last = self._read()
+        ready, rest = waiting[waiting["at"] <= passed], waiting[waiting["at"] > passed]
+        if not len(ready):  # an earlier timer of this batch has taken them
             yield pd.DataFrame()
             return
-        rows = pd.DataFrame([(at, *v) for at, v in ready], columns=["at", *READING])
-        last = dict(zip(self.names, self.last.get())) if self.last.exists() else None
-        out, state = judged_in_order(rows, last, self.step_seconds, self.fill_slots)
-        self.last.update(tuple(None if state[n] is None else int(state[n]) if n in ("at", "repeats") else float(state[n]) for n in self.names))
-        for at, _ in ready:
-            self.waiting.removeKey((at,))
-        out = out.assign(segment_id=key[0], ts=pd.to_datetime(out["at"], unit="s"), ingest_seq=out["ingest_seq"].astype("int64"), late=self.late.get()[0] if self.late.exists() else 0)
+        out, last = judged_in_order(pd.DataFrame({n: ready[n] for n in WAITING.names}), last, self.step_seconds, self.fill_slots)
+        self._write(rest, None, late, last)
+        out = out.assign(segment_id=key[0], ts=out["at"].to_numpy().astype("datetime64[s]").astype("datetime64[ns]"), late=late)
         yield out[["segment_id", "ts", "ingest_seq", *VALUE_COLUMNS, "valid", "filled", "late"]]
 
     def close(self) -> None:
