@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .. import conf
 
 
+def decimals(c, digits: int = 2) -> Column:
+    """A number as text with a fixed count of decimals, rounded half up but for floating-point noise, alike in every engine."""
+    scale, v = 10 ** digits, col(c)
+    n = F.floor(F.abs(v) * scale + 0.5001)
+    return F.concat(F.when((v < 0) & (n > 0), "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -168,6 +168,15 @@ def outlook(forecast: DataFrame, segments: DataFrame) -> DataFrame:
         "trend", F.when(F.col("worst") > rank("now_level"), "worsening").when(F.col("worst") < rank("now_level"), "easing").otherwise("steady")).drop("worst")
 
 
+RISING = 0.02
+
+
+def rising(forecast: DataFrame, horizon_min: int) -> DataFrame:
+    """(segment_id, ts, rising): whether congestion is expected to be clearly higher at a horizon than now; NULL without a forecast."""
+    rows = forecast.filter((F.col("metric") == "congestion") & (F.col("horizon_min") == horizon_min))
+    return rows.select("segment_id", "ts", (F.round(F.col("p50") - F.col("now"), 9) > RISING).alias("rising"))
+
+
 def speed_trend(forecast: DataFrame, segments: DataFrame, horizon_min: int) -> DataFrame:
     """Worsening, recovering or stable: a change of more than five percent of the free-flow speed counts."""
     rows = (forecast.filter((F.col("metric") == "speed") & (F.col("horizon_min") == horizon_min))

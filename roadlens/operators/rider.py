@@ -182,11 +182,16 @@ def nearest_places(points: DataFrame, places: DataFrame, radius_m: float, keep:
             .select("point_id", "category", "poi_id", "name", "distance_m", "place"))
 
 
-def explanations(diagnosed: DataFrame, types: DataFrame, items: DataFrame) -> DataFrame:
-    """Plain explanation of every cell: status, cause label, how certain, and which evidence counts.
+NEIGHBOR_SLOWING = 0.05
 
-    ``types``: (segment_id, ts, likely_type, type_confidence) of flagged runs; ``items``: the evidence table.
+
+def explanations(diagnosed: DataFrame, types: DataFrame, items: DataFrame, outlook: DataFrame) -> DataFrame:
+    """Plain explanation of every cell: status, cause label, how certain, which evidence counts, and what the forecast says.
+
+    ``types``: (segment_id, ts, likely_type, type_confidence) of flagged runs; ``items``: the evidence table; ``outlook``: one row per horizon.
     """
+    trends = outlook.groupBy("segment_id", "ts").agg(F.max("trend").alias("trend"))
+    slowing = F.coalesce(F.col("neighbor_max_drop") >= NEIGHBOR_SLOWING, F.lit(False))
     figure = lambda name, column: F.max(F.when(F.col("metric") == name, F.col(column)))
     facts = items.groupBy("segment_id", "ts").agg(
         figure("speed", "diff_pct").alias("speed_diff"), figure("queue_change_15min", "value").alias("queue_change"),
@@ -198,6 +203,9 @@ def explanations(diagnosed: DataFrame, types: DataFrame, items: DataFrame) -> Da
     signals = {"speed_drop": F.col("speed_diff") <= -10, "sudden_onset": F.col("onset_step") >= 0.1, "queue_growth": F.col("queue_change") >= 5,
                "congestion_change": F.col("congestion_rise") >= 0.15, "roadwork": F.lit(True), "weather": rain,
                "recurring": cause == "RECURRING_BOTTLENECK"}
+    note = (F.when(normal | F.col("trend").isNull(), None).when((F.col("trend") == "worsening") & slowing, "building, nearby roads slow too")
+            .when(F.col("trend") == "worsening", "building").when(F.col("trend") == "easing", "easing").otherwise("about the same"))
+    diagnosed = diagnosed.join(trends, ["segment_id", "ts"], "left")
     return (diagnosed.join(facts, ["segment_id", "ts"], "left").join(types, ["segment_id", "ts"], "left").withColumn("traffic_level", level)
             .withColumns({
                 "status": F.when(normal, "normal").when(cause == "TRANSIENT_INCIDENT", "disruption_detected").otherwise("congestion"),
@@ -209,5 +217,6 @@ def explanations(diagnosed: DataFrame, types: DataFrame, items: DataFrame) -> Da
                 .when(cause.isin("PROPAGATED_CONGESTION", "RECURRING_BOTTLENECK"), "likely").when(cause == "WEATHER_EVENT_EFFECT", "possible")
                 .otherwise("unknown"),
                 "type": F.when(~normal & (cause == "TRANSIENT_INCIDENT"), F.when(typed, F.col("likely_type")).otherwise("undetermined")),
-                "signals": F.when(normal, "").otherwise(F.concat_ws(",", *[F.when(F.coalesce(test, F.lit(False)), F.lit(n)) for n, test in signals.items()]))})
-            .select("segment_id", "ts", "traffic_level", "status", "cause_label", "certainty", "type", "signals"))
+                "signals": F.when(normal, "").otherwise(F.concat_ws(",", *[F.when(F.coalesce(test, F.lit(False)), F.lit(n)) for n, test in signals.items()])),
+                "forecast_note": note, "may_spread": ~normal & slowing & F.coalesce(F.col("trend") != "easing", F.lit(False))})
+            .select("segment_id", "ts", "traffic_level", "status", "cause_label", "certainty", "type", "signals", "trend", "forecast_note", "may_spread"))

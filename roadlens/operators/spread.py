@@ -62,6 +62,13 @@ def propagate(sources: DataFrame, load: DataFrame, reach: DataFrame, calibration
     return out.select("segment_id", "ts", "reached_id", "hop", "direction", "predicted_drop", "risk", "impact_level", "eta_min")
 
 
+def high_risks(risks: DataFrame, keep: int = 4) -> DataFrame:
+    """(segment_id, ts, at_risk): the segments a source may spill over to with a high risk, the largest risk first. Reach bounds their number."""
+    each = F.struct((-F.round("risk", 9)).alias("order"), F.col("reached_id"))
+    return (risks.filter("impact_level = 'HIGH'").groupBy("segment_id", "ts")
+            .agg(F.transform(F.slice(F.array_sort(F.collect_set(each)), 1, keep), lambda x: x["reached_id"]).alias("at_risk")))
+
+
 def evaluate(incidents: DataFrame, rows: DataFrame, reach: DataFrame, calibration: DataFrame, cfg: Settings,
              affected: float = 0.05, control_days=(-3, -2, -1, 1, 2, 3)) -> DataFrame:
     """One row: tp, fp, fn of the predicted neighbours and how often they drop that much on other days anyway."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import conf
 from ..conf import Settings
-from ..functions.columns import col, lookup
+from ..functions.columns import col, decimals, lookup
 
 
 def webster_seconds(x, cycle, green) -> Column:
@@ -102,6 +102,65 @@ def largest_changes(changes: DataFrame, keys=("ts",), top: int = 5) -> DataFrame
             .filter(F.col("place") <= top).drop("size"))
 
 
+# ---- scenarios: what a candidate changes, as a table of the links it touches
+CASE = ("segment_id", "ts", "candidate_id")
+
+
+def touched_links(cases: DataFrame, links: DataFrame, tried: DataFrame) -> DataFrame:
+    """Per case and tried candidate the links that differ from what was observed: the case's own link, which loses capacity by its state,
+    and the candidate's target, which gains some. Capacity and time as seen, before the candidate (after the loss) and after it."""
+    keep = F.when(F.col("anomalous"), 1 - lookup("state", conf.STATE_CAPACITY_LOSS, 0.0)).otherwise(F.lit(1.0))
+    tries = cases.select("segment_id", "ts", keep.alias("keep")).join(
+        tried.select("segment_id", "candidate_id", "target_segment", "hop", F.col("capacity_delta_vph").alias("gain")), "segment_id")
+    none = F.lit(0).cast("long")
+    which = F.array(F.struct(F.col("target_segment").alias("link_id"), F.when(F.col("hop") == 0, F.col("keep")).otherwise(1.0).alias("share"), F.col("gain").cast("long").alias("gain")),
+                    F.when(F.col("hop") > 0, F.struct(F.col("segment_id").alias("link_id"), F.col("keep").alias("share"), none.alias("gain"))))
+    rows = tries.select(*CASE, F.inline(F.array_compact(which))).join(links.withColumnRenamed("segment_id", "link_id"), ["link_id", "ts"])
+    hours = lambda cap: link_hours("flow", cap, "free_h", "cycle", "green")
+    return (rows.withColumn("cap_before", adjusted_capacity("cap", "share")).withColumn("cap_after", adjusted_capacity("cap_before", None, "gain"))
+            .withColumns({"time_before": hours("cap_before"), "time_after": hours("cap_after")})
+            .select(*CASE, "link_id", "flow", "length_km", "free_h", F.col("cap").alias("cap_seen"), F.col("time_h").alias("time_seen"), "cap_before", "time_before", "cap_after", "time_after"))
+
+
+def _sums(cap: str, time: str) -> dict:
+    """The sums that all network figures are made of."""
+    flow, t, over = F.col("flow"), F.col(time), F.col("flow") > F.col(cap)
+    return {"time": flow * t, "delay": flow * (t - F.col("free_h")), "km": flow * F.col("length_km"), "lost": flow * (1 - F.col("free_h") / t), "flow": flow,
+            "over": over.cast("double"), "over_flow": F.when(over, flow).otherwise(0.0)}
+
+
+def _figures(s) -> dict:
+    small = F.lit(1e-9)
+    return {"travel_time_veh_h": s("time"), "delay_veh_h": s("delay"), "avg_speed_kmh": s("km") / F.greatest(s("time"), small), "avg_congestion": s("lost") / F.greatest(s("flow"), small),
+            "over_capacity_links": s("over"), "over_capacity_flow_vph": s("over_flow")}
+
+
+def scenario_kpis(touched: DataFrame, links: DataFrame) -> DataFrame:
+    """Long (case, candidate, kpi, before, after, change, pct_change): the network's sums of the slot, corrected by the touched links alone."""
+    totals = links.groupBy("ts").agg(*[F.sum(e).alias(f"all_{n}") for n, e in _sums("cap", "time_h").items()])
+    seen = _sums("cap_seen", "time_seen")
+    moved = touched.groupBy(*CASE).agg(*[F.sum(e - seen[n]).alias(f"{stage}_{n}") for stage in ("before", "after") for n, e in _sums(f"cap_{stage}", f"time_{stage}").items()])
+    rows = moved.join(totals, "ts")
+    at = lambda stage: _figures(lambda n: F.col(f"all_{n}") + F.col(f"{stage}_{n}"))
+    before, after = at("before"), at("after")
+    long = rows.select(*CASE, F.inline(F.array(*[F.struct(F.lit(k).alias("kpi"), before[k].alias("before"), after[k].alias("after")) for k in KPIS])))
+    change = F.col("after") - F.col("before")
+    return long.withColumns({"change": change, "pct_change": F.when(F.col("before") != 0, change / F.col("before") * 100)})
+
+
+def scenario_links(touched: DataFrame) -> DataFrame:
+    """Per touched link: time and utilisation before and after the candidate, and whether it moved by more than one percent."""
+    rel = (F.col("time_after") - F.col("time_before")) / F.col("time_before")
+    return touched.withColumns({"delta_min": (F.col("time_after") - F.col("time_before")) * 60, "relative": rel, "vc_before": F.col("flow") / F.col("cap_before"),
+                                "vc_after": F.col("flow") / F.col("cap_after"), "moved": F.when(rel < -0.01, "improved").when(rel > 0.01, "worsened").otherwise("same")})
+
+
+def scenario_counts(changes: DataFrame, n_segments: int) -> DataFrame:
+    """Per case and candidate: links improved and worsened, of all; whatever is not touched stays the same."""
+    return changes.groupBy(*CASE).agg(F.count_if(F.col("moved") == "improved").alias("improved"), F.count_if(F.col("moved") == "worsened").alias("worsened"),
+                                      F.lit(n_segments).alias("links"))
+
+
 # ---- candidates
 def candidate_pool(reach: DataFrame, segments: DataFrame, candidates: DataFrame, max_hops: int = conf.CANDIDATE_HOPS) -> DataFrame:
     """Candidates on each segment and on segments within ``max_hops``, nearest and cheapest first."""
@@ -187,9 +246,10 @@ def ranked(evaluated: DataFrame) -> DataFrame:
     return evaluated.withColumn("rank", F.row_number().over(order))
 
 
-def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = conf.SAVING_TOLERANCE_VEH_H) -> DataFrame:
+def advice(cases: DataFrame, evaluated: DataFrame, ahead: DataFrame, spill: DataFrame, threshold: float, tolerance_veh_h: float = conf.SAVING_TOLERANCE_VEH_H) -> DataFrame:
     """Per case: no action, the best candidate, or an operational response; with a confidence and the reasons.
-    ``cases`` holds (segment_id, ts, state, anomalous, cause, score, speed_ratio, confidence_label)."""
+    ``cases`` holds (segment_id, ts, state, anomalous, cause, score, speed_ratio, confidence_label), ``ahead`` (segment_id, ts, rising),
+    ``spill`` (segment_id, ts, at_risk)."""
     best = ranked(evaluated).filter("rank = 1").select(
         "segment_id", "ts", "candidate_id", "target_segment", "intervention_type", "relation", "hop", "network_pct", "local_pct",
         F.col("score").alias("candidate_score"), "saved_veh_h")
@@ -199,6 +259,7 @@ def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = conf
         .when(F.col("state") != "NORMAL", 1).otherwise(2)
     chosen = F.col("kind") == "candidate"
     down = F.when(chosen & (F.col("hop") > 0), 1).otherwise(0) + F.when(chosen & (F.abs("saved_veh_h") < tolerance_veh_h), 1).otherwise(0)
+    cases = cases.join(ahead, ["segment_id", "ts"], "left").join(spill, ["segment_id", "ts"], "left")
     return (cases.join(best, ["segment_id", "ts"], "left").withColumn("kind", kind)
             .withColumn("confidence", lookup(F.greatest(base - down, F.lit(0)), {0: "LOW", 1: "MEDIUM", 2: "HIGH"}))
             .withColumns({
@@ -206,9 +267,11 @@ def advice(cases: DataFrame, evaluated: DataFrame, tolerance_veh_h: float = conf
                 .when(chosen, F.format_string("Try %s %s at %s", F.replace("intervention_type", F.lit("_"), F.lit(" ")), "candidate_id", "target_segment"))
                 .otherwise("Respond by operations"),
                 "reasons": F.array_compact(F.array(
-                    F.when(F.col("anomalous"), F.format_string("anomaly score %.2f (%s)", "score", "cause")),
-                    F.when(F.col("speed_ratio").isNotNull(), F.format_string("state %s, speed ratio %.2f", "state", "speed_ratio")).otherwise("no current reading"),
-                    F.when(chosen, F.format_string("best feasible candidate (%s), score %.3f", "relation", "candidate_score"))
+                    F.when(F.col("anomalous"), F.concat(F.lit("anomaly score "), decimals("score"), F.lit(f" of at least {threshold:g} ("), "cause", F.lit(")"))),
+                    F.when(F.col("speed_ratio").isNotNull(), F.concat(F.lit("state "), "state", F.lit(", speed ratio "), decimals("speed_ratio"))).otherwise("no current reading"),
+                    F.when(F.col("rising"), "more congestion ahead").when(~F.col("rising"), "no more congestion ahead"),
+                    F.when(F.size("at_risk") > 0, F.concat(F.lit("may spill over to "), F.concat_ws(", ", "at_risk"))),
+                    F.when(chosen, F.concat(F.lit("best feasible candidate ("), "relation", F.lit("), score "), decimals("candidate_score", 3)))
                     .when(F.col("kind") == "operational", F.when(F.col("candidate_id").isNull(), "no feasible candidate within reach")
                           .otherwise("no candidate reduced the delay")))),
                 "limitations": F.array_compact(F.array(

@@ -309,6 +309,19 @@ class City(Analog):
         return written(whatif.evaluate_candidates(self.cases, self.links, self.edges, self.shortlist, self.candidates, self.n_segments), "evaluated")
 
 
+    @cached_property
+    def advice(self) -> DataFrame:
+        """What to do about every cell, with forecast and spill-over among the reasons."""
+        ahead = forecast.rising(self.daily_forecast, list(self.cfg.horizons)[1])
+        sources = self.components.filter("anomalous").select("segment_id", "ts", F.col("local_drop").alias("source_drop"))
+        risks = spread.high_risks(spread.propagate(sources, self.components, self.reach, self.calibration))
+        return written(whatif.advice(self.diagnosed, self.evaluated, ahead, risks, self.cfg.threshold), "advice")
+
+    @cached_property
+    def touched(self) -> DataFrame:
+        return written(whatif.touched_links(self.cases, self.links, self.shortlist), "touched")
+
+
 _cities: dict = {}
 
 

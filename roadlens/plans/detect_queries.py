@@ -226,12 +226,13 @@ CALIB_VIEWS = {"usable": _USABLE, "samples": _SAMPLES, "calibration": _CALIB}
 query("propagation_calibration", "direction:s hop:i decay:d lag_min_per_hop:d samples:i", "SELECT * FROM calibration", **CALIB_VIEWS)(
     lambda c: spread.calibrate(spread.calibration_samples(c.in_train(c.incidents), c.components, c.reach, c.cfg), c.cfg))
 _RISK = """CASE WHEN risk >= 0.5 THEN 'HIGH' WHEN risk >= 0.25 THEN 'MEDIUM' WHEN risk >= 0.1 THEN 'LOW' ELSE 'MINIMAL' END"""
-query("propagation", "segment_id:s ts:t reached_id:s hop:i direction:s predicted_drop:d risk:d impact_level:s eta_min:d", f"""
+PROPAGATION = f"""
 SELECT *, {_RISK} AS impact_level FROM (SELECT *, least(1, predicted_drop / 0.4::DOUBLE) AS risk FROM (
 SELECT c.segment_id, c.ts, r.reached_id, r.hop, r.direction, lag_min_per_hop * r.hop AS eta_min,
   greatest(c.local_drop, 0) * decay * (0.75::DOUBLE + 0.5::DOUBLE * least(greatest(coalesce(n.flow_ratio, 0.5), 0), 1)) AS predicted_drop
 FROM components c JOIN reach r USING (segment_id) JOIN calibration k ON k.direction = r.direction AND k.hop = r.hop
-JOIN components n ON n.segment_id = r.reached_id AND n.ts = c.ts WHERE c.anomalous))""", **CALIB_VIEWS)(
+JOIN components n ON n.segment_id = r.reached_id AND n.ts = c.ts WHERE c.anomalous))"""
+query("propagation", "segment_id:s ts:t reached_id:s hop:i direction:s predicted_drop:d risk:d impact_level:s eta_min:d", PROPAGATION, **CALIB_VIEWS)(
     lambda c: spread.propagate(c.components.filter("anomalous").select("segment_id", "ts", F.col("local_drop").alias("source_drop")),
                                c.components, c.reach, c.calibration))
 _MOVED = """

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diagnose, rider, routes, whatif
+from ..operators import diagnose, forecast, rider, routes, whatif
 from .corridor_queries import GEO
-from .detect_queries import _CENTRES, _EVIDENCE, _SHAPES, DIAG_VIEWS, SNAP_VIEWS, TYPE_SQL
+from .detect_queries import _CENTRES, CALIB_VIEWS, PROPAGATION, _EVIDENCE, _SHAPES, DIAG_VIEWS, SNAP_VIEWS, TYPE_SQL
+from .forecast_queries import _OUTLOOK, FC
 from .grid_queries import WAY, WAYS
 from .registry import query
 
@@ -108,7 +109,7 @@ SELECT * FROM (SELECT segment_id, ts, avg(drop) OVER w AS mean_drop,
   avg(flow_ratio / CASE WHEN fr_med IS NULL THEN NULL ELSE greatest(fr_med, 0.001::DOUBLE) END - 1) OVER w AS mean_flow_change
 FROM runs WHERE anomalous WINDOW w AS (PARTITION BY segment_id, run_start ORDER BY ts ROWS UNBOUNDED PRECEDING))
 WHERE mean_drop IS NOT NULL AND mean_flow_change IS NOT NULL"""
-query("traffic_explanation", "segment_id:s ts:t traffic_level:s status:s cause_label:s certainty:s type:s signals:s", """
+query("traffic_explanation", "segment_id:s ts:t traffic_level:s status:s cause_label:s certainty:s type:s signals:s trend:s forecast_note:s may_spread:b", """
 SELECT segment_id, ts, traffic_level, status, CASE WHEN normal THEN NULL ELSE CASE cause WHEN 'ROADWORK_EFFECT' THEN 'Roadwork' WHEN 'TRANSIENT_INCIDENT' THEN 'Traffic disruption'
     WHEN 'PROPAGATED_CONGESTION' THEN 'Congestion spreading from nearby roads' WHEN 'RECURRING_BOTTLENECK' THEN 'Recurring congestion'
     WHEN 'WEATHER_EVENT_EFFECT' THEN CASE WHEN rain_intensity >= 0.3::DOUBLE OR event_level > 0 THEN 'Weather or event slowdown' ELSE 'City-wide slowdown' END ELSE 'Cause unclear' END END AS cause_label,
@@ -116,17 +117,22 @@ SELECT segment_id, ts, traffic_level, status, CASE WHEN normal THEN NULL ELSE CA
     WHEN 'PROPAGATED_CONGESTION' THEN 'likely' WHEN 'RECURRING_BOTTLENECK' THEN 'likely' WHEN 'WEATHER_EVENT_EFFECT' THEN 'possible' ELSE 'unknown' END END AS certainty,
   CASE WHEN NOT normal AND cause = 'TRANSIENT_INCIDENT' THEN CASE WHEN type_confidence = 'MEDIUM' AND likely_type <> 'UNKNOWN' THEN likely_type ELSE 'undetermined' END END AS type,
   CASE WHEN normal THEN '' ELSE concat_ws(',', CASE WHEN speed_diff <= -10 THEN 'speed_drop' END, CASE WHEN onset_step >= 0.1 THEN 'sudden_onset' END, CASE WHEN queue_change >= 5 THEN 'queue_growth' END,
-    CASE WHEN rise >= 0.15 THEN 'congestion_change' END, 'roadwork', CASE WHEN rain_intensity >= 0.3::DOUBLE THEN 'weather' END, CASE WHEN cause = 'RECURRING_BOTTLENECK' THEN 'recurring' END) END AS signals
-FROM (SELECT d.*, state IN ('NORMAL', 'NO_DATA') AS normal, (1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality AS cf, t.likely_type, t.type_confidence,
+    CASE WHEN rise >= 0.15 THEN 'congestion_change' END, 'roadwork', CASE WHEN rain_intensity >= 0.3::DOUBLE THEN 'weather' END, CASE WHEN cause = 'RECURRING_BOTTLENECK' THEN 'recurring' END) END AS signals,
+  trend, CASE WHEN normal OR trend IS NULL THEN NULL WHEN trend = 'worsening' AND neighbor_max_drop >= 0.05::DOUBLE THEN 'building, nearby roads slow too' WHEN trend = 'worsening' THEN 'building'
+    WHEN trend = 'easing' THEN 'easing' ELSE 'about the same' END AS forecast_note,
+  NOT normal AND neighbor_max_drop >= 0.05::DOUBLE AND coalesce(trend <> 'easing', false) AS may_spread
+FROM (SELECT d.*, o.trend, state IN ('NORMAL', 'NO_DATA') AS normal, (1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality AS cf, t.likely_type, t.type_confidence,
     CASE state WHEN 'NORMAL' THEN 'free_flow' WHEN 'MODERATE' THEN 'moderate' WHEN 'HEAVY' THEN 'heavy' WHEN 'CRITICAL' THEN 'severe' ELSE 'no_data' END AS traffic_level,
     CASE WHEN state IN ('NORMAL', 'NO_DATA') THEN 'normal' WHEN cause = 'TRANSIENT_INCIDENT' THEN 'disruption_detected' ELSE 'congestion' END AS status,
     e.speed_diff, e.queue_change, e.rise
   FROM diagnosed d LEFT JOIN run_types t ON t.segment_id = d.segment_id AND t.ts = d.ts
+  LEFT JOIN (SELECT segment_id, ts, any_value(trend) AS trend FROM outlook GROUP BY ALL) o ON o.segment_id = d.segment_id AND o.ts = d.ts
   LEFT JOIN (SELECT segment_id, ts, max(diff_pct) FILTER (metric = 'speed') AS speed_diff, max(value) FILTER (metric = 'queue_change_15min') AS queue_change,
       max(value - baseline) FILTER (metric = 'congestion_index') AS rise FROM ev_rows GROUP BY ALL) e ON e.segment_id = d.segment_id AND e.ts = d.ts)""",
-      **DIAG_VIEWS, ev_rows=_EVIDENCE, run_types=_RUN_TYPES, run_shapes=_RUN_SHAPES, shapes=_SHAPES, centres=_CENTRES)(
+      **DIAG_VIEWS, **FC, outlook=_OUTLOOK, ev_rows=_EVIDENCE, run_types=_RUN_TYPES, run_shapes=_RUN_SHAPES, shapes=_SHAPES, centres=_CENTRES)(
     lambda c: rider.explanations(c.diagnosed, diagnose.type_likelihood(diagnose.run_shapes(c.components), c.centroids)
-                                 .select("segment_id", "ts", "likely_type", "type_confidence"), diagnose.evidence(c.diagnosed, c.cfg)))
+                                 .select("segment_id", "ts", "likely_type", "type_confidence"), diagnose.evidence(c.diagnosed, c.cfg),
+                                 forecast.outlook(c.daily_forecast, c.segments)))
 
 # ---- link times and comparison
 _LINK_TIME = """free_h * (1 + 0.15::DOUBLE * pow(greatest(flow, 0) / {cap}, 4)) + CASE WHEN cycle > 0
@@ -227,16 +233,66 @@ query("candidate_evaluation", "segment_id:s ts:t candidate_id:s hop:i network_pc
     lambda c: whatif.evaluate_candidates(c.cases, c.links, c.edges, c.shortlist, c.candidates, c.n_segments))
 query("candidate_ranking", "segment_id:s ts:t candidate_id:s relation:s score:d rank:i", """
 SELECT *, row_number() OVER (PARTITION BY segment_id, ts ORDER BY round(score, 9) DESC, candidate_id) AS rank FROM evals""", **PLAN)(lambda c: whatif.ranked(c.evaluated))
-query("recommendations", "segment_id:s ts:t kind:s candidate_id:s confidence:s n_reasons:i n_limitations:i", """
+
+
+def _dec(x: str, digits: int = 2) -> str:
+    """Fixed decimals as text, as ``functions.columns.decimals`` writes them."""
+    scale = 10 ** digits
+    n = f"CAST(floor(abs({x}) * {scale} + 0.5001::DOUBLE) AS BIGINT)"
+    return f"(CASE WHEN {x} < 0 AND {n} > 0 THEN '-' ELSE '' END || CAST({n} // {scale} AS VARCHAR) || '.' || lpad(CAST({n} % {scale} AS VARCHAR), {digits}, '0'))"
+
+
+_ADVISED = f"""
 SELECT segment_id, ts, kind, CASE WHEN kind = 'candidate' THEN candidate_id END AS candidate_id,
   ['LOW', 'MEDIUM', 'HIGH'][1 + greatest(base - CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END - CASE WHEN kind = 'candidate' AND abs(saved) < 0.1::DOUBLE THEN 1 ELSE 0 END, 0)] AS confidence,
-  CASE WHEN anomalous THEN 1 ELSE 0 END + 1 + CASE WHEN kind = 'none' THEN 0 ELSE 1 END AS n_reasons, 2 + CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END + CASE WHEN kind = 'candidate' AND abs(saved) < 0.1::DOUBLE THEN 1 ELSE 0 END AS n_limitations
-FROM (SELECT d.segment_id, d.ts, d.anomalous, b.candidate_id, b.hop, b.saved,
+  CASE kind WHEN 'none' THEN 'Leave as is' WHEN 'candidate' THEN 'Try ' || replace(intervention_type, '_', ' ') || ' ' || candidate_id || ' at ' || target_segment ELSE 'Respond by operations' END AS headline,
+  concat_ws('; ', CASE WHEN anomalous THEN 'anomaly score ' || {_dec('dscore')} || ' of at least 0.2 (' || cause || ')' END,
+    CASE WHEN speed_ratio IS NOT NULL THEN 'state ' || state || ', speed ratio ' || {_dec('speed_ratio')} ELSE 'no current reading' END,
+    CASE WHEN rising THEN 'more congestion ahead' WHEN NOT rising THEN 'no more congestion ahead' END, 'may spill over to ' || at_risk,
+    CASE kind WHEN 'candidate' THEN 'best feasible candidate (' || relation || '), score ' || {_dec('cscore', 3)}
+      WHEN 'operational' THEN CASE WHEN candidate_id IS NULL THEN 'no feasible candidate within reach' ELSE 'no candidate reduced the delay' END END) AS reasons,
+  2 + CASE WHEN kind = 'candidate' AND hop > 0 THEN 1 ELSE 0 END + CASE WHEN kind = 'candidate' AND abs(saved) < 0.1::DOUBLE THEN 1 ELSE 0 END AS n_limitations
+FROM (SELECT d.segment_id, d.ts, d.anomalous, d.state, d.cause, d.speed_ratio, d.score AS dscore, b.candidate_id, b.hop, b.saved, b.target_segment, b.intervention_type, b.relation, b.score AS cscore,
+  round(s.p50 - s.now, 9) > 0.02::DOUBLE AS rising, r.at_risk,
   CASE WHEN d.state = 'NORMAL' AND NOT d.anomalous THEN 'none' WHEN b.network_pct > 0 AND b.local_pct > 0 THEN 'candidate' ELSE 'operational' END AS kind,
   CASE WHEN d.anomalous THEN CASE WHEN cf >= 0.8 THEN 2 WHEN cf >= 0.5 THEN 1 ELSE 0 END WHEN d.state <> 'NORMAL' THEN 1 ELSE 2 END AS base
-  FROM (SELECT *, (1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality AS cf FROM diagnosed) d LEFT JOIN best b ON b.segment_id = d.segment_id AND b.ts = d.ts)""", **PLAN)(
-    lambda c: whatif.advice(c.diagnosed, c.evaluated).withColumns({"n_reasons": F.size("reasons"), "n_limitations": F.size("limitations")}))
+  FROM (SELECT *, (1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality AS cf FROM diagnosed) d LEFT JOIN best b ON b.segment_id = d.segment_id AND b.ts = d.ts
+  LEFT JOIN seas s ON s.segment_id = d.segment_id AND s.ts = d.ts AND s.metric = 'congestion' AND s.horizon_min = 720
+  LEFT JOIN (SELECT segment_id, ts, array_to_string(list_slice(list(reached_id ORDER BY -round(risk, 9), reached_id), 1, 4), ', ') AS at_risk
+             FROM (SELECT DISTINCT segment_id, ts, reached_id, risk FROM propagated WHERE impact_level = 'HIGH') GROUP BY ALL) r ON r.segment_id = d.segment_id AND r.ts = d.ts)"""
+query("recommendations", "segment_id:s ts:t kind:s candidate_id:s confidence:s headline:s reasons:s n_limitations:i", "SELECT * FROM advised",
+      **PLAN, **FC, **CALIB_VIEWS, propagated=PROPAGATION, advised=_ADVISED)(
+    lambda c: c.advice.withColumns({"reasons": F.concat_ws("; ", "reasons"), "n_limitations": F.size("limitations")}))
 
+# ---- before and after a candidate, per case
+_TIMES = lambda cap: _LINK_TIME.format(cap=cap)
+_TOUCHED = f"""
+SELECT *, {_TIMES('cap_before')} AS time_before, {_TIMES('cap_after')} AS time_after FROM (
+  SELECT c.segment_id, c.ts, t.candidate_id, l.segment_id AS link_id, l.flow, l.length_km, l.free_h, l.cycle, l.green, l.cap AS cap_seen, l.time_h AS time_seen,
+    l.cap * greatest(CASE WHEN l.segment_id = c.segment_id THEN c.keep ELSE 1 END, 0.1::DOUBLE) AS cap_before,
+    l.cap * greatest(CASE WHEN l.segment_id = c.segment_id THEN c.keep ELSE 1 END, 0.1::DOUBLE) + CASE WHEN l.segment_id = t.target_segment THEN capacity_delta_vph ELSE 0 END AS cap_after
+  FROM cs c JOIN tried t USING (segment_id) JOIN links l ON l.ts = c.ts AND l.segment_id IN (c.segment_id, t.target_segment))"""
+_SUMS = {"time": "flow * {t}", "delay": "flow * ({t} - free_h)", "km": "flow * length_km", "lost": "flow * (1 - free_h / {t})", "flow": "flow",
+         "over": "CASE WHEN flow > {c} THEN 1 ELSE 0 END", "over_flow": "CASE WHEN flow > {c} THEN flow ELSE 0 END"}
+_FIGURES = {"travel_time_veh_h": "{0}time", "delay_veh_h": "{0}delay", "avg_speed_kmh": "{0}km / greatest({0}time, 1e-9)", "avg_congestion": "{0}lost / greatest({0}flow, 1e-9)",
+            "over_capacity_links": "{0}over", "over_capacity_flow_vph": "{0}over_flow"}
+_NETWORK = "SELECT ts, " + ", ".join(f"sum({e.format(t='time_h', c='cap')}) AS x_{n}" for n, e in _SUMS.items()) + " FROM links GROUP BY ts"
+_CORRECTED = "SELECT segment_id, ts, candidate_id, " + ", ".join(
+    f"any_value(x_{n}) + sum({e.format(t=f'time_{s}', c=f'cap_{s}')} - {e.format(t='time_seen', c='cap_seen')}) AS {s}_{n}" for s in ("before", "after") for n, e in _SUMS.items()
+) + " FROM touched JOIN network USING (ts) GROUP BY ALL"
+_SCENARIO = {**PLAN, "touched": _TOUCHED, "network": _NETWORK, "corrected": _CORRECTED}
+query("scenario_kpi_changes", "segment_id:s ts:t candidate_id:s kpi:s before:d after:d change:d pct_change:d", """
+SELECT *, after - before AS change, CASE WHEN before <> 0 THEN (after - before) / before * 100 END AS pct_change FROM (""" + " UNION ALL ".join(
+    f"SELECT segment_id, ts, candidate_id, '{k}' AS kpi, {e.format('before_')} AS before, {e.format('after_')} AS after FROM corrected" for k, e in _FIGURES.items()) + ")", **_SCENARIO)(
+    lambda c: whatif.scenario_kpis(c.touched, c.links))
+_MOVED = """
+SELECT *, (time_after - time_before) * 60 AS delta_min, flow / cap_before AS vc_before, flow / cap_after AS vc_after,
+  CASE WHEN (time_after - time_before) / time_before < -0.01::DOUBLE THEN 'improved' WHEN (time_after - time_before) / time_before > 0.01::DOUBLE THEN 'worsened' ELSE 'same' END AS moved FROM touched"""
+query("scenario_link_changes", "segment_id:s ts:t candidate_id:s link_id:s time_before:d time_after:d delta_min:d vc_before:d vc_after:d moved:s", "SELECT * FROM moved_links", moved_links=_MOVED, **_SCENARIO)(
+    lambda c: whatif.scenario_links(c.touched))
+query("scenario_change_counts", "segment_id:s ts:t candidate_id:s improved:i worsened:i links:i", """
+SELECT segment_id, ts, candidate_id, count(*) FILTER (moved = 'improved') AS improved, count(*) FILTER (moved = 'worsened') AS worsened, (SELECT count(*) FROM segments) AS links
+FROM moved_links GROUP BY ALL""", moved_links=_MOVED, **_SCENARIO)(lambda c: whatif.scenario_counts(whatif.scenario_links(c.touched), c.n_segments))
 
 _LABELLED = """
 SELECT d.*, CASE WHEN cf >= 0.8 THEN 'HIGH' WHEN cf >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_label, CASE WHEN hour(ts) IN (6, 18) THEN 'peak' ELSE 'offpeak' END AS bucket
