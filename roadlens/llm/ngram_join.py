@@ -253,24 +253,35 @@ def _met(a, b, matches, least, pivot):
 SLOTS = 1 << 20
 
 
-def sets_of(docs: DataFrame, reps: DataFrame, placed: DataFrame, size: int) -> DataFrame:
-    """(ref, root, large, set): the whole sets of the representatives in ``placed``, from their texts. A ref may come more than once where
-    rows repeat; a row whose doc_id is a representative's but whose text is another is left out by the fingerprint."""
+def texts_of(docs: DataFrame, reps: DataFrame, placed: DataFrame) -> DataFrame:
+    """(ref, root, large, print, text): the texts of the representatives in ``placed``; a text packs far better than its set of hashes. A ref may come
+    more than once where rows repeat, and with another text where a doc_id repeats: readers compare the fingerprint."""
     wanted = written(reps.select("ref", "print", "doc_id").join(placed, "ref"), "join-wanted")
     texts = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").alias("text"))
     # a first look without a shuffle: at most SLOTS numbers are broadcast, however many ids are wanted
     slot = lambda d: F.pmod(F.xxhash64(d["doc_id"]), F.lit(SLOTS)).cast("int")
     texts = texts.withColumn("slot", slot(texts)).join(F.broadcast(wanted.select(slot(wanted).alias("slot")).distinct()), "slot", "left_semi").alias("d")
     rows = texts.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.ref", "w.root", "w.large", "w.print", "d.text")
+    return written(rows, "join-texts")
+
+
+def own_sets(batch: pa.RecordBatch, hashes: WordHashes, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row number and whole set of each text that is the one its ref stands for."""
+    for k, (text, own) in enumerate(zip(batch.column("text"), batch.column("print"))):
+        s = shingle_set(hashes.of(words(text.as_py())), size)
+        if xxhash.xxh3_128_digest(s.tobytes()) == own.as_py():
+            yield k, s
+
+
+def sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """(ref, set) of rows of :func:`texts_of`, each ref once."""
     hashes = WordHashes()
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(hashes.of(words(t.as_py())), size).tobytes() for t in batch.column("text")]
-            own = pa.array([xxhash.xxh3_128_digest(s) == bytes(p.as_py()) for s, p in zip(found, batch.column("print"))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("root"), batch.column("large"), pa.array(found, pa.binary())],
-                                             ["ref", "root", "large", "set"]).filter(own)
-    return written(mapped(rows, run, "ref long, root long, large boolean, set binary"), "join-sets")
+            found = list(own_sets(batch, hashes, size))
+            yield pa.RecordBatch.from_arrays([batch.column("ref").take(pa.array([k for k, _ in found], pa.int64())), pa.array([s.tobytes() for _, s in found], pa.binary())], ["ref", "set"])
+    return written(mapped(texts.select("ref", "print", "text"), run, "ref long, set binary").groupBy("ref").agg(F.first("set").alias("set")), "join-large")
 
 
 def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
@@ -333,15 +344,16 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
 SETS_PER_TASK = 1000
 
 
-def within_small(sets: DataFrame, members: int, percent: int) -> DataFrame:
-    """Links (a, b) that span what is similar within each group (``root``) of a bounded number of sets; every set is moved once."""
-    buckets = max(1, math.ceil(members / SETS_PER_TASK))
+def within_small(texts: DataFrame, members: int, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that span what is similar within each group (``root``) of a bounded number of sets; every text is moved once."""
+    buckets, hashes = max(1, math.ceil(members / SETS_PER_TASK)), WordHashes()
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, dict[int, np.ndarray]] = {}
         for batch in batches:
-            for root, ref, s in zip(batch.column("root").to_pylist(), batch.column("ref").to_pylist(), batch.column("set")):
-                groups.setdefault(root, {})[ref] = np.frombuffer(s.as_py(), "<u8")
+            root, ref = batch.column("root").to_pylist(), batch.column("ref").to_pylist()
+            for k, s in own_sets(batch, hashes, size):
+                groups.setdefault(root[k], {})[ref[k]] = s
         out = []
         for found in groups.values():
             ref, x = np.array(list(found)), list(found.values())
@@ -352,7 +364,7 @@ def within_small(sets: DataFrame, members: int, percent: int) -> DataFrame:
             out += spanning(np.stack([ref[i[linked]], ref[j[linked]]], axis=1))
         pairs = np.array(out, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
-    placed = sets.select("root", "ref", "set", F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket"))
+    placed = texts.select("root", "ref", "print", "text", F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket"))
     return placed.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
@@ -443,11 +455,11 @@ def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, per
     # candidates form groups; each is verified in one place while it is small, else pair by pair and by its pivots
     root = written(classes(asked), "join-groups")
     placed = written(root.join(root.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("ref", "root", (F.col("n") > chunk).alias("large")), "join-placed")
-    sets = sets_of(docs, reps, placed, size)
-    inside = within_small(sets.filter("NOT large"), placed.filter("NOT large").count(), percent)
+    texts = texts_of(docs, reps, placed)
+    inside = within_small(texts.filter("NOT large"), placed.filter("NOT large").count(), size, percent)
     large = placed.filter("large").select(F.col("ref").alias("a"))
     if not large.isEmpty():
-        whole = written(sets.filter("large").groupBy("ref").agg(F.first("set").alias("set")), "join-large")
+        whole = sets_of(texts.filter("large"), size)
         hard = written(asked.join(large, "a", "left_semi"), "join-hard")
         checked = written(compared(hard.filter("pivot"), whole, percent), "join-checked")
         near = checked.filter("linked").select("a", "b")
