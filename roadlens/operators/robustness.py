@@ -1,13 +1,11 @@
 """Deterministic corruption of readings, and what the sanitiser is worth against it.
 
-Whether and how a value is corrupted is decided by a hash of its own key, so a job that is rerun after losing an executor corrupts
-exactly the same rows.
+Whether and how a value is corrupted follows from a hash of its own key (MD5, which every engine has), so a job that is rerun after losing an
+executor corrupts exactly the same rows. All kinds of noise are drawn in one pass over the readings.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,52 +14,56 @@ from ..functions import slots
 from . import panel
 
 KINDS = ("missing", "duplicates", "spikes", "stuck", "negatives", "shuffle", "combined")
+RATE, STUCK_SHARE, STUCK_SLOTS, COPY = 0.05, 0.05, 24, 1 << 40
+
+
+def digest(salt: str, key, digits: int, seed: int = 7) -> Column:
+    """A whole number from the first hexadecimal ``digits`` of a hash."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}-{seed}-"), key.cast("string"))), 1, digits), 16, 10).cast("long")
 
 
-def draw(salt: str, *keys, seed: int = 7) -> Column:
+def draw(salt: str, key, seed: int = 7) -> Column:
     """A reproducible number in [0, 1) per key."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(f"{salt}-{seed}")), F.lit(1_000_000)) / 1e6
+    return digest(salt, key, 8, seed) / float(1 << 32)
+
+
+def stuck_block(cfg: Settings) -> Column:
+    """Whether a reading lies in the block of slots in which its segment, one of a few, repeats its first reading."""
+    first, last = F.unix_seconds(slots.at(cfg.start)), F.unix_seconds(slots.at(cfg.end))
+    begin = first + F.floor(draw("stuck-at", F.col("segment_id")) * ((last - first) / cfg.step_seconds - STUCK_SLOTS)) * cfg.step_seconds
+    return (draw("stuck", F.col("segment_id")) < STUCK_SHARE) & F.unix_seconds("ts").between(begin, begin + (STUCK_SLOTS - 1) * cfg.step_seconds)
 
 
-def corrupt(readings: DataFrame, kind: str, cfg: Settings, rate: float = 0.05, seed: int = 7) -> DataFrame:
-    """Readings (segment_id, ts, ingest_seq, measures) with one kind of noise, or all of them."""
-    hit = lambda salt, share: draw(salt, "ingest_seq", seed=seed) < share
-    on = lambda name: kind in (name, "combined")
-    df = readings
+def version(kind: str, seq: Column, rate: float) -> Column:
+    """A reading as one kind of noise, or all of them, leaves it; NULL where it is lost. ``held_*`` are the values that a stuck sensor repeats."""
+    on = lambda name: kind in (name, "combined")
+    own, v = F.col("ingest_seq"), {c: F.col(c) for c in VALUE_COLUMNS}
     if on("missing"):
-        df = df.filter(~hit("drop", rate)).withColumns({c: F.when(~hit(f"null-{c}", rate / 2), F.col(c)) for c in VALUE_COLUMNS})
-    if on("duplicates"):
-        again = df.filter(hit("again", rate)).withColumn("ingest_seq", F.col("ingest_seq") + (1 << 40))
-        df = df.unionByName(again)
+        v = {c: F.when(draw(f"null-{c}", own) >= rate / 2, x) for c, x in v.items()}
     if on("spikes"):
-        df = df.withColumns({
-            "flow_vph": F.when(hit("flow", rate / 5), F.col("flow_vph") * (4 + 4 * draw("flow-size", "ingest_seq", seed=seed)) + 2000).otherwise(F.col("flow_vph")),
-            "occupancy_pct": F.when(hit("occupancy", rate / 5), 120 + 180 * draw("occupancy-size", "ingest_seq", seed=seed)).otherwise(F.col("occupancy_pct"))})
+        v["flow_vph"] = F.when(draw("flow", seq) < rate / 5, v["flow_vph"] * (4 + 4 * draw("flow-size", seq)) + 2000).otherwise(v["flow_vph"])
+        v["occupancy_pct"] = F.when(draw("occupancy", seq) < rate / 5, 120 + 180 * draw("occupancy-size", seq)).otherwise(v["occupancy_pct"])
     if on("stuck"):
-        df = _stick(df, cfg, seed)
+        v = {c: F.when(F.col("in_block"), F.col(f"held_{c}")).otherwise(x) for c, x in v.items()}
     if on("negatives"):
-        df = df.withColumns({c: F.when(hit(f"negative-{c}", rate / 3), -F.abs(c)).otherwise(F.col(c)) for c in ("speed_kmh", "flow_vph", "occupancy_pct")})
-    if on("shuffle"):
-        df = df.withColumn("ingest_seq", F.xxhash64("ingest_seq", F.lit(seed)))
-    return df
-
-
-def _stick(df: DataFrame, cfg: Settings, seed: int, share: float = 0.05, length: int = 24) -> DataFrame:
-    """A block of ``length`` slots on five percent of the segments repeats its first reading."""
-    first_slot, last_slot = F.unix_seconds(slots.at(cfg.start)), F.unix_seconds(slots.at(cfg.end))
-    begin = first_slot + F.floor(draw("stuck-at", "segment_id", seed=seed) * ((last_slot - first_slot) / cfg.step_seconds - length)) * cfg.step_seconds
-    inside = (draw("stuck", "segment_id", seed=seed) < share) & F.unix_seconds("ts").between(begin, begin + (length - 1) * cfg.step_seconds)
-    held = (df.filter(inside).groupBy("segment_id")
-            .agg(*[F.min_by(c, F.struct("ts", "ingest_seq")).alias(f"held_{c}") for c in VALUE_COLUMNS]).withColumn("is_held", F.lit(True)))
-    stuck = df.join(held, "segment_id", "left").withColumn("in_block", F.coalesce("is_held", F.lit(False)) & inside)
-    return stuck.withColumns({c: F.when(F.col("in_block"), F.col(f"held_{c}")).otherwise(F.col(c)) for c in VALUE_COLUMNS}).select(df.columns)
-
-
-def scenario_readings(readings: DataFrame, cfg: Settings, kinds=KINDS) -> DataFrame:
-    """The clean and every corrupted version in one table, told apart by a prefix of the segment id: the same jobs then run once for
-    all scenarios."""
-    versions = [readings.withColumn("scenario", F.lit("clean"))] + [corrupt(readings, k, cfg).withColumn("scenario", F.lit(k)) for k in kinds]
-    return reduce(DataFrame.unionByName, versions)
+        v |= {c: F.when(draw(f"negative-{c}", seq) < rate / 3, -F.abs(v[c])).otherwise(v[c]) for c in ("speed_kmh", "flow_vph", "occupancy_pct")}
+    order = digest("shuffle", seq, 15) if on("shuffle") else seq
+    row = F.struct(F.lit(kind).alias("scenario"), order.alias("ingest_seq"), *[x.alias(c) for c, x in v.items()])
+    return F.when(draw("drop", own) >= rate, row) if on("missing") else row
+
+
+def scenario_readings(readings: DataFrame, cfg: Settings, kinds=KINDS, rate: float = RATE) -> DataFrame:
+    """The clean and every corrupted version of the readings, in one pass, told apart by ``scenario``."""
+    rows = readings.withColumn("in_block", stuck_block(cfg))
+    held = rows.filter("in_block").groupBy("segment_id").agg(*[F.min_by(c, F.struct("ts", "ingest_seq")).alias(f"held_{c}") for c in VALUE_COLUMNS])
+    seq = F.col("ingest_seq")
+    again = draw("again", seq) < rate
+    entries = [F.struct(F.lit("clean").alias("scenario"), seq.alias("ingest_seq"), *VALUE_COLUMNS)]
+    for kind in kinds:
+        entries.append(version(kind, seq, rate))
+        if kind in ("duplicates", "combined"):
+            entries.append(F.when(again, version(kind, seq + F.lit(COPY), rate)))
+    return rows.join(held, "segment_id", "left").select("segment_id", "ts", "sensor_quality", F.inline(F.array_compact(F.array(*entries))))
 
 
 def prefixed(df: DataFrame, columns=("segment_id",)) -> DataFrame:

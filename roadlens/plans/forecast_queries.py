@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
-from ..conf import FORECAST_METRICS
+from ..conf import FORECAST_METRICS, VALUE_COLUMNS
 from ..functions import slots
 from ..operators import detect, diagnose, evaluate, forecast, robustness
 from ..sources.workspace import fresh_path, written
 from ..streaming import live
 from .corridor_queries import RANKING_SQL, STATS
 from .detect_queries import _BN, _CENTRES, _EVENTS, _RUNS, _SHAPES, TYPE_SQL
+from .oracle_views import VIEWS
 from .registry import query
 
 # ---- forecasts
@@ -189,20 +191,54 @@ SELECT *, precision_at_k * k AS hits_at_k FROM ({RANKING_SQL.format(kind="'throu
 
 
 # ---- robustness
-def _corruption_counts(c):
-    noisy = robustness.scenario_readings(c.readings, c.cfg)
-    return noisy.groupBy("scenario").agg(
+def _draw(salt: str, key: str) -> str:
+    return f"(('0x' || substr(md5('{salt}-7-' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+def _version_sql(kind: str, seq: str) -> str:
+    on = lambda name: kind in (name, "combined")
+    v = {c: c for c in VALUE_COLUMNS}
+    if on("missing"):
+        v = {c: f"CASE WHEN {_draw(f'null-{c}', 'ingest_seq')} >= 0.025::DOUBLE THEN {x} END" for c, x in v.items()}
+    if on("spikes"):
+        v["flow_vph"] = f"CASE WHEN {_draw('flow', seq)} < 0.01::DOUBLE THEN ({v['flow_vph']}) * (4 + 4 * {_draw('flow-size', seq)}) + 2000 ELSE {v['flow_vph']} END"
+        v["occupancy_pct"] = f"CASE WHEN {_draw('occupancy', seq)} < 0.01::DOUBLE THEN 120 + 180 * {_draw('occupancy-size', seq)} ELSE {v['occupancy_pct']} END"
+    if on("stuck"):
+        v = {c: f"CASE WHEN in_block THEN held_{c} ELSE {x} END" for c, x in v.items()}
+    if on("negatives"):
+        v |= {c: f"CASE WHEN {_draw(f'negative-{c}', seq)} < 0.05::DOUBLE / 3 THEN -abs({v[c]}) ELSE {v[c]} END" for c in ("speed_kmh", "flow_vph", "occupancy_pct")}
+    order = f"('0x' || substr(md5('shuffle-7-' || CAST({seq} AS VARCHAR)), 1, 15))::BIGINT" if on("shuffle") else seq
+    lost = f"{_draw('drop', 'ingest_seq')} >= 0.05::DOUBLE" if on("missing") else "true"
+    again = f" AND {_draw('again', 'ingest_seq')} < 0.05::DOUBLE" if seq != "ingest_seq" else ""
+    return f"SELECT segment_id, ts, sensor_quality, '{kind}' AS scenario, {order} AS ingest_seq, " + ", ".join(f"{x} AS {c}" for c, x in v.items()) + f" FROM blocked WHERE {lost}{again}"
+
+
+_SCENARIOS = ("clean", *robustness.KINDS)
+_BEGIN = f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 6 HOUR * CAST(floor({_draw('stuck-at', 'segment_id')} * 95) AS BIGINT)"
+_NOISY = {
+    "blocks": f"SELECT *, {_draw('stuck', 'segment_id')} < 0.05::DOUBLE AND ts BETWEEN {_BEGIN} AND {_BEGIN} + INTERVAL 138 HOUR AS in_block FROM readings",
+    "held": "SELECT segment_id, " + ", ".join(f"{c} AS held_{c}" for c in VALUE_COLUMNS)
+            + " FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY ts, ingest_seq) AS rn FROM blocks WHERE in_block) WHERE rn = 1",
+    "blocked": "SELECT * FROM blocks LEFT JOIN held USING (segment_id)",
+    "noisy": " UNION ALL ".join([_version_sql("clean", "ingest_seq"), *[_version_sql(k, "ingest_seq") for k in robustness.KINDS],
+                                 *[_version_sql(k, "(ingest_seq + 1099511627776)") for k in ("duplicates", "combined")]])}
+query("corruption_counts", "scenario:s rows:i null_speed:i negative_flow:i occupancy_over_100:i cells:i", """
+SELECT scenario, count(*) AS rows, count(*) FILTER (speed_kmh IS NULL) AS null_speed, count(*) FILTER (flow_vph < 0) AS negative_flow,
+  count(*) FILTER (occupancy_pct > 100) AS occupancy_over_100, count(DISTINCT (segment_id, ts)) AS cells FROM noisy GROUP BY 1""", **_NOISY)(
+    lambda c: robustness.scenario_readings(c.readings, c.cfg).groupBy("scenario").agg(
         F.count("*").alias("rows"), F.count_if(F.col("speed_kmh").isNull()).alias("null_speed"), F.count_if(F.col("flow_vph") < 0).alias("negative_flow"),
-        F.count_if(F.col("occupancy_pct") > 100).alias("occupancy_over_100"), F.countDistinct("segment_id", "ts").alias("cells"))
+        F.count_if(F.col("occupancy_pct") > 100).alias("occupancy_over_100"), F.countDistinct("segment_id", "ts").alias("cells")))
 
 
-query("corruption_counts", "scenario:s rows:i null_speed:i negative_flow:i occupancy_over_100:i cells:i")(_corruption_counts)
+def _targets(cfg):
+    """Every metric at the first horizon, speed and congestion at the last."""
+    first, last = min(cfg.horizons), max(cfg.horizons)
+    return [("speed", first), ("flow", first), ("congestion", first), ("speed", last), ("congestion", last)]
 
 
 def _robustness(c):
-    cfg = c.cfg
-    panels = robustness.scenario_panels(c.readings, c.segments, cfg)
-    panels = written(panels, "scenario_panels")
+    cfg, keys = c.cfg, ["pipeline", "scenario"]
+    panels = written(robustness.scenario_panels(c.readings, c.segments, cfg), "scenario_panels")
     rows = robustness.per_scenario(panels, c.segments)
     static = c.segments.select(F.col("segment_id").alias("base_id"), "free_flow_speed_kmh", "capacity_vph")
     ratios = detect.with_daytype(rows.join(static, "base_id").withColumns({
@@ -211,24 +247,75 @@ def _robustness(c):
     drops = ratios.withColumn("hour", F.hour("ts").cast("long")).join(base, ["base_id", "hour", "daytype"], "left").withColumn("drop", F.col("sr_med") - F.col("speed_ratio"))
     shift = detect.network_shift(drops.withColumn("cell_ts", F.col("ts")).withColumn("ts", F.struct("pipeline", "scenario", "cell_ts")))
     shift = shift.select(F.col("ts.pipeline").alias("pipeline"), F.col("ts.scenario").alias("scenario"), F.col("ts.cell_ts").alias("ts"), "net_shift")
-    local = drops.join(shift, ["pipeline", "scenario", "ts"], "left").withColumn("local_drop", F.coalesce(F.col("drop") - F.col("net_shift"), F.lit(0.0)))
-    local = written(local.select("pipeline", "scenario", "base_id", "ts", "local_drop", "speed_kmh", "quality"), "scenario_drops")
-    beside = local.select("pipeline", "scenario", F.col("base_id").alias("neighbor_id"), "ts", F.col("local_drop").alias("n_drop"))
+    local = drops.join(shift, [*keys, "ts"], "left").withColumn("local_drop", F.coalesce(F.col("drop") - F.col("net_shift"), F.lit(0.0)))
+    local = written(local.select(*keys, "base_id", "ts", "local_drop", "quality"), "scenario_drops")
+    beside = local.select(*keys, F.col("base_id").alias("neighbor_id"), "ts", F.col("local_drop").alias("n_drop"))
     around = (c.edges.select(F.col("segment_id").alias("base_id"), "neighbor_id").join(beside, "neighbor_id")
-              .groupBy("pipeline", "scenario", "base_id", "ts").agg(F.max("n_drop").alias("neighbor_max_drop")))
-    flagged = (local.join(around, ["pipeline", "scenario", "base_id", "ts"], "left").withColumn("neighbor_max_drop", F.coalesce("neighbor_max_drop", F.lit(0.0)))
+              .groupBy(*keys, "base_id", "ts").agg(F.max("n_drop").alias("neighbor_max_drop")))
+    flagged = (local.join(around, [*keys, "base_id", "ts"], "left").withColumn("neighbor_max_drop", F.coalesce("neighbor_max_drop", F.lit(0.0)))
                .withColumn("score", detect.score("drop_epicentre")).withColumn("anomalous", F.col("score") >= cfg.threshold).withColumnRenamed("base_id", "segment_id"))
-    keys = ["pipeline", "scenario"]
+    span = lambda df: slots.within(df, slots.at(cfg.val_start), slots.at(cfg.val_end), cfg)
     prf = evaluate.slot_level(flagged, c.incident_mask, c.roadwork_mask, cfg.val_start, cfg.val_end, cfg, keys)
-    target = c.recorded.filter("metric = 'speed' AND horizon_min = 360").select("segment_id", "ts", "actual")
-    span = flagged.filter(F.col("ts").between(slots.at(cfg.val_start), slots.at(cfg.val_end)))
-    errors = span.join(target, ["segment_id", "ts"]).groupBy(*keys).agg(F.avg(F.abs(F.col("speed_kmh") - F.col("actual"))).alias("mae"), F.avg("quality").alias("quality"))
-    sure = (span.join(c.incident_mask, ["segment_id", "ts"]).groupBy(*keys)
-            .agg(F.avg(detect.confidence(F.col("score"), cfg.threshold, F.col("quality"))).alias("confidence")))
-    return prf.join(errors, keys).join(sure, keys, "left")
-
-
-query("robustness", "pipeline:s scenario:s tp:i fp:i fn:i f1:d fp_per_day:d mae:d quality:d confidence:d")(_robustness)
+    scored = span(flagged)
+    mean = scored.groupBy(*keys).agg(F.avg("quality").alias("quality"))
+    sure = scored.join(c.incident_mask, ["segment_id", "ts"]).groupBy(*keys).agg(F.avg(detect.confidence(F.col("score"), cfg.threshold, F.col("quality"))).alias("confidence"))
+    incidents = c.in_validation(c.incidents)
+    found = (detect.label_slots(incidents, cfg, ("incident_id",)).join(flagged.filter("anomalous").select(*keys, "segment_id", "ts"), ["segment_id", "ts"])
+             .groupBy(*keys).agg(F.countDistinct("incident_id").alias("found")))
+    ahead = span(forecast.daily_change(panels, cfg))
+    ahead = robustness.per_scenario(ahead, c.segments).join(c.recorded.select(F.col("segment_id").alias("base_id"), "ts", "metric", "horizon_min", "actual"), ["base_id", "ts", "metric", "horizon_min"])
+    error, columns = F.abs(F.col("p50") - F.col("actual")), []
+    for metric, horizon in _targets(cfg):
+        is_it = (F.col("metric") == metric) & (F.col("horizon_min") == horizon)
+        columns += [F.avg(F.when(is_it, error)).alias(f"mae_{metric}_{horizon}"), F.avg(F.when(is_it, error.isNotNull().cast("double"))).alias(f"coverage_{metric}_{horizon}")]
+    errors = ahead.groupBy(*keys).agg(*columns)
+    return (prf.join(mean, keys).join(errors, keys).join(sure, keys, "left").join(found, keys, "left")
+            .withColumns({"found": F.coalesce("found", F.lit(0)), "incidents": F.lit(incidents.count())}))
+
+
+# the same steps as for the readings themselves, over segment ids that name their scenario
+_OF = lambda view: re.sub(r"\b(readings|segments|dedup|cells|same0|runs0|judged|panel)\b", r"sc_\1", VIEWS[view])
+_PARTS = "*, split_part(segment_id, '|', 1) AS scenario, split_part(segment_id, '|', 2) AS base_id"
+_ROBUST = {**_NOISY, **FC,
+    "sc_readings": "SELECT * REPLACE (scenario || '|' || segment_id AS segment_id) FROM noisy",
+    "sc_segments": "SELECT k.scenario || '|' || segment_id AS segment_id, free_flow_speed_kmh, capacity_vph FROM segments, (VALUES " + ", ".join(f"('{k}')" for k in _SCENARIOS) + ") k(scenario)",
+    **{f"sc_{v}": _OF(v) for v in ("dedup", "cells", "same0", "runs0", "judged", "panel")},
+    "sc_last": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, ts ORDER BY ingest_seq DESC) AS rn FROM sc_readings) WHERE rn = 1",
+    "sc_naive": "SELECT g.segment_id, t.ts, " + ", ".join(f"l.{c}" for c in VALUE_COLUMNS) + """, l.speed_kmh IS NOT NULL AS valid,
+  avg(CASE WHEN l.speed_kmh IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY g.segment_id ORDER BY t.ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS quality
+FROM sc_segments g CROSS JOIN slots t LEFT JOIN sc_last l ON l.segment_id = g.segment_id AND l.ts = t.ts""",
+    "sc_all": f"SELECT 'sanitized' AS pipeline, {_PARTS} FROM sc_panel UNION ALL SELECT 'naive', {_PARTS} FROM sc_naive",
+    "sc_drops": """
+SELECT p.*, b.sr_med - p.speed_kmh / s.free_flow_speed_kmh AS drop FROM sc_all p JOIN segments s ON s.segment_id = p.base_id LEFT JOIN context x ON x.ts = p.ts
+LEFT JOIN baseline b ON b.segment_id = p.base_id AND b.hour = hour(p.ts) AND b.daytype = CASE WHEN isodow(p.ts) >= 6 OR x.holiday_flag > 0 THEN 1 ELSE 0 END""",
+    "sc_shift": "SELECT pipeline, scenario, ts, greatest(median(drop), 0) AS net_shift FROM sc_drops GROUP BY ALL HAVING count(drop) > 0",
+    "sc_local": "SELECT d.pipeline, d.scenario, d.base_id, d.ts, d.quality, coalesce(drop - net_shift, 0) AS local_drop FROM sc_drops d LEFT JOIN sc_shift USING (pipeline, scenario, ts)",
+    "sc_near": "SELECT l.pipeline, l.scenario, e.segment_id AS base_id, l.ts, max(l.local_drop) AS top FROM edges e JOIN sc_local l ON l.base_id = e.neighbor_id GROUP BY ALL",
+    "sc_flags": """
+SELECT *, score >= 0.2::DOUBLE AS anomalous FROM (SELECT l.pipeline, l.scenario, l.base_id AS segment_id, l.ts, l.quality,
+  CASE WHEN l.local_drop >= coalesce(n.top, 0) THEN l.local_drop ELSE 0 END AS score FROM sc_local l LEFT JOIN sc_near n USING (pipeline, scenario, base_id, ts))""",
+    "sc_span": """
+SELECT f.*, i.ts IS NOT NULL AS label, w.ts IS NOT NULL AS works FROM sc_flags f LEFT JOIN inc_mask i ON i.segment_id = f.segment_id AND i.ts = f.ts
+LEFT JOIN rw_slots w ON w.segment_id = f.segment_id AND w.ts = f.ts WHERE f.ts BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-01-30 18:00:00'""",
+    "sc_prf": """
+SELECT pipeline, scenario, count(*) FILTER (NOT works AND anomalous AND label) AS tp, count(*) FILTER (NOT works AND anomalous AND NOT label) AS fp, count(*) FILTER (NOT works AND NOT anomalous AND label) AS fn,
+  avg(quality) AS quality, avg((1 / (1 + exp(-(score - 0.2::DOUBLE) / (0.25::DOUBLE * 0.2::DOUBLE)))) * quality) FILTER (label) AS confidence FROM sc_span GROUP BY ALL""",
+    "sc_found": """
+SELECT pipeline, scenario, count(DISTINCT incident_id) AS found FROM sc_flags f JOIN inc_slots i ON i.segment_id = f.segment_id AND i.ts = f.ts
+WHERE f.anomalous AND i.start_time >= TIMESTAMP '2024-01-25 00:00:00' GROUP BY ALL""",
+    "sc_ahead": " UNION ALL ".join(
+        f"SELECT pipeline, scenario, base_id, ts, '{m}' AS metric, {h} AS horizon_min, coalesce({x} + lag({x}, {4 - k}) OVER w - lag({x}, 4) OVER w, {x}) AS p50 "
+        "FROM sc_all WINDOW w AS (PARTITION BY pipeline, segment_id ORDER BY ts)" for m, x in _M for h, k in _H),
+    "sc_errors": "SELECT pipeline, scenario, " + ", ".join(
+        f"avg(abs(p50 - actual)) FILTER (a.metric = '{m}' AND a.horizon_min = {h}) AS mae_{m}_{h}, "
+        f"avg(CASE WHEN p50 - actual IS NOT NULL THEN 1 ELSE 0 END) FILTER (a.metric = '{m}' AND a.horizon_min = {h}) AS coverage_{m}_{h}" for m, h in (("speed", 360), ("flow", 360), ("congestion", 360), ("speed", 1080), ("congestion", 1080)))
+        + """ FROM sc_ahead a JOIN fc0 f ON f.segment_id = a.base_id AND f.ts = a.ts AND f.metric = a.metric AND f.horizon_min = a.horizon_min
+WHERE a.ts BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-01-30 18:00:00' GROUP BY ALL"""}
+_TARGET_COLUMNS = " ".join(f"mae_{m}_{h}:d coverage_{m}_{h}:d" for m, h in (("speed", 360), ("flow", 360), ("congestion", 360), ("speed", 1080), ("congestion", 1080)))
+query("robustness", f"pipeline:s scenario:s tp:i fp:i fn:i f1:d fp_per_day:d found:i incidents:i quality:d confidence:d {_TARGET_COLUMNS}", """
+SELECT p.*, e.* EXCLUDE (pipeline, scenario), CASE WHEN tp > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1, fp / 6::DOUBLE AS fp_per_day, coalesce(found, 0) AS found,
+  (SELECT count(*) FROM inc_val) AS incidents
+FROM sc_prf p JOIN sc_errors e ON e.pipeline = p.pipeline AND e.scenario = p.scenario LEFT JOIN sc_found f ON f.pipeline = p.pipeline AND f.scenario = p.scenario""", **_ROBUST)(_robustness)
 
 
 # ---- streams: each result is written by a streaming query over the event files, then read back
