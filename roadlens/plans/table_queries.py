@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import slots
@@ -64,11 +66,42 @@ def _written_panel(c):
 
 query("panel_by_date", "segment_id:s ts:t speed_kmh:d valid:b quality:d", """
 SELECT segment_id, ts, speed_kmh, valid, quality FROM panel WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 12:00:00'""")(_written_panel)
-query("same_network_check", "differing_rows:i", """
-SELECT (SELECT count(*) FROM (SELECT segment_id, lanes FROM segments EXCEPT SELECT segment_id, lanes + structural_bottleneck FROM segments))
-  + (SELECT count(*) FROM (SELECT segment_id, lanes + structural_bottleneck FROM segments EXCEPT SELECT segment_id, lanes FROM segments)) AS differing_rows""")(
-    lambda c: tables.network_difference(c.segments.select("segment_id", "lanes"),
-                                        c.segments.select("segment_id", (F.col("lanes") + F.col("structural_bottleneck")).alias("lanes"))))
+_NETWORK_COLUMNS = "segment_id, source_node, target_node, road_class, lanes, free_flow_speed_kmh, capacity_vph, length_km, grade_pct, importance, signal_id, structural_bottleneck, peak_capacity_factor"
+_OTHER = _NETWORK_COLUMNS.replace(" lanes,", " lanes + structural_bottleneck AS lanes,")
+_DIFFERING = f"""(SELECT count(*) FROM (SELECT {_NETWORK_COLUMNS} FROM segments EXCEPT SELECT {_OTHER} FROM segments))
+  + (SELECT count(*) FROM (SELECT {_OTHER} FROM segments EXCEPT SELECT {_NETWORK_COLUMNS} FROM segments))"""
+
+
+def _other_network(c):
+    """The city with one more lane on its structural bottlenecks: what a split from another network looks like."""
+    return c.segments.withColumn("lanes", F.col("lanes") + F.col("structural_bottleneck"))
+
+
+query("same_network_check", "network:s differing_rows:i", f"""
+SELECT 'own' AS network, 0 AS differing_rows UNION ALL SELECT 'other', {_DIFFERING}""")(
+    lambda c: tables.network_difference(c.segments, c.segments).withColumn("network", F.lit("own")).unionByName(
+        tables.network_difference(c.segments, _other_network(c)).withColumn("network", F.lit("other"))))
+
+
+def _imported(c):
+    """Both splits are imported, the later one twice; then a split that belongs to another network comes along."""
+    root = fresh_path(c.spark, "imported")
+    same = {"segments": (c.segments, c.segments), "nodes": (c.nodes, c.nodes)}
+    early, late = c.up_to(c.readings, c.cfg.train_end), c.readings.filter(F.col("ts") > slots.at(c.cfg.train_end))
+    reports = [tables.import_split(root, "train", early, same, c.cfg)]
+    tables.import_split(root, "validation", late, same, c.cfg)
+    reports.append(tables.import_split(root, "validation", late, same, c.cfg))
+    reports.append(tables.import_split(root, "other", late, {**same, "segments": (c.segments, _other_network(c))}, c.cfg))
+    there = tables.splits(c.spark, root)
+    sums = there.groupBy("split").agg(F.count("*").alias("stored"), F.sum("ingest_seq").alias("check_sum"))
+    report = reduce(DataFrame.unionByName, reports)
+    return report.join(tables.overlapping_splits(there), "split", "left").join(sums, "split", "left")
+
+
+query("import_splits", "split:s status:s rows:i differing_rows:i first:t last:t overlaps:b stored:i check_sum:i", f"""
+SELECT *, rows AS stored FROM (SELECT CASE WHEN ts <= TIMESTAMP '2024-01-24 18:00:00' THEN 'train' ELSE 'validation' END AS split, 'imported' AS status, count(*) AS rows, 0 AS differing_rows,
+  min(ts) AS first, max(ts) AS last, false AS overlaps, sum(ingest_seq) AS check_sum FROM readings GROUP BY 1)
+UNION ALL SELECT 'other', 'refused', 0, {_DIFFERING}, NULL, NULL, NULL, NULL, NULL""")(_imported)
 
 
 def _checksums(c):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..conf import Settings
 from ..functions import slots
 
 _READINGS = ("timestamp TIMESTAMP, segment_id STRING, source_node STRING, target_node STRING, speed_kmh DOUBLE, flow_vph DOUBLE, "
@@ -87,10 +89,38 @@ def assert_same_network(a: DataFrame, b: DataFrame) -> None:
         raise ValueError(f"the new split was recorded on another network: {differing} differing rows")
 
 
-def add_split(readings: DataFrame, split: DataFrame, network: DataFrame, split_network: DataFrame) -> DataFrame:
-    """The readings with one more split, after checking that it belongs to the same network."""
-    assert_same_network(network, split_network)
-    return readings.unionByName(split)
+def import_split(root: str, split: str, rows: DataFrame, network: dict, cfg: Settings) -> DataFrame:
+    """Adds or replaces one split of the readings below ``root``, if it was recorded on the same network.
+
+    ``network`` holds (known, new) per network table; they are compared in all columns. A split on another network is refused and nothing is written.
+    Otherwise the rows are staged, partitioned by period, and only then take the place of the split's former ones: a job that fails half-way leaves the
+    split as it was, other splits are not touched, and importing twice changes nothing. Returns one row (split, status, rows, differing_rows).
+    """
+    spark = rows.sparkSession
+    differing = {name: network_difference(known, new).first()["differing_rows"] for name, (known, new) in network.items()}
+    if any(differing.values()):
+        return spark.createDataFrame([(split, "refused", 0, sum(differing.values()))], "split string, status string, rows long, differing_rows long")
+    staged, place = f"{root}/_staged-{uuid.uuid4().hex[:12]}", f"{root}/split={split}"
+    rows.withColumn(slots.PERIOD, slots.period("ts", cfg)).write.mode("error").partitionBy(slots.PERIOD).option("compression", "zstd").parquet(staged)
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path(place), True)
+    if not files.rename(path(staged), path(place)):
+        raise OSError(f"could not move {staged} to {place}")
+    n = spark.read.schema(rows.schema).parquet(place).count()
+    return spark.createDataFrame([(split, "imported", n, 0)], "split string, status string, rows long, differing_rows long")
+
+
+def splits(spark: SparkSession, root: str) -> DataFrame:
+    """All imported splits; ``split`` and the period are directories, so a reader skips what it does not ask for."""
+    return spark.read.parquet(root)
+
+
+def overlapping_splits(rows: DataFrame) -> DataFrame:
+    """(split, first, last, overlaps): whether a split begins before one that starts earlier has ended. One row per split is all that is ordered."""
+    spans = rows.groupBy("split").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    before = Window.partitionBy(F.lit(0)).orderBy("first", "split").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("overlaps", F.coalesce(F.max("last").over(before) >= F.col("first"), F.lit(False)))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
