@@ -189,14 +189,15 @@ SELECT route_id, zone_no, min(idx) AS first_seed, max(idx) AS last_seed, count(*
       SELECT route_id, idx, bottleneck_score, count(*) FILTER (bottleneck_score IS NULL) OVER (PARTITION BY route_id ORDER BY idx) AS missing FROM records)
     WHERE bottleneck_score >= 50 WINDOW w AS (PARTITION BY route_id ORDER BY idx))) GROUP BY ALL"""
 query("corridor_zones", "route_id:s zone_no:i first_seed:i last_seed:i seeds:i", "SELECT * FROM zns", zns=_ZONES, **RECORDS)(lambda c: c.zones)
-query("zone_first_extent", "route_id:s zone_no:i first_idx:i last_idx:i gain:d", """
+_FIRST = """
 SELECT route_id, zone_no, a AS first_idx, e AS last_idx, gain FROM (
   SELECT *, row_number() OVER (PARTITION BY route_id, zone_no ORDER BY gain DESC, a, e) AS rn FROM (
     SELECT z.route_id, z.zone_no, a.idx AS a, e.idx AS e, round(sum(m.bottleneck_score - 25), 6) AS gain
     FROM zns z JOIN records a ON a.route_id = z.route_id AND a.idx BETWEEN z.first_seed - 3 AND z.last_seed
     JOIN records e ON e.route_id = z.route_id AND e.idx BETWEEN a.idx AND z.last_seed + 3 AND e.to_m - a.from_m <= 2000.000001
     JOIN records m ON m.route_id = z.route_id AND m.idx BETWEEN a.idx AND e.idx GROUP BY 1, 2, 3, 4, z.first_seed, z.last_seed
-    HAVING count(*) = count(m.bottleneck_score) AND count(*) FILTER (m.bottleneck_score >= 50 AND m.idx BETWEEN z.first_seed AND z.last_seed) > 0)) WHERE rn = 1""",
+    HAVING count(*) = count(m.bottleneck_score) AND count(*) FILTER (m.bottleneck_score >= 50 AND m.idx BETWEEN z.first_seed AND z.last_seed) > 0)) WHERE rn = 1"""
+query("zone_first_extent", "route_id:s zone_no:i first_idx:i last_idx:i gain:d", "SELECT * FROM firsts", firsts=_FIRST,
       zns=_ZONES, **RECORDS)(lambda c: corridor.first_extents(c.stretch_records, c.zones))
 query("corridor_candidates", "route_id:s cand_no:i first_idx:i last_idx:i seeds:i start_m:d end_m:d rank:i zone:s suitability:d screening:s")(
     lambda c: corridor.ranked_candidates(c.extents, corridor.suitability(c.inside, c.norms)))
@@ -230,10 +231,11 @@ SELECT route_id, coalesce(util >= 70, false) AS because_capacity, n_slow > 0 AS
   (SELECT coalesce(sum(i), 0) FROM (SELECT grid_segment_id, max(incidents) AS i FROM records r WHERE r.route_id = f.route_id GROUP BY 1)) > 0 AS because_incidents
 FROM zone_facts f""", zone_facts=_FACTS, **RECORDS)(lambda c: corridor.explanations(_whole(c)))
 query("route_alternatives", "route_id:s option:s supported:b", """
-SELECT route_id, o.option, o.supported FROM zone_facts, LATERAL (VALUES ('Signal optimization', n_signalised > 0 AND coalesce(worst, 0) >= 10),
+SELECT route_id, o.option, o.supported FROM (SELECT f.*, coalesce(w.n_routes, 0) AS n_routes FROM zone_facts f LEFT JOIN ways w USING (route_id)), LATERAL (VALUES ('Signal optimization', n_signalised > 0 AND coalesce(worst, 0) >= 10),
   ('Intelligent signal control', n_signalised >= 2), ('Junction redesign', junctions >= 3), ('Lane optimization', min_lanes <= 3 AND coalesce(util, 0) >= 80),
-  ('Bus priority', NULL), ('Traffic diversion', true), ('Underpass', NULL)) o(option, supported)""", zone_facts=_FACTS, **RECORDS)(
-    lambda c: corridor.alternatives(_whole(c), c.trips.select("route_id", F.lit(2).alias("n_routes"))))
+  ('Bus priority', NULL), ('Traffic diversion', n_routes >= 2), ('Underpass', NULL)) o(option, supported)""", zone_facts=_FACTS,
+      ways="SELECT route_id, count(*) OVER (PARTITION BY trip_id) AS n_routes FROM (SELECT DISTINCT route_id, trip_id FROM route_nodes)", **RECORDS)(
+    lambda c: corridor.alternatives(_whole(c), corridor.routes_per_trip(c.trips)))
 _CONFIDENCE = """
 SELECT *, round_even((coverage * 0.35::DOUBLE + history * 0.2::DOUBLE + 0.3::DOUBLE * 0.15::DOUBLE + 0.15::DOUBLE + field_completeness * 0.15::DOUBLE) * 100, 0) AS confidence FROM (
 SELECT route_id, sum(CASE WHEN data_status = 'MATCHED' THEN length_m ELSE 0 END) / sum(length_m) AS coverage,
@@ -370,11 +372,44 @@ _IMPACT = " ".join(f"{p}{n}:d" for p in ("", "future_") for n in ("speed_before"
 query("intervention_impact", f"zone_id:s intervention:s {_IMPACT}", "SELECT * FROM iv2", **COMPARE)(_compared)
 query("intervention_scores", "zone_id:s intervention:s applicable:b not_applicable:s built_km:d cost:d traffic_impact:d land_feasibility:d construction_feasibility:d "
       "cost_efficiency:d long_term_impact:d overall:d rank:i", "SELECT * FROM iv5", **COMPARE)(_compared)
-query("intervention_recommendation", "zone_id:s action:s overall:d traffic_impact:d runner_up:s caution:b", """
+_RECOMMENDED = """
 SELECT z.zone_id, CASE WHEN t.overall >= 45 AND t.traffic_impact >= 5 THEN t.intervention ELSE 'none' END AS action, t.overall, t.traffic_impact, r.intervention AS runner_up,
   t.overall >= 45 AND t.traffic_impact >= 5 AND t.congestion_before < 20 AS caution
 FROM (SELECT DISTINCT zone_id FROM iv5) z LEFT JOIN iv5 t ON t.zone_id = z.zone_id AND t.applicable AND t.rank = 1
-LEFT JOIN iv5 r ON r.zone_id = z.zone_id AND r.applicable AND r.rank = 2""", **COMPARE)(lambda c: compare.recommend(_compared(c)))
+LEFT JOIN iv5 r ON r.zone_id = z.zone_id AND r.applicable AND r.rank = 2"""
+query("intervention_recommendation", "zone_id:s action:s overall:d traffic_impact:d runner_up:s caution:b", _RECOMMENDED, **COMPARE)(lambda c: compare.recommend(_compared(c)))
+
+
+# ---- the same comparison on the detected zones
+def _detected(c):
+    """Records inside the best extent of each detected zone, and the lengths of these extents."""
+    inside = corridor.inside_first_extents(c.stretch_records, c.zones)
+    lengths = inside.groupBy("zone_id", "route_id").agg((F.max("to_m") - F.min("from_m")).alias("length_m"))
+    return compare.zone_metrics(inside, lengths.drop("route_id")), lengths.select("zone_id", "route_id")
+
+
+def _compared_zones(c):
+    metrics, of_route = _detected(c)
+    land = _land(c).withColumnRenamed("zone_id", "route_id")
+    return compare.evaluate(metrics, of_route.join(land, "route_id").drop("route_id"))
+
+
+_ZONED = {**COMPARE, "zns": _ZONES, "firsts": _FIRST, "land0": _LAND,
+          "zoned": """
+SELECT r.* REPLACE (z.route_id || '-Z' || CAST(z.zone_no AS VARCHAR) AS route_id, (max(r.to_m) OVER w - min(r.from_m) OVER w) AS total_m), z.route_id AS on_route
+FROM firsts z JOIN records r ON r.route_id = z.route_id AND r.idx BETWEEN z.first_idx AND z.last_idx WINDOW w AS (PARTITION BY z.route_id, z.zone_no)""",
+          "zone_m": _ZM.replace("records", "zoned"),
+          "land": "SELECT d.route_id AS zone_id, l.* EXCLUDE (zone_id) FROM (SELECT DISTINCT route_id, on_route FROM zoned) d JOIN land0 l ON l.zone_id = d.on_route"}
+query("detected_zone_metrics", "zone_id:s length_km:d utilization:d speed:d ff:d volume:d capacity:d min_lanes:i signals:d signal_delay_s:d junctions:i incidents:i growth_pct:d "
+      "congestion_index:d delay_min:d", "SELECT * FROM zone_m", **_ZONED)(lambda c: _detected(c)[0])
+query("detected_zone_impact", f"zone_id:s intervention:s {_IMPACT}", "SELECT * FROM iv2", **_ZONED)(_compared_zones)
+query("detected_zone_scores", "zone_id:s intervention:s applicable:b not_applicable:s built_km:d cost:d traffic_impact:d land_feasibility:d construction_feasibility:d "
+      "cost_efficiency:d long_term_impact:d overall:d rank:i", "SELECT * FROM iv5", **_ZONED)(_compared_zones)
+query("detected_zone_recommendation", "zone_id:s action:s overall:d traffic_impact:d runner_up:s caution:b", _RECOMMENDED, **_ZONED)(lambda c: compare.recommend(_compared_zones(c)))
+query("detected_zone_planning", "zone_id:s candidate_id:s target_segment:s cost_index:i", """
+SELECT DISTINCT z.route_id AS zone_id, k.candidate_id, k.target_segment, k.cost_index FROM zoned z JOIN candidates k ON k.target_segment = z.grid_segment_id""", **_ZONED)(
+    lambda c: corridor.planning_candidates(corridor.inside_first_extents(c.stretch_records, c.zones).withColumn("cand_no", F.col("zone_id")), c.candidates)
+    .withColumn("zone_id", F.col("cand_no")))
 query("intervention_confidence", "route_id:s road_network:d traffic:d overall:d", """
 SELECT route_id, road_network, traffic, round_even(traffic * 0.35::DOUBLE + road_network * 0.2::DOUBLE + 65 * 0.25::DOUBLE + 60 * 0.2::DOUBLE, 0) AS overall FROM (
 SELECT r.route_id, round_even(count(road_name) / count(*) * 100, 0) AS road_network, any_value(k.confidence) AS traffic FROM records r JOIN sure k USING (route_id) GROUP BY 1)""",
