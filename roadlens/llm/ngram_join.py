@@ -13,7 +13,7 @@ Steps, each a Spark job over written tables:
     a longer list only joins its members to the list's plainest member (the pivot), so no list is expanded into pairs of rows;
  4. pairs that share enough prefix tokens, and pivots with their members, form groups of candidates. A group of at most ``CHUNK`` sets is verified
     in one place, so each set moves once. In a larger one the members are compared with their pivots first; what is still apart is compared in chunks
-    against chunks, inside tasks: members of a pivot's group only where their distances to the pivot allow a link, other pairs only between chunks that
+    against chunks, inside tasks: members of a pivot's group unless their chunks are one class by then, other pairs only between chunks that
     hold one. Tasks emit links that span what they connected;
  5. classes: smallest doc_id reachable, by label propagation with pointer jumping.
 
@@ -290,19 +290,17 @@ def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, pivot) with ``linked`` and ``distance`` (one minus the similarity), exact."""
+    """``pairs`` (a, b, pivot) with ``linked``, by whole sets."""
     both = pairs.join(sets.select(F.col("ref").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("ref").alias("b"), F.col("set").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
-            linked, distance = [], []
+            linked = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 both, n, m = overlap(x.as_py(), y.as_py())
                 linked.append(100 * both >= percent * (n + m - both))
-                distance.append(1 - both / (n + m - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())],
-                                             ["a", "b", "pivot", "linked", "distance"])
-    return mapped(both.select("a", "b", "pivot", "x", "y"), run, "a long, b long, pivot boolean, linked boolean, distance double")
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("pivot"), pa.array(linked, pa.bool_())], ["a", "b", "pivot", "linked"])
+    return mapped(both.select("a", "b", "pivot", "x", "y"), run, "a long, b long, pivot boolean, linked boolean")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
@@ -398,23 +396,22 @@ def chunked(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     return rows.join(sizes, keys).withColumn("chunk", F.concat_ws(":", *keys, piece))
 
 
-def within_groups(members: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between members of a pivot's group. ``members``: pivot, ref, distance to the pivot, main (in the pivot's class already).
+def within_groups(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between members of the same pivot's group. ``members``: pivot, ref; ``known``: ref, root (classes that are found already).
 
-    Members are dealt by class and distance into chunks. Two members of the pivot's own class need no comparing, and two whose distances to the
-    pivot differ by more than a link allows cannot be linked (the Jaccard distance is a metric), so only some pairs of chunks meet; of a group that is
-    one class already, none.
+    A ref may lie in the groups of many pivots, but it is dealt into one chunk only, by its smallest pivot and by whether it already is in that
+    pivot's class. Two chunks meet once if any group has members in both, unless both are one class already.
     """
-    reach = 1 - percent / 100 + 1e-9
-    # fixed bands of distance, a tenth of the reach wide
-    step = F.least(F.floor(F.col("distance") / (reach / 10)), F.lit(10_000)).cast("int")
-    members = members.join(members.filter("NOT main").select("pivot").distinct(), "pivot", "left_semi")
-    placed = written(chunked(members.withColumn("step", step), ["pivot", "main", "step"], chunk), "join-bands")
-    chunks = placed.groupBy("pivot", "chunk", "main").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-    x, y = chunks.alias("x"), chunks.alias("y")
-    apart = (F.col("y.low") <= F.col("x.low")) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.chunk") >= F.col("y.chunk")))
-    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & apart & ~(F.col("x.main") & F.col("y.main")) & (F.col("x.low") - F.col("y.high") <= reach))
-    units = written(meet.select(F.monotonically_increasing_id().alias("unit"), F.col("x.chunk").alias("x"), F.col("y.chunk").alias("y")), "join-units")
+    groups = members.unionByName(members.select("pivot", F.col("pivot").alias("ref"))).distinct()
+    root = lambda c, name: known.select(F.col("ref").alias(c), F.col("root").alias(name))
+    homes = groups.groupBy("ref").agg(F.min("pivot").alias("home")).join(root("ref", "own"), "ref", "left").join(root("home", "class"), "home", "left")
+    homes = homes.select("ref", "home", (F.col("ref").eqNullSafe(F.col("home")) | F.coalesce(F.col("own") == F.col("class"), F.lit(False))).alias("main"),
+                         F.coalesce("class", "home").alias("class"))
+    placed = written(chunked(homes, ["home", "main"], chunk), "join-bands")
+    there = groups.join(placed.select("ref", "chunk", "main", "class"), "ref").select("pivot", "chunk", F.when(F.col("main"), F.col("class")).alias("class")).distinct()
+    x, y = there.alias("x"), there.alias("y")
+    meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.chunk") <= F.col("y.chunk")) & ~F.coalesce(F.col("x.class") == F.col("y.class"), F.lit(False)))
+    units = written(meet.select(F.col("x.chunk").alias("x"), F.col("y.chunk").alias("y")).distinct().withColumn("unit", F.monotonically_increasing_id()), "join-units")
     return verified(units, placed, sets, percent)
 
 
@@ -466,10 +463,9 @@ def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, per
         # what the pivots have connected already needs no comparing
         known = written(classes(near), "join-known")
         at = lambda c: known.select(F.col("ref").alias(c), F.col("root").alias(f"{c}_root"))
-        members = checked.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
-            F.col("a").alias("pivot"), F.col("b").alias("ref"), "distance", F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False)).alias("main"))
+        members = checked.select(F.col("a").alias("pivot"), F.col("b").alias("ref"))
         open_pairs = hard.filter("NOT pivot").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
-        inside = inside.unionByName(near).unionByName(within_groups(members, whole, percent, chunk)) \
+        inside = inside.unionByName(near).unionByName(within_groups(members, known, whole, percent, chunk)) \
             .unionByName(between_chunks(open_pairs.select("a", "b"), placed, whole, percent, chunk))
     return written(inside.distinct(), "join-links")
 
