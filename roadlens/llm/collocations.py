@@ -121,19 +121,28 @@ def depth(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
     return 2 + two.astype(np.int64) + (two & hot[columns[3]])
 
 
-def places(columns: list[np.ndarray], hashes: np.ndarray, langs: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    by, out = depth(columns, hot), langs[columns[0]] * _FACTORS[0]
+def places(columns: list[np.ndarray], hashes: np.ndarray, langs: np.ndarray, by) -> np.ndarray:
+    """Hash of the leading ``by`` words of each window."""
+    out = langs[columns[0]] * _FACTORS[0]
     for k in range(1, ORDER + 1):
-        out += np.where(k <= by, hashes[columns[k]] * _FACTORS[k], 0).astype(np.uint64)
+        out += np.where(k <= by, hashes[columns[k]] * _FACTORS[k], np.uint64(0))
     return mixed(out)
 
 
+def counted_once(columns: list[np.ndarray], order_by: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows and how often each occurs, brought together by a hash; should two share one, a row may come twice, which sums allow."""
+    order = np.argsort(order_by)
+    columns = [c[order] for c in columns]
+    first = run_starts(columns)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+
+
 def pack(columns: list[np.ndarray], n: np.ndarray, words: list[bytes], langs: list[str]) -> bytes:
     used, inside = np.unique(np.concatenate(columns[1:]), return_inverse=True)
     own, lang = np.unique(columns[0], return_inverse=True)
     narrow = lambda x: np.asarray(x, np.uint16 if len(used) < 65_536 and len(own) < 65_536 else np.uint32).tobytes()
     lists = [narrow(x) for x in (lang, *np.split(inside, ORDER))]
-    return zstandard.compress(pickle.dumps((b"\n".join([words[i] for i in used.tolist()]), [langs[i] for i in own.tolist()], lists, n.astype(np.uint32).tobytes())), 3)
+    return zstandard.compress(pickle.dumps((b"\n".join([words[i] for i in used.tolist()]), [langs[i] for i in own.tolist()], lists, n.astype(np.uint32).tobytes())), 1)
 
 
 def unpack(data: bytes, ids: Ids, langs: Ids) -> tuple[list[np.ndarray], np.ndarray]:
@@ -152,11 +161,12 @@ def windows(texts: DataFrame, hot: set[bytes], parts: int) -> DataFrame:
         tokens = np.concatenate([t for _, t in held])
         lang = np.repeat([k for k, _ in held], [len(t) for _, t in held])[tokens != 0]
         words, names = list(ids), list(langs)
-        columns, n = summed([lang, *lead(tokens)], np.ones(len(lang), np.int64))
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         own = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=1) for x in names), np.uint64, len(names))
         is_hot = np.fromiter((w in shared.value for w in words), bool, len(words))
-        part = (places(columns, hashes, own, is_hot) % np.uint64(parts)).astype(np.int64)
+        columns = [lang, *lead(tokens)]
+        columns, n = counted_once(columns, places(columns, hashes, own, ORDER))
+        part = (places(columns, hashes, own, depth(columns, is_hot)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, columns, n = part[order], [c[order] for c in columns], n[order]
         first = run_starts([part])
