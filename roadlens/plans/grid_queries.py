@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..conf import SIX_HOURLY
 from ..functions import slots
 from ..operators import features, graph, panel
 from .registry import query
@@ -214,12 +215,35 @@ SELECT segment_id, ts, lead(speed_kmh, 2) OVER w AS target_speed, lead(speed_kmh
   lead(flow_vph, 2) OVER w AS target_flow, lead(flow_vph, 2) OVER w - flow_vph AS delta_flow,
   lead(congestion_index, 2) OVER w AS target_congestion, lead(congestion_index, 2) OVER w - congestion_index AS delta_congestion
 FROM panel WINDOW w AS (PARTITION BY segment_id ORDER BY ts)""")(lambda c: features.labels(c.panel, c.cfg, 2))
-query("feature_matrix", "segment_id:s ts:t n_features:i n_missing:i")(lambda c: _matrix(c))
+_BESIDE = """
+SELECT e.segment_id, n.ts,
+  avg(coalesce(n.congestion_index, 0)) FILTER (direction = 'upstream') AS up_congestion,
+  avg(coalesce(n.congestion_index, 0)) FILTER (direction = 'downstream') AS down_congestion,
+  avg(coalesce(n.speed_ratio, 1)) FILTER (direction = 'upstream') AS up_sr,
+  avg(coalesce(n.speed_ratio, 1)) FILTER (direction = 'downstream') AS down_sr,
+  avg(coalesce(n.flow_vph, 0)) FILTER (direction = 'upstream') AS up_flow
+FROM edges e JOIN ratios n ON n.segment_id = e.neighbor_id GROUP BY ALL"""
+_FEATURES = features.feature_names(SIX_HOURLY)
+_FILLED = {**{f"{m}_now": f"r.{_C[m]}" for m in _T}, "occupancy_now": "r.occupancy_pct", "queue_now": "r.queue_length_veh", "delay_now": "r.delay_min", "vc_now": "r.flow_ratio", "sr_now": "r.speed_ratio",
+           **{n: f"coalesce(b.{n}, 0)" for n in ("up_congestion", "down_congestion", "up_sr", "down_sr", "up_flow")},
+           "hour": "hour(r.ts)", "hour_sin": "sin(hour(r.ts) * 2 * pi() / 24)", "hour_cos": "cos(hour(r.ts) * 2 * pi() / 24)", "target_hour_sin": "sin((hour(r.ts) + 6) * 2 * pi() / 24)",
+           "target_hour_cos": "cos((hour(r.ts) + 6) * 2 * pi() / 24)", "dow": "isodow(r.ts) - 1", "weekend": "CASE WHEN isodow(r.ts) >= 6 THEN 1 ELSE 0 END",
+           "holiday": "coalesce(x.holiday_flag, 0)", "rain": "coalesce(x.rain_intensity, 0)", "temperature": "coalesce(x.temperature_c, (SELECT avg(temperature_c) FROM context))",
+           "event_present": "CASE WHEN coalesce(x.event_level, 0) > 0 THEN 1 ELSE 0 END", "arterial": "CASE WHEN s.road_class = 'arterial' THEN 1 ELSE 0 END", "lanes": "s.lanes",
+           "capacity": "s.capacity_vph", "ff_speed": "s.free_flow_speed_kmh", "length": "s.length_km", "grade": "s.grade_pct", "signalized": "CASE WHEN s.signal_id IS NOT NULL THEN 1 ELSE 0 END",
+           "importance": "s.importance"}
+_MATRIX = "SELECT r.segment_id, r.ts, " + ", ".join(f"CAST({_FILLED.get(n, 'h.' + n)} AS DOUBLE) AS {n}" for n in _FEATURES) + """
+FROM ratios r JOIN history h ON h.segment_id = r.segment_id AND h.ts = r.ts JOIN segments s ON s.segment_id = r.segment_id LEFT JOIN context x ON x.ts = r.ts
+LEFT JOIN beside b ON b.segment_id = r.segment_id AND b.ts = r.ts"""
+query("feature_matrix", "segment_id:s ts:t n_features:i n_missing:i " + " ".join(f"{n}:d" for n in _FEATURES),
+      f"SELECT *, {len(_FEATURES)} AS n_features, " + " + ".join(f"CASE WHEN {n} IS NULL THEN 1 ELSE 0 END" for n in _FEATURES) + " AS n_missing FROM matrix",
+      matrix=_MATRIX, history=_history_sql(), beside=_BESIDE)(lambda c: _matrix(c))
 
 
 def _matrix(c):
+    """What the model sees: every element of the assembled vectors, by the name of its feature."""
     from pyspark.ml.functions import vector_to_array
     rows = features.as_vectors(features.build(c.panel, c.segments, c.context, c.edges, c.cfg, 1), c.cfg)
-    values = vector_to_array("features")
-    return rows.select("segment_id", "ts", F.size(values).alias("n_features"),
-                       F.size(F.filter(values, lambda v: F.isnan(v))).alias("n_missing"))
+    rows = rows.select("segment_id", "ts", vector_to_array("features").alias("v"))
+    present = {n: F.when(~F.isnan(F.col("v")[i]), F.col("v")[i]) for i, n in enumerate(features.feature_names(c.cfg))}
+    return rows.select("segment_id", "ts", F.size("v").alias("n_features"), F.size(F.filter("v", F.isnan)).alias("n_missing"), *[x.alias(n) for n, x in present.items()])
