@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 SF_DIR = f"/root/testdata/sf{os.environ.get('ROADLENS_SF', '0.001')}"
 SAMPLE = ("dedupe_first sanitized_panel sanitizer_report stuck_sensors neighbors legal_turns hops3 lag_features baseline local_drop snapshot_state events cause "
           "propagation recurring_bottlenecks segment_history_stats stretch_matches route_assessment link_states candidate_feasibility residual_bands prf_slots "
-          "profile_long orphans time_gaps parsed_roads stream_slot_means").split()
+          "profile_long orphans time_gaps parsed_roads stream_slot_means detours operational_options neighbor_means corridor_benchmark recommendations "
+          "scenario_kpi_changes robustness import_splits detected_zone_scores feature_matrix as_of_window run_onset").split()
 NAMES = list(entry.queries()) if os.environ.get("ROADLENS_ALL") else SAMPLE
 
 
