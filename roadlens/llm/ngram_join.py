@@ -396,19 +396,23 @@ def chunked(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     return rows.join(sizes, keys).withColumn("chunk", F.concat_ws(":", *keys, piece))
 
 
-def within_groups(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between members of the same pivot's group. ``members``: pivot, ref; ``known``: ref, root (classes that are found already).
+def within_groups(members: DataFrame, known: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between members of the same pivot's group. ``members``: pivot, ref; ``known``: ref, root (classes that are found already);
+    ``roots``: ref, root (groups of candidates).
 
-    A ref may lie in the groups of many pivots, but it is dealt into one chunk only, by its smallest pivot and by whether it already is in that
-    pivot's class. Two chunks meet once if any group has members in both, unless both are one class already.
+    A ref may lie in the groups of many pivots, but it is dealt into one chunk only: refs of a large class among themselves, others by their smallest
+    pivot, several small groups together. Two chunks meet once if any pivot has members in both, unless both are one class already.
     """
     groups = members.unionByName(members.select("pivot", F.col("pivot").alias("ref"))).distinct()
-    root = lambda c, name: known.select(F.col("ref").alias(c), F.col("root").alias(name))
-    homes = groups.groupBy("ref").agg(F.min("pivot").alias("home")).join(root("ref", "own"), "ref", "left").join(root("home", "class"), "home", "left")
-    homes = homes.select("ref", "home", (F.col("ref").eqNullSafe(F.col("home")) | F.coalesce(F.col("own") == F.col("class"), F.lit(False))).alias("main"),
-                         F.coalesce("class", "home").alias("class"))
-    placed = written(chunked(homes, ["home", "main"], chunk), "join-bands")
-    there = groups.join(placed.select("ref", "chunk", "main", "class"), "ref").select("pivot", "chunk", F.when(F.col("main"), F.col("class")).alias("class")).distinct()
+    homes = groups.groupBy("ref").agg(F.min("pivot").alias("home")).join(roots.select("ref", "root"), "ref").join(known.select("ref", F.col("root").alias("own")), "ref", "left")
+    count = lambda df, key, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    homes = homes.join(count(homes.filter("own IS NOT NULL"), "own", "n"), "own", "left").withColumn("class", F.when(F.col("n") >= chunk / 2, F.col("own")))
+    homes = homes.join(count(homes.filter("class IS NULL"), "home", "n_home"), "home", "left")
+    key = F.when(F.col("class").isNotNull(), F.concat(F.lit("class "), "class")).when(F.col("n_home") > chunk, F.concat(F.lit("pivot "), "home")).otherwise(F.concat(F.lit("rest "), "root"))
+    homes = written(homes.select("ref", "home", "class", key.alias("key")), "join-homes")
+    piece = F.pmod(F.xxhash64(F.when(F.startswith("key", F.lit("rest ")), F.col("home")).otherwise(F.col("ref"))), F.ceil(F.col("full") / chunk))
+    placed = written(homes.join(count(homes, "key", "full"), "key").select("ref", "class", F.concat_ws(":", "key", piece).alias("chunk")), "join-bands")
+    there = groups.join(placed, "ref").select("pivot", "chunk", "class").distinct()
     x, y = there.alias("x"), there.alias("y")
     meet = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.chunk") <= F.col("y.chunk")) & ~F.coalesce(F.col("x.class") == F.col("y.class"), F.lit(False)))
     units = written(meet.select(F.col("x.chunk").alias("x"), F.col("y.chunk").alias("y")).distinct().withColumn("unit", F.monotonically_increasing_id()), "join-units")
@@ -465,7 +469,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, per
         at = lambda c: known.select(F.col("ref").alias(c), F.col("root").alias(f"{c}_root"))
         members = checked.select(F.col("a").alias("pivot"), F.col("b").alias("ref"))
         open_pairs = hard.filter("NOT pivot").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
-        inside = inside.unionByName(near).unionByName(within_groups(members, known, whole, percent, chunk)) \
+        inside = inside.unionByName(near).unionByName(within_groups(members, known, placed, whole, percent, chunk)) \
             .unionByName(between_chunks(open_pairs.select("a", "b"), placed, whole, percent, chunk))
     return written(inside.distinct(), "join-links")
 
