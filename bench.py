@@ -14,10 +14,10 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 TABLES = ("panel", "edges", "reach", "baseline", "components", "bottlenecks", "diagnosed", "calibration", "segment_stats", "stretch_records", "sample_states")
 HEADLINE = ("dedupe_first", "sanitized_panel", "sanitizer_report", "lag_features", "neighbor_means", "hops3", "legal_turns", "baseline", "local_drop",
-            "snapshot_state", "events", "cause", "evidence", "snapshot_summary", "threshold_sweep", "prf_slots", "propagation", "propagation_evaluation",
+            "snapshot_state", "events", "cause", "evidence", "snapshot_summary", "threshold_sweep", "detector_calibration", "prf_slots", "propagation", "propagation_evaluation",
             "residual_bands", "forecast_metrics", "segment_history_stats", "stretch_matches", "corridor_summary", "route_assessment", "route_ranking",
             "candidate_evaluation", "intervention_scores", "numeric_stats", "orphans", "profile_long", "detours", "operational_options", "corridor_candidates",
-            "stream_sanitised", "stream_slot_means", "robustness")
+            "recommendations", "scenario_kpi_changes", "detected_zone_scores", "stream_sanitised", "stream_slot_means", "robustness")
 
 
 def main() -> None:
