@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.workspace import written
-from .ngram_join import classes, confirmed
+from .ngram_join import checking_sql, classes, confirmed
 from .text import WordHashes, column, mapped, mixed, read, shingle_set, words
 
 BANDS, ROWS = 32, 7
@@ -113,3 +113,6 @@ def deduplicated(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame
 
 def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = checking_sql(3, 85, ", t.doc_id IS NOT DISTINCT FROM m.component_id AS kept")

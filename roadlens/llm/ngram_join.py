@@ -510,6 +510,21 @@ def joined(docs: DataFrame, size: int, percent: int, short: int = SHORT_LIST, ch
         .select("doc_id", "row", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
 
 
+def checking_sql(size: int, percent: int, more: str = "") -> str:
+    """The same classes by comparing every pair that shares a shingle: for small tables."""
+    return rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - {size} + 2), lambda i: array_to_string(list_slice(ws, i, i + {size} - 1), ' ')) END) AS shingle FROM t),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE 100 * common >= {percent} * (a.n + b.n - common)),
+r AS (SELECT id, id AS root FROM t UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+m AS (SELECT r.id, min(t.doc_id) AS component_id FROM r JOIN t ON t.id = r.root GROUP BY r.id)
+SELECT t.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id{more} FROM t JOIN m USING (id) LEFT JOIN c USING (id)
+"""
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85).select("doc_id", "n_shingles", "component_id")
 

@@ -10,8 +10,9 @@ from .divergence import ORACLE as DIVERGENCE_SQL
 from .divergence import op13_source_divergence
 from .html import op6_html
 from .katz import op10_katz
+from .minhash import ORACLE as MINHASH_SQL
 from .minhash import op11_minhash_dedup
-from .ngram_join import op1_ngram_join
+from .ngram_join import checking_sql, op1_ngram_join
 from .packing import op7_packing
 from .pii import op5_pii
 from .rules import op3_quality_rules
@@ -20,7 +21,7 @@ from .warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_classifier, op5_pii, op6_html, op7_packing, op8_decontamination, op9_warc, op10_katz,
                                   op11_minhash_dedup, op12_collocations, op13_source_divergence)}
-ORACLES: dict[str, str] = {"op12_collocations": COLLOCATIONS_SQL, "op13_source_divergence": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": checking_sql(4, 85), "op11_minhash_dedup": MINHASH_SQL, "op12_collocations": COLLOCATIONS_SQL, "op13_source_divergence": DIVERGENCE_SQL}
 
 
 def queries() -> dict:
