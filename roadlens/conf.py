@@ -6,6 +6,7 @@ Every operator takes a ``Settings`` value, so the same code runs on the 5-minute
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 # Thresholds, weights and bounds that results depend on.
 STATES = (("NORMAL", 0.85), ("MODERATE", 0.70), ("HEAVY", 0.50), ("CRITICAL", 0.0))
@@ -51,16 +52,29 @@ LEVEL_OF_STATE = {"NORMAL": "free_flow", "MODERATE": "moderate", "HEAVY": "heavy
 ROUTE_LABELS = ("Recommended route", "Alternative", "Second alternative", "Third alternative")
 NEAREST_PER_CATEGORY = 12
 
+
+class Intervention(NamedTuple):
+    """One way to relieve a zone; a capacity gain of None is that of one more lane, at most ``gain_cap``."""
+
+    intervention: str
+    fixed_gain: float | None
+    gain_cap: float | None
+    signal_removal: float
+    demand_shift: float
+    land_need: float
+    base_construction: float
+    sensitivity: float
+    unit_cost: float
+
+
 # Interventions compared for a zone.
-# id: capacity gain (None = one more lane), gain cap, signal removal, demand shift, land need, base construction, difficulty
-#     sensitivity, unit cost
 INTERVENTIONS = (
-    ("flyover", 0.35, None, 0.80, 0.0, 0.35, 70.0, 25.0, 120.0),
-    ("road_extension", 0.28, None, 0.0, 0.0, 1.0, 80.0, 15.0, 45.0),
-    ("road_widening", None, 0.5, 0.0, 0.0, 0.8, 78.0, 15.0, 35.0),
-    ("junction_redesign", 0.10, None, 0.25, 0.0, 0.3, 85.0, 10.0, 8.0),
-    ("signal_optimization", 0.05, None, 0.20, 0.0, 0.0, 95.0, 2.0, 0.5),
-    ("traffic_diversion", 0.0, None, 0.0, 0.10, 0.0, 90.0, 0.0, 1.0),
+    Intervention("flyover", fixed_gain=0.35, gain_cap=None, signal_removal=0.80, demand_shift=0.0, land_need=0.35, base_construction=70.0, sensitivity=25.0, unit_cost=120.0),
+    Intervention("road_extension", fixed_gain=0.28, gain_cap=None, signal_removal=0.0, demand_shift=0.0, land_need=1.0, base_construction=80.0, sensitivity=15.0, unit_cost=45.0),
+    Intervention("road_widening", fixed_gain=None, gain_cap=0.5, signal_removal=0.0, demand_shift=0.0, land_need=0.8, base_construction=78.0, sensitivity=15.0, unit_cost=35.0),
+    Intervention("junction_redesign", fixed_gain=0.10, gain_cap=None, signal_removal=0.25, demand_shift=0.0, land_need=0.3, base_construction=85.0, sensitivity=10.0, unit_cost=8.0),
+    Intervention("signal_optimization", fixed_gain=0.05, gain_cap=None, signal_removal=0.20, demand_shift=0.0, land_need=0.0, base_construction=95.0, sensitivity=2.0, unit_cost=0.5),
+    Intervention("traffic_diversion", fixed_gain=0.0, gain_cap=None, signal_removal=0.0, demand_shift=0.10, land_need=0.0, base_construction=90.0, sensitivity=0.0, unit_cost=1.0),
 )
 SAVING_TOLERANCE_VEH_H = 0.1  # a saving below this is within the noise of the figures
 EXTENSION_LENGTH_FACTOR, MAX_JUNCTIONS, STRUCTURE_COST_SHARE = 0.7, 6, 0.01

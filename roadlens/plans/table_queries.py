@@ -160,7 +160,13 @@ query("normalised_places", "poi_id:s category:s name:s lat:d lon:d address:s", "
 
 # ---- profiles
 _COLS = {"readings": ("ts:t segment_id:s ingest_seq:n speed_kmh:n flow_vph:n occupancy_pct:n delay_min:n queue_length_veh:n congestion_index:n sensor_quality:n"),
-         "nodes": "node_id:n x:g y:g lat:g lon:g", "roadworks": "work_id:s segment_id:s start_time:t end_time:t closure_fraction:n work_type:s"}
+         "nodes": "node_id:n x:g y:g lat:g lon:g", "roadworks": "work_id:s segment_id:s start_time:t end_time:t closure_fraction:n work_type:s",
+         "segments": "segment_id:s source_node:n target_node:n road_class:s lanes:n free_flow_speed_kmh:n capacity_vph:n length_km:n grade_pct:s importance:n signal_id:s structural_bottleneck:n "
+                     "peak_capacity_factor:n",
+         "signals": "signal_id:s node_id:n cycle_s:n green_ratio:n", "turn_restrictions": "node_id:n from_segment:s to_segment:s restriction:s",
+         "incidents": "incident_id:s segment_id:s start_time:t end_time:t incident_type:s severity:n lanes_blocked:n",
+         "context": "ts:t temperature_c:n rain_intensity:n event_level:n holiday_flag:n", "od_demand": "origin_node:n destination_node:n base_demand_vph:n",
+         "candidates": "candidate_id:s target_segment:s intervention_type:s capacity_delta_vph:n cost_index:n feasibility_band:s", "pois": "poi_id:s name:s category:s lat:g lon:g"}
 
 
 def _profile_sql() -> str:
@@ -179,7 +185,7 @@ def _profile_sql() -> str:
 
 
 query("profile_long", "dataset:s column:s metric:s value:d", _profile_sql())(
-    lambda c: quality.union_all([quality.profile(c.readings, "readings"), quality.profile(c.nodes, "nodes"), quality.profile(c.roadworks, "roadworks")]))
+    lambda c: quality.union_all(quality.profile(getattr(c, name).select(*[x.split(":")[0] for x in spec.split()]), name) for name, spec in _COLS.items()))
 query("duplicate_rows", "dataset:s duplicates:i", " UNION ALL ".join(
     f"SELECT '{n}' AS dataset, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {n})) AS duplicates FROM {n}" for n in ("readings", "incidents", "roadworks", "candidates", "segments")))(
     lambda c: quality.union_all(quality.duplicate_rows(getattr(c, n), n) for n in ("readings", "incidents", "roadworks", "candidates", "segments")))
