@@ -462,12 +462,14 @@ def confirmed(docs: DataFrame, reps: DataFrame, asked: DataFrame, size: int, per
     if not large.isEmpty():
         whole = sets_of(texts.filter("large"), size)
         hard = written(asked.join(large, "a", "left_semi"), "join-hard")
-        checked = written(compared(hard.filter("pivot"), whole, percent), "join-checked")
+        # each member is compared with one pivot first; what else its groups may hold meets by chunks
+        stars = hard.filter("pivot")
+        checked = written(compared(stars.groupBy("b").agg(F.min("a").alias("a"), F.lit(True).alias("pivot")), whole, percent), "join-checked")
         near = checked.filter("linked").select("a", "b")
         # what the pivots have connected already needs no comparing
         known = written(classes(near), "join-known")
         at = lambda c: known.select(F.col("ref").alias(c), F.col("root").alias(f"{c}_root"))
-        members = checked.select(F.col("a").alias("pivot"), F.col("b").alias("ref"))
+        members = stars.select(F.col("a").alias("pivot"), F.col("b").alias("ref"))
         open_pairs = hard.filter("NOT pivot").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
         inside = inside.unionByName(near).unionByName(within_groups(members, known, placed, whole, percent, chunk)) \
             .unionByName(between_chunks(open_pairs.select("a", "b"), placed, whole, percent, chunk))
