@@ -176,6 +176,15 @@ def representatives(rows: DataFrame) -> DataFrame:
 POSTING = np.dtype([("token", "<u8"), ("ref", "<i8"), ("plain", "<f4"), ("level", "u1"), ("shared", "u1")])
 
 
+def entries_packed(e: np.ndarray) -> bytes:
+    """By byte planes: numbers and weights of a document repeat, only tokens do not shrink."""
+    return zlib.compress(np.ascontiguousarray(e.view(np.uint8).reshape(-1, POSTING.itemsize).T).tobytes(), 1)
+
+
+def entries_unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(POSTING.itemsize, -1).T).view(POSTING).reshape(-1)
+
+
 def levels(n: int, length: int, percent: int) -> np.ndarray:
     """The smallest l whose l-prefix holds each place of a prefix."""
     return np.maximum(np.arange(1, length + 1) - (n - int(needed(n, percent))), 1)
@@ -202,14 +211,14 @@ def postings(rows: DataFrame, parts: int, percent: int) -> DataFrame:
             edges = np.flatnonzero(np.diff(part[order])) + 1
             groups = np.split(every[order], edges)
             yield pa.RecordBatch.from_arrays([pa.array([int(g["token"][0] % np.uint64(parts)) for g in groups], pa.int32()),
-                                              pa.array([zlib.compress(g.tobytes(), 1) for g in groups], pa.binary())], ["part", "entries"])
+                                              pa.array([entries_packed(g) for g in groups], pa.binary())], ["part", "entries"])
     return mapped(own.select("ref", "n", "shared", "plain", "tokens"), run, "part int, entries binary")
 
 
 def met(packed: DataFrame, short: int = SHORT_LIST) -> DataFrame:
     """Rows (a, b, matches, least, pivot): pairs with how many tokens they share here, or members ``b`` of the group of pivot ``a``."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), POSTING) for batch in batches for x in batch.column("entries")])
+        e = np.concatenate([entries_unpacked(x.as_py()) for batch in batches for x in batch.column("entries")])
         e = e[np.lexsort((e["ref"], e["token"]))]
         e = e[np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["ref"][1:] != e["ref"][:-1]))]
         first = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1]))
