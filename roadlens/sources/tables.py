@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..conf import Settings
 from ..functions import slots
+from .workspace import shipped
 
 _READINGS = ("timestamp TIMESTAMP, segment_id STRING, source_node STRING, target_node STRING, speed_kmh DOUBLE, flow_vph DOUBLE, "
              "occupancy_pct DOUBLE, travel_time_min DOUBLE, free_flow_time_min DOUBLE, delay_min DOUBLE, queue_length_veh DOUBLE, "
@@ -123,11 +126,84 @@ def overlapping_splits(rows: DataFrame) -> DataFrame:
     return spans.withColumn("overlaps", F.coalesce(F.max("last").over(before) >= F.col("first"), F.lit(False)))
 
 
+# Fixed value: files that Spark's text reader would unpack.
+PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz|passthrough)$"
+CHUNK_BYTES = 1 << 16
+
+
+def _chunks(batches):
+    """Lines (path, start, size, value) of one part of a file after another as numbered chunks; each line ends with its newline again."""
+    at, number = None, 0
+    for batch in batches:
+        path, start, size = (batch.column(c).to_pylist() for c in ("path", "start", "size"))
+        lines, first = batch.column("value").to_pylist(), 0
+        while first < len(lines):
+            key, end = (path[first], start[first]), first + 1
+            while end < len(lines) and start[end] == key[1] and path[end] == key[0]:
+                end += 1
+            if key != at:
+                at, number = key, 0
+            data = b"\n".join(lines[first:end]) + b"\n"
+            cut = [data[k:k + CHUNK_BYTES] for k in range(0, len(data), CHUNK_BYTES)]
+            n = len(cut)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(range(number, number + n), pa.int64()),
+                                              pa.array([size[first]] * n, pa.int64()), pa.array(cut, pa.binary())], ["path", "start", "number", "size", "data"])
+            number, first = number + n, end
+
+
+def _digest(path: str, size: int, total: int, plain, marked) -> str:
+    """The hash of a file of which ``total`` bytes were read, its last newline (held back so far) included."""
+    if size - total not in (0, -1, 3, 2):
+        raise ValueError(f"read {total} bytes of {path}, which has {size}")
+    found = plain if size <= total else marked  # the reader drops a byte order mark
+    if size - total in (0, 3):
+        found.update(b"\n")
+    return found.hexdigest()
+
+
+def _digests(batches):
+    """(path, sha256) from chunks in the order of their file; what is held is one chunk and the state of the hash."""
+    path = size = total = plain = marked = None
+    for batch in batches:
+        out = []
+        for p, s, data in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), batch.column("data")):
+            data = data.as_buffer()
+            if p != path:
+                if path is not None:
+                    out.append((path, _digest(path, size, total, plain, marked)))
+                path, size, total, plain, marked, held = p, s, 0, hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf"), b""
+            last = data[-1:].to_pybytes() if data.size else b""
+            now = memoryview(data)[:-1] if last == b"\n" else memoryview(data)
+            for h in (plain, marked):
+                h.update(held)
+                h.update(now)
+            held, total = last if last == b"\n" else b"", total + data.size
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["path", "sha256"])
+    if path is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([_digest(path, size, total, plain, marked)])], ["path", "sha256"])
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, bytes) of every file below a directory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"),
-                        F.col("length").alias("bytes"))
+    """(file, sha256, bytes) of every file below a directory, however large.
+
+    A file is read in parts by many tasks, line by line and byte for byte; its chunks are sorted (which spills) and then hashed in order by one
+    task, since SHA-256 cannot be put together from parts. Only compressed files, which Spark's text reader would unpack, are read as a whole.
+    """
+    shipped(spark)
+    reader = lambda: spark.read.option("recursiveFileLookup", True)
+    files = reader().format("binaryFile").load(path).withColumn("key", F.col("_metadata.file_path"))
+    packed = F.col("_metadata.file_name").rlike(PACKED)
+    lines = reader().option("lineSep", "\n").text(path).filter(~packed).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("value"))
+    chunks = lines.mapInArrow(_chunks, "path string, start long, number long, size long, data binary")
+    ordered = chunks.repartition("path").sortWithinPartitions("path", "start", "number")
+    whole = files.filter(packed).select("key", F.sha2("content", 256).alias("sha256"))
+    found = ordered.mapInArrow(_digests, "path string, sha256 string").withColumnRenamed("path", "key").unionByName(whole)
+    return files.select("path", "key", "length").join(found, "key", "left").select(
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        # a byte order mark alone has no line
+        F.coalesce("sha256", F.when(F.col("length") == 3, F.sha2(F.lit(b"\xef\xbb\xbf"), 256))).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def changed_files(now: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Rank statistics, tiles, periods, detours, imports and scenarios: results against plain computations, and plans that must hold at scale."""
 
+import gzip
+import hashlib
 import random
 import re
 
@@ -140,3 +142,20 @@ def test_scratch_removes_what_is_not_kept(spark):
     assert stays.count() == 5
     fs = spark._jvm.org.apache.hadoop.fs.Path(gone.inputFiles()[0]).getFileSystem(spark._jsc.hadoopConfiguration())
     assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(gone.inputFiles()[0]))
+
+
+def test_checksums_read_files_in_parts(spark, tmp_path):
+    files = {"mark_alone": b"\xef\xbb\xbf", "mark": b"\xef\xbb\xbfa\nb", "mark_end": b"\xef\xbb\xbfa\r\nb\n", "ends": b"a\r\n\r\r\n\n", "plain": b"x", "nul": bytes(200_000) + b"\n" + bytes(range(256)) * 3000,
+             "text.gz": gzip.compress(b"hi\n" * 9), "a b%20": "ü\n".encode() * 70_000}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    # a file longer than this must not be read as one value
+    limits = {"spark.sql.files.maxPartitionBytes": "50000", "spark.sql.sources.binaryFile.maxLength": "100"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        found = tables.checksums(spark, str(tmp_path)).collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert {(r.file, r.sha256, r.bytes) for r in found} == {(n, hashlib.sha256(d).hexdigest(), len(d)) for n, d in files.items()}
