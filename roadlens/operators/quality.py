@@ -153,13 +153,20 @@ def incomplete_slots(df: DataFrame) -> DataFrame:
     return per.withColumn("expected", every).filter(F.col("reporting") != F.col("expected"))
 
 
-def label_check(labels: DataFrame, actual: DataFrame, horizon_minutes: int, reference: str) -> DataFrame:
-    """Do the labels of one horizon (segment_id, ts, target) equal what ``actual`` (segment_id, ts, value) holds that much later?"""
-    later = actual.select("segment_id", slots.shift("ts", -horizon_minutes).alias("ts"), "value")
+def label_check(labels: DataFrame, actual: DataFrame, horizons, references) -> DataFrame:
+    """Do the labels (segment_id, ts, horizon_min, target) equal what ``actual`` (reference, segment_id, ts, value) holds that much later?
+
+    One row per horizon and reference, from one join for all of them. Both sides grow with the cells, and the size of their compressed files tells
+    little about that, so neither is broadcast.
+    """
+    later = labels.withColumn("ts", F.col("ts") + F.make_dt_interval(mins=F.col("horizon_min")))
     off = F.abs(F.col("target") - F.col("value"))
-    return labels.join(later, ["segment_id", "ts"]).agg(
-        F.lit(horizon_minutes).alias("horizon_min"), F.lit(reference).alias("reference"), F.count("*").alias("joined"), F.count_if(off < 0.001).alias("exact"),
-        F.avg(off).alias("mean_abs_diff"), F.max(off).alias("max_abs_diff"))
+    found = later.join(actual.hint("merge"), ["segment_id", "ts"]).groupBy("horizon_min", "reference").agg(
+        F.count("*").alias("joined"), F.count_if(off < 0.001).alias("exact"), F.avg(off).alias("mean_abs_diff"), F.max(off).alias("max_abs_diff"))
+    every = labels.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon_min"), F.array(*[F.lit(r) for r in references]).alias("references")) \
+        .select("horizon_min", F.explode("references").alias("reference"))
+    return every.join(found, ["horizon_min", "reference"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("joined", "exact")})
 
 
 def value_listing(df: DataFrame, dataset: str, columns) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import slots
 from ..operators import graph, quality
 from ..sources import routing, tables
-from ..sources.workspace import fresh_path
+from ..sources.workspace import fresh_path, written
 from .corridor_queries import GEO
 from .registry import query
 
@@ -270,11 +270,14 @@ SELECT * FROM (SELECT ts, count(DISTINCT segment_id) AS reporting, (SELECT count
 
 def _label_check(c):
     """Each horizon has its own label: the reading that long after, by time. Held against the readings and against the sanitised panel."""
-    raw = c.raw_cells.filter(F.col("speed_kmh").isNotNull()).select("segment_id", "ts", F.col("speed_kmh").alias("value"))
-    panel = c.panel.select("segment_id", "ts", F.col("speed_kmh").alias("value"))
-    anchors = c.raw_cells.filter("copies IS NOT NULL").select("segment_id", "ts")
-    label = lambda m: anchors.join(raw.select("segment_id", slots.shift("ts", -m).alias("ts"), F.col("value").alias("target")), ["segment_id", "ts"])
-    return quality.union_all(quality.label_check(label(m), actual, m, name) for m in c.cfg.horizons for name, actual in (("readings", raw), ("panel", panel)))
+    cells = written(c.raw_cells.filter("copies IS NOT NULL").select("segment_id", "ts", "speed_kmh"), "arrived")
+    raw = cells.filter(F.col("speed_kmh").isNotNull())
+    anchors = cells.select("segment_id", "ts", F.explode(F.array(*[F.lit(m) for m in c.cfg.horizons])).alias("horizon_min"))
+    ahead = anchors.withColumn("at", F.col("ts") + F.make_dt_interval(mins=F.col("horizon_min")))
+    labels = ahead.join(raw.select("segment_id", F.col("ts").alias("at"), F.col("speed_kmh").alias("target")).hint("merge"), ["segment_id", "at"]).drop("at")
+    value = lambda df, name: df.select(F.lit(name).alias("reference"), "segment_id", "ts", F.col("speed_kmh").alias("value"))
+    actual = value(raw, "readings").unionByName(value(c.panel, "panel"))
+    return quality.label_check(labels, actual, c.cfg.horizons, ("readings", "panel"))
 
 
 query("label_check", "horizon_min:i reference:s joined:i exact:i mean_abs_diff:d max_abs_diff:d", " UNION ALL ".join(f"""

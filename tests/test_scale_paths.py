@@ -8,12 +8,12 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import HOUR, SMALL, at
+from test_operators import COLS, HOUR, SMALL, at
 
 from roadlens.conf import SIX_HOURLY
 from roadlens.functions import columns, slots
 from roadlens.functions.quantiles import quantiles, with_counts_below
-from roadlens.operators import corridor, features, graph, panel, robustness, whatif
+from roadlens.operators import corridor, features, graph, panel, quality, robustness, whatif
 from roadlens.plans.city import city
 from roadlens.sources import tables
 from roadlens.sources.workspace import fresh_path, scratch, written
@@ -159,3 +159,23 @@ def test_checksums_read_files_in_parts(spark, tmp_path):
         for k in limits:
             spark.conf.unset(k)
     assert {(r.file, r.sha256, r.bytes) for r in found} == {(n, hashlib.sha256(d).hexdigest(), len(d)) for n, d in files.items()}
+
+
+def test_labels_of_all_horizons_are_checked_in_one_join(spark):
+    labels = [("a", at(0), 360, 1.0), ("a", at(0), 720, 2.0), ("a", at(0), 720, 2.0), ("b", at(360), 360, None), ("c", at(0), 360, 5.0)]
+    actual = [("readings", "a", at(360), 1.0), ("readings", "a", at(720), 2.5), ("panel", "a", at(720), None), ("panel", "b", at(720), 3.0)]
+    found = quality.label_check(spark.createDataFrame(labels, "segment_id string, ts timestamp, horizon_min int, target double"),
+                                spark.createDataFrame(actual, "reference string, segment_id string, ts timestamp, value double"), (360, 720, 1080), ("readings", "panel"))
+    got = {(r.horizon_min, r.reference): (r.joined, r.exact, r.mean_abs_diff, r.max_abs_diff) for r in found.collect()}
+    assert got == {(360, "readings"): (1, 1, 0.0, 0.0), (360, "panel"): (1, 0, None, None), (720, "readings"): (2, 0, 0.5, 0.5), (720, "panel"): (2, 0, None, None),
+                   (1080, "readings"): (0, 0, None, None), (1080, "panel"): (0, 0, None, None)}
+    # the cells meet once, by a sort and not in the driver's memory
+    plan = plan_of(found).split("Initial Plan")[-1]
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Scan ExistingRDD") == 2
+
+
+def test_cells_are_not_broadcast(spark):
+    readings = spark.createDataFrame([("a", at(0), 1, 30.0, 100.0, 5.0, 0.0, 0.0, 0.1, 1.0)], COLS)
+    segments = spark.createDataFrame([("a", 50.0, 900.0)], "segment_id string, free_flow_speed_kmh double, capacity_vph double")
+    plan = plan_of(panel.cells(readings, segments, HOUR))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
