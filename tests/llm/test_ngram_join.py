@@ -102,3 +102,22 @@ def test_classes_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = ngram_join.classes(edges).collect()
     assert len(got) == 201 and all(r.root == 0 for r in got)
+
+
+def test_members_of_a_star_wait_for_their_pivot(spark, monkeypatch):
+    """Refs that are below nobody take no part in the rounds, however many pivots they have met."""
+    rng, went = random.Random(4), []
+    edges = [(p, 100 + i) for i in range(300) for p in rng.sample(range(6), 3)] + [(7 + i, 8 + i) for i in range(9)] + [(50, 60), (60, 50), (61, 61)]
+    edges += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
+    rounds = ngram_join._rounds
+    monkeypatch.setattr(ngram_join, "_rounds", lambda df: went.append({frozenset((r.a, r.b)) for r in df.collect()}) or rounds(df))
+    got = {r.ref: r.root for r in ngram_join.classes(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nearest = {v: v for e in edges for v in e}
+    for _ in nearest:
+        before = dict(nearest)
+        for a, b in edges:
+            nearest[a] = nearest[b] = min(nearest[a], nearest[b])
+        if before == nearest:
+            break
+    assert got == nearest
+    assert not any(100 <= v < 400 for e in went[0] for v in e)
