@@ -56,6 +56,30 @@ def test_words_are_tokenized_as_the_whole_text(text):
     assert list(np.frombuffer(packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).of(text) , "<u4")) == ids(text)[:-1]
 
 
+def test_plain_words_do_not_take_the_whole_tokenizer():
+    """Letters up to U+00FF are cut and merged part by part, with the ids of the whole tokenizer, and known words are not asked for again."""
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250)) if c != 0xAD]
+    rng, memory = random.Random(3), packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["".join(rng.choice(letters[:94] + letters[94 + 30:94 + 95] * 2) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts += letters + [f"a{c}b {c}{c}" for c in letters] + ["Éléphant l'Été", "GROẞE größe", "naïve d'ÿ ÷×", "«Où»"]
+    assert all(list(np.frombuffer(memory.of(text), "<u4")) == ids(text)[:-1] for text in texts)
+
+    class Refused:
+        def encode(self, *_, **__):
+            raise AssertionError("the whole tokenizer was asked")
+    fresh = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    fresh.tokenizer = Refused()
+    for text in ["Élan, ça où?", "Straße größer", "año Ñandú"]:
+        assert list(np.frombuffer(fresh.of(text), "<u4")) == ids(text)[:-1]
+
+
+def test_forgotten_words_come_back_the_same(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 2)
+    memory = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = "one two three, été one “two” two. 三 one"
+    assert list(np.frombuffer(memory.of(text), "<u4")) == ids(text)[:-1] and len(memory) <= 2
+
+
 def test_fillings_are_closest():
     rng = random.Random(5)
     for _ in range(300):
