@@ -67,19 +67,25 @@ def scenario_readings(readings: DataFrame, cfg: Settings, kinds=KINDS, rate: flo
 
 
 def prefixed(df: DataFrame, columns=("segment_id",)) -> DataFrame:
-    return df.withColumns({c: F.concat_ws("|", F.col("pipeline"), F.col("scenario"), F.col(c)) for c in columns})
+    by = [F.col(c) for c in ("pipeline", "scenario") if c in df.columns]
+    return df.withColumns({c: F.concat_ws("|", *by, F.col(c)) for c in columns})
 
 
 def scenario_panels(readings: DataFrame, segments: DataFrame, cfg: Settings, kinds=KINDS) -> DataFrame:
-    """Sanitised and naive panels of every scenario; segment ids read pipeline|scenario|segment."""
-    noisy = scenario_readings(readings, cfg, kinds)
+    """Sanitised and naive panels of every scenario; segment ids read pipeline|scenario|segment.
+
+    Both pipelines look at one grid, which holds the first and the last arrival of each cell: noise is drawn, collapsed, laid on the grid and
+    sorted by time once.
+    """
     names = F.explode(F.array(*[F.lit(k) for k in ("clean", *kinds)]))
-    out = []
-    for name, job in (("sanitized", panel.sanitized), ("naive", panel.naive)):
-        rows = prefixed(noisy.withColumn("pipeline", F.lit(name))).drop("pipeline", "scenario")
-        segs = prefixed(segments.withColumn("pipeline", F.lit(name)).withColumn("scenario", names)).drop("pipeline", "scenario")
-        out.append(job(rows, segs, cfg))
-    return out[0].unionByName(out[1])
+    rows = prefixed(scenario_readings(readings, cfg, kinds)).drop("scenario")
+    segs = prefixed(segments.withColumn("scenario", names)).drop("scenario")
+    checked = panel.filled(panel.judged(panel.cells(rows, segs, cfg, keep="both")), cfg)
+    known = F.col("last_speed_kmh").isNotNull()
+    checked = checked.withColumn("last_quality", F.avg(known.cast("double")).over(panel.over_time(cfg, 1 - cfg.quality_slots)))
+    both = [F.struct(F.lit("sanitized").alias("pipeline"), *VALUE_COLUMNS, "valid", "quality"),
+            F.struct(F.lit("naive").alias("pipeline"), *[F.col(f"last_{c}").alias(c) for c in VALUE_COLUMNS], known.alias("valid"), F.col("last_quality").alias("quality"))]
+    return prefixed(checked.select("segment_id", "ts", F.inline(F.array(*both)))).drop("pipeline")
 
 
 def per_scenario(df: DataFrame, segments: DataFrame) -> DataFrame:

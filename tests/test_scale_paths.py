@@ -135,6 +135,24 @@ def test_noise_does_not_depend_on_the_order(spark):
     assert 0.9 * clean < a["missing"][0] < clean < a["duplicates"][0] < 1.1 * clean and a["shuffle"][0] == clean
 
 
+def test_both_pipelines_share_one_noisy_grid(spark):
+    readings = spark.createDataFrame([(s, at(5 * t), 100 * k + t, None if t == 2 else 30.0 + t, 100.0 * t, 5.0, 0.0, 0.0, 0.1, 1.0)
+                                      for k, s in enumerate(("a", "b")) for t in (0, 1, 1, 2, 4)] + [("a", at(5), 900, 77.0, 9.0, 5.0, 0.0, 0.0, 0.1, 0.1)], COLS)
+    segments = spark.createDataFrame([("a", 50.0, 900.0), ("b", 60.0, 900.0), ("c", 60.0, 900.0)], "segment_id string, free_flow_speed_kmh double, capacity_vph double")
+    found = robustness.scenario_panels(readings, segments, HOUR, ("shuffle", "combined"))
+    # readings meet the grid once, for both pipelines
+    assert len(re.findall(r"SortMergeJoin \[segment_id#\d+, ts#", plan_of(found).split("Initial Plan")[-1])) == 1
+    noisy = robustness.scenario_readings(readings, HOUR, ("shuffle", "combined"))
+    got = sorted(map(str, found.collect()))
+    want = []
+    for kind in ("clean", "shuffle", "combined"):
+        mine = noisy.filter(F.col("scenario") == kind).drop("scenario")
+        for name, job in (("sanitized", panel.sanitized), ("naive", panel.naive)):
+            want += map(str, job(mine, segments, HOUR).withColumn("segment_id", F.concat(F.lit(f"{name}|{kind}|"), "segment_id")).select(found.columns).collect())
+    assert got == sorted(want) and len(got) == 3 * 2 * segments.count() * readings.sparkSession.range(1).select(
+        F.size(slots.slot_range(slots.at(HOUR.start), slots.at(HOUR.end), HOUR))).first()[0]
+
+
 def test_fixed_decimals(spark):
     df = spark.createDataFrame([(0.005,), (1.999,), (-0.25,), (12.0,), (None,), (-0.0001,)], "x double")
     assert [r[0] for r in df.select(columns.decimals("x")).collect()] == ["0.01", "2.00", "-0.25", "12.00", None, "0.00"]
