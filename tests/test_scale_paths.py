@@ -16,7 +16,7 @@ from roadlens.functions.quantiles import quantiles, with_counts_below
 from roadlens.operators import corridor, features, graph, panel, quality, robustness, whatif
 from roadlens.plans.city import city
 from roadlens.sources import tables
-from roadlens.sources.workspace import fresh_path, scratch, written
+from roadlens.sources.workspace import bucketed, fresh_path, scratch, written
 
 
 def plan_of(df):
@@ -153,6 +153,17 @@ def test_both_pipelines_share_one_noisy_grid(spark):
         F.size(slots.slot_range(slots.at(HOUR.start), slots.at(HOUR.end), HOUR))).first()[0]
 
 
+def test_buckets_follow_the_rows(spark):
+    """A task takes one bucket of all directories: what it holds must not grow with the table."""
+    df = spark.createDataFrame([(f"s{k}", k % 3) for k in range(30)], "segment_id string, week int")
+    for by in ((), ("week",)):
+        for rows, wanted in ((1, 8), (6_000_000, 24), (36_000_000, 144)):
+            table = bucketed(df, "buckets", ["segment_id"], ["segment_id"], rows, by=by)
+            found = plan_of(table.groupBy("segment_id").count())
+            assert re.search(rf"SelectedBucketsCount: {wanted} out of {wanted}", found) and "Exchange" not in found, (rows, by)
+            assert table.count() == 30
+
+
 def test_fixed_decimals(spark):
     df = spark.createDataFrame([(0.005,), (1.999,), (-0.25,), (12.0,), (None,), (-0.0001,)], "x double")
     assert [r[0] for r in df.select(columns.decimals("x")).collect()] == ["0.01", "2.00", "-0.25", "12.00", None, "0.00"]
