@@ -121,3 +121,12 @@ def test_members_of_a_star_wait_for_their_pivot(spark, monkeypatch):
             break
     assert got == nearest
     assert not any(100 <= v < 400 for e in went[0] for v in e)
+
+
+def test_texts_are_merged_at_every_size(spark):
+    texts = spark.createDataFrame([(1, "a b"), (None, "c"), (2, "d"), (2, "e")], "doc_id long, text string").alias("d")
+    wanted = spark.createDataFrame([(10, 10, False, b"x", 1), (11, 10, False, b"y", None), (12, 12, True, b"z", 2)], "ref long, root long, large boolean, print binary, doc_id long")
+    found = ngram_join.texts_at(texts, wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.ref, r.root, r.large, r.text) for r in found.collect()) == [(10, 10, False, "a b"), (11, 10, False, "c"), (12, 12, True, "d"), (12, 12, True, "e")]
