@@ -1,6 +1,7 @@
 """The n-gram Jaccard join against all pairs."""
 
 import random
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from roadlens.llm import ngram_join
 from roadlens.llm.text import words
+from roadlens.sources.workspace import scratch, shared_dir
 
 
 def shingles(text, size):
@@ -130,3 +132,34 @@ def test_texts_are_merged_at_every_size(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert sorted((r.ref, r.root, r.large, r.text) for r in found.collect()) == [(10, 10, False, "a b"), (11, 10, False, "c"), (12, 12, True, "d"), (12, 12, True, "e")]
+
+
+def test_copies_in_many_tasks_are_listed_once(spark, monkeypatch):
+    """Equal sets are listed, and so paired, by one number alone, however many tasks have met them."""
+    rng, went = random.Random(3), []
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(30)]
+    rows = [(1000 * k + i, t) for k in range(9) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(9, "doc_id")
+    postings = ngram_join.postings
+    monkeypatch.setattr(ngram_join, "postings", lambda own, *a: went.append(own.filter("number IS NOT NULL").count()) or postings(own, *a))
+    got = ngram_join.joined(df, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert went == [30]
+    assert sorted((tuple(r) for r in got), key=str) == truth(rows, 4, 85)
+
+
+def test_intermediates_and_shuffles_go(spark):
+    """Of tables the result alone is left, and no shuffle of a job inside; the session's own setting is found again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    top = Path(shared_dir(spark).removeprefix("file:")) / "roadlens" / spark.sparkContext.applicationId
+    there, before = {p.name for p in top.glob("*")}, spark.conf.get(setting, None)
+    df = spark.createDataFrame([(i, f"a b c d e f g {i % 7}") for i in range(50)], "doc_id long, text string").repartition(3)
+    found = ngram_join.joined(df, 4, 85)
+    left = {p.name for p in top.glob("*")} - there
+    assert len(left) == 1 and left.pop().startswith("join-joined") and spark.conf.get(setting, None) == before
+    assert found.count() == 50
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: shuffles.getAllFiles().mkString("|").count("shuffle_")
+    many = files()
+    with scratch(spark):
+        assert df.groupBy("text").count().count() == 7 and df.groupBy("doc_id").count().count() == 50
+    assert files() <= many
