@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from roadlens.conf import Settings
 from roadlens.functions import columns, geo
 from roadlens.functions.quantiles import order_bucket, quantiles
-from roadlens.operators import compare, corridor, detect, features, graph, panel, rider, routes, whatif
+from roadlens.operators import compare, corridor, detect, features, forecast, graph, panel, rider, routes, whatif
 from roadlens.plans.city import city
 from roadlens.sources import tables
 
@@ -231,3 +231,20 @@ def test_hot_plans_have_no_cartesian_product(spark):
                graph.neighbor_means(features.with_ratios(c.panel, c.segments), c.edges), whatif.shortlist(c.reach, c.segments, c.candidates)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_every_feasible_candidate_is_ranked(spark):
+    """As many candidates as lie within two hops, however many share a target; the infeasible ones and those farther away are left out."""
+    segments = spark.createDataFrame([("A", 1, 2, None), ("B", 2, 3, "S1"), ("C", 3, 1, None)], "segment_id string, source_node long, target_node long, signal_id string")
+    reach = spark.createDataFrame([("A", "B", 1, "downstream"), ("A", "C", 3, "downstream")], "segment_id string, reached_id string, hop long, direction string")
+    rows = [(f"a{k}", "A", "capacity", 100 * (k - 4), 10 + k, "high") for k in range(9)] + [(f"b{k}", "B", "signal_retiming", 50, 5, "low") for k in range(8)]
+    rows += [("a-signal", "A", "signal_retiming", 50, 1, "high"), ("c0", "C", "capacity", 50, 1, "high")]
+    candidates = spark.createDataFrame(rows, "candidate_id string, target_segment string, intervention_type string, capacity_delta_vph long, cost_index long, feasibility_band string")
+    cases = spark.createDataFrame([("A", at(0), "HEAVY", True)], "segment_id string, ts timestamp, state string, anomalous boolean")
+    links = spark.createDataFrame([(s, at(0), 900.0, 1000.0, 0.01, 0, 1.0, 0.02, 0.9, 0.5) for s in "ABC"],
+                                  "segment_id string, ts timestamp, flow double, cap double, free_h double, cycle long, green double, time_h double, vc double, length_km double")
+    edges = spark.createDataFrame([("A", "B")], "segment_id string, neighbor_id string")
+    tried = whatif.within_reach(reach, segments, candidates)
+    got = whatif.ranked(whatif.evaluate_candidates(cases, links, edges, tried, candidates, 3)).collect()
+    assert {r.candidate_id for r in got} == {f"a{k}" for k in range(9)} | {f"b{k}" for k in range(8)}
+    assert sorted(r["rank"] for r in got) == list(range(1, 18)) and all(r.hop == (0 if r.target_segment == "A" else 1) for r in got)
