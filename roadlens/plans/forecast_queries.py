@@ -71,7 +71,11 @@ SELECT *, max({_RK.format('level')}) OVER (PARTITION BY segment_id, ts) AS worst
 SELECT segment_id, ts, horizon_min, {_LV.format('now / free_flow_speed_kmh')} AS now_level, {_LV.format('p50 / free_flow_speed_kmh')} AS level,
   CASE WHEN coalesce((p90 - p10) / free_flow_speed_kmh, 1) < 0.15 THEN 'High' WHEN coalesce((p90 - p10) / free_flow_speed_kmh, 1) < 0.3 THEN 'Medium' ELSE 'Low' END AS confidence
 FROM seas WHERE metric = 'speed' AND p50 IS NOT NULL))"""
-query("forecast_outlook", "segment_id:s ts:t horizon_min:i now_level:s level:s confidence:s trend:s", _OUTLOOK, **FC)(lambda c: forecast.outlook(c.daily_forecast, c.segments))
+_EVERY = {**FC, "res0": """
+SELECT metric, horizon_min, CASE WHEN r.speed_ratio < 0.85::DOUBLE THEN 'congested' ELSE 'normal' END AS bucket, actual - now AS res
+FROM fc0 f JOIN ratios r USING (segment_id, ts) WHERE f.ts >= TIMESTAMP '2024-01-20 00:00:00' AND f.ts + INTERVAL 1 MINUTE * horizon_min <= TIMESTAMP '2024-01-24 18:00:00'
+  AND actual - now IS NOT NULL"""}
+query("forecast_outlook", "segment_id:s ts:t horizon_min:i now_level:s level:s confidence:s trend:s", _OUTLOOK, **_EVERY)(lambda c: forecast.outlook(c.outlook_forecast, c.segments))
 query("speed_trend", "segment_id:s ts:t now:d later:d trend:s", """
 SELECT segment_id, ts, now, p50 AS later, CASE WHEN (p50 - now) / free_flow_speed_kmh < -0.05 THEN 'worsening' WHEN (p50 - now) / free_flow_speed_kmh > 0.05 THEN 'recovering' ELSE 'stable' END AS trend
 FROM seas WHERE metric = 'speed' AND horizon_min = 720 AND now IS NOT NULL AND p50 IS NOT NULL""", **FC)(lambda c: forecast.speed_trend(c.daily_forecast, c.segments, 720))

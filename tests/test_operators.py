@@ -248,3 +248,15 @@ def test_every_feasible_candidate_is_ranked(spark):
     got = whatif.ranked(whatif.evaluate_candidates(cases, links, edges, tried, candidates, 3)).collect()
     assert {r.candidate_id for r in got} == {f"a{k}" for k in range(9)} | {f"b{k}" for k in range(8)}
     assert sorted(r["rank"] for r in got) == list(range(1, 18)) and all(r.hop == (0 if r.target_segment == "A" else 1) for r in got)
+
+
+def test_bands_of_every_slot(spark):
+    """Unless a sample is asked for, the residuals of all slots of the calibration days count."""
+    cfg = HOUR.with_(band_min_rows=1)
+    keys = "segment_id string, ts timestamp, metric string, horizon_min long, now double"
+    predicted = spark.createDataFrame([("R0", at(5 * t), "speed", 15, 50.0, 50.0) for t in range(40)], keys + ", p50 double")
+    actual = spark.createDataFrame([("R0", at(5 * t), "speed", 15, 50.0, 50.0 + (0 if t % 3 == 0 else t)) for t in range(40)], keys + ", actual double")
+    ratios = spark.createDataFrame([("R0", at(5 * t), 0.95) for t in range(40)], "segment_id string, ts timestamp, speed_ratio double")
+    every, some = [{r.bucket: r for r in forecast.residual_bands(predicted, actual, ratios, cfg, sampled=s).collect()} for s in (False, True)]
+    assert (every["normal"].n, some["normal"].n) == (40, 14)
+    assert every["normal"].hi > 30 and some["normal"].hi == 0
