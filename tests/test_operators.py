@@ -260,3 +260,22 @@ def test_bands_of_every_slot(spark):
     every, some = [{r.bucket: r for r in forecast.residual_bands(predicted, actual, ratios, cfg, sampled=s).collect()} for s in (False, True)]
     assert (every["normal"].n, some["normal"].n) == (40, 14)
     assert every["normal"].hi > 30 and some["normal"].hi == 0
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
+    """All rows are fitted, in as few tasks as their number asks for: each level of each tree runs a job over all tasks."""
+    went = []
+
+    class Fits:
+        def __init__(self, stages):
+            self.stages = stages
+
+        def fit(self, df):
+            went.append((df.rdd.getNumPartitions(), df.count(), self.stages[-1].getMaxIter(), self.stages[-1].getMaxDepth()))
+    monkeypatch.setattr(forecast, "Pipeline", Fits)
+    cfg = HOUR.with_(fit_every=1, end="2026-01-01 23:55:00", fit_end="2026-01-01 23:55:00")
+    rows = spark.createDataFrame([(f"R{s}", at(5 * t), 1.0 if t % 5 else None) for s in range(4) for t in range(100)], "segment_id string, ts timestamp, delta_speed double").repartition(12)
+    for per_task in (30_000, 100):
+        monkeypatch.setattr(forecast, "ROWS_PER_TASK", per_task)
+        forecast.train(rows, "speed", 15, cfg)
+    assert went == [(1, 320, 100, 6), (4, 320, 100, 6)]
